@@ -15,9 +15,6 @@ CLOSES_BEFORE = {"B": ["B", "O"], "I": ["B", "O"], "E": ["E", "I", "O"]}
 NO_CHUNK = ["O", "."]
 SINGLE = ["[", "]"]
 
-_HYPHENATED = r"(?s)^([^-]*)-(.*)$"
-
-
 def prefix(tag: Column) -> Column:
     """The part before the first hyphen; the whole tag if there is none."""
     return F.substring_index(tag, "-", 1)
@@ -25,7 +22,7 @@ def prefix(tag: Column) -> Column:
 
 def chunk_type(tag: Column) -> Column:
     """The part after the first hyphen, or '' (also for the type '0')."""
-    kind = F.regexp_extract(tag, _HYPHENATED, 2)
+    kind = F.substr(tag, F.length(prefix(tag)) + 2)
     return F.when(kind == "0", "").otherwise(kind)
 
 

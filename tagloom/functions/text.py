@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the ASCII white space that separates words.
 WHITESPACE = r"[ \t\n\x0B\f\r]+"
-# A line break followed by any number of lines without visible characters.
-BLANK_LINES = r"\r?\n(?:[ \t\x0B\f\r]*\n)+[ \t\x0B\f\r]*|\r?\n[ \t\x0B\f\r]+$"
+# A line break and a line without visible characters: the end of a paragraph.
+PARAGRAPH_END = r"\n[ \t\x0B\f\r]*\n"
 
 
 def strip(text: Column) -> Column:
@@ -21,5 +21,5 @@ def words(line: Column) -> Column:
 
 
 def visible_lines(block: Column) -> Column:
-    """Lines of a text block which hold more than white space."""
+    """Stripped lines of a text block, without those of white space only."""
     return F.array_remove(F.transform(F.split(block, "\n"), strip), "")

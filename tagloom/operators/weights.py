@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import features as fx
 from tagloom.operators.features import feature_rows, histories
-from tagloom.operators.sentences import mistakes
+from tagloom.operators.sentences import mistakes, tag_list
 from tagloom.runtime import lookup_join
 
 
@@ -93,8 +93,6 @@ def transition_scores(tags: DataFrame, weights: DataFrame) -> DataFrame:
 
     The grid fans out from the tag table; its size depends on the tag set only.
     """
-    from tagloom.operators.sentences import tag_list
-
     names = tag_list(tags)
     padded = F.array(*[F.lit(t) for t in [fx.START, *names]])
     ending = F.array(*[F.lit(t) for t in [*names, fx.STOP]])

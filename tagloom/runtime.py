@@ -42,6 +42,17 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input, such as a single-split file, a partition per core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast only if ``df``, which should be pinned, has few rows."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def lookup_join(
     left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:
