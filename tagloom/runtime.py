@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,19 @@ from pyspark.sql import functions as F
 SALTS = 8
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tagloom-")) / root.name
+        spark.sparkContext.addPyFile(shutil.make_archive(str(archive), "zip", root.parent, root.name))
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can read, as the cluster names it.
 
@@ -35,13 +50,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def pin(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` at a reliable checkpoint.
 
-    The rows survive the loss of executors, and a partitioning made by
-    ``repartition`` is kept, so later grouping on that key does not shuffle.
+    The rows survive the loss of executors and do not change if a task is rerun.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to the shared folder, bucketed by ``key``.
+
+    Reading it back needs no shuffle to group or co-group by the key, however
+    often that is done. Buckets are written by one task each.
+    """
+    spark, name = df.sparkSession, f"tagloom_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
+    writer.option("path", scratch_path(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input, such as a single-split file, a partition per core."""
     cores = df.sparkSession.sparkContext.defaultParallelism
