@@ -221,8 +221,9 @@ def train(
     def first(shard: pa.Table) -> pa.Table:
         return _train_shard(shard, None, tags, [], families, epochs)
 
-    # A number of its own: training is much work on little data, so small partitions must not be merged.
-    partitions = min(count, MAX_PARTITIONS)
+    # An explicit number, since training is much work on little data: small partitions must not be merged.
+    cores = sentences.sparkSession.sparkContext.defaultParallelism
+    partitions = min(4 * count, 4 * cores, MAX_PARTITIONS)
     if rounds == 1:
         placed = sharded.repartition(partitions, "shard")
         return mix_round(placed.groupBy("shard").applyInArrow(first, DELTA_SCHEMA), None, count)
