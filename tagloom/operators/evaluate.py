@@ -139,7 +139,8 @@ def _scanned(sentences: DataFrame, boundary: str) -> DataFrame:
     states = F.transform(
         events, lambda x: F.struct(x["p"].alias("p"), x["e"].alias("e"), _struct(_states(x["p"], x["e"])).alias("s"))
     )
-    steps = sentences.select("sent_id", "words", states.alias("steps"))
+    last_type = tg.chunk_type(F.try_element_at("tags", F.lit(-1)))
+    steps = sentences.select("sent_id", "words", last_type.alias("last_type"), states.alias("steps"))
     kept = steps.withColumn("kept", F.filter("steps", lambda x: x["s"]["reset"] | x["s"]["start_ok"]))
     opened = F.concat(F.array(F.lit(False)), F.transform("kept", lambda x: x["s"]["start_ok"]))
     return kept.withColumn("was_open", F.slice(opened, F.lit(1), F.size("kept")))
@@ -181,10 +182,9 @@ def sentence_facts(sentences: DataFrame, boundary: str = BOUNDARY) -> DataFrame:
     correct = F.zip_with(
         "kept", "was_open", lambda x, o: F.when(x["s"]["close"] & o, _fact(x["p"]["pg_type"], correct_chunks=one))
     )
-    # Only a chunk that runs into the prefix '.' can still be open at the end.
+    # Only a chunk that runs into the prefix '.' can still be open at the end; it takes the last token's type.
     left_open = F.when(
-        F.try_element_at("kept", F.lit(-1))["s"]["start_ok"],
-        _fact(F.try_element_at("steps", F.lit(-1))["p"]["pg_type"], correct_chunks=one),
+        F.try_element_at("kept", F.lit(-1))["s"]["start_ok"], _fact(F.col("last_type"), correct_chunks=one)
     )
     facts = F.array_compact(F.concat(F.array(total), gold, guess, correct, F.array(left_open)))
     return _scanned(sentences, boundary).select("sent_id", F.explode(facts).alias("fact")).select("sent_id", "fact.*")
@@ -273,8 +273,10 @@ def report(sentences: DataFrame, fmt: str = "text") -> DataFrame:
     A rollup over the counts per type gives the type rows and the overall row, so
     the last window sees a row per type and no data.
     """
-    levels = chunk_counts(sentences).rollup("type").agg(
-        F.grouping("type").alias("total"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]
+    # A row of zeros, so that an empty corpus has its overall row too.
+    zero = sentences.sparkSession.range(1).select(_fact(F.lit(None).cast("string")).alias("fact")).select("fact.*")
+    levels = chunk_counts(sentences).unionByName(zero).rollup("type").agg(
+        F.grouping("type").alias("total"), *[F.sum(c).alias(c) for c in COUNTS]
     )
     total = F.col("total") == 1
     shown = total | (F.col("type").isNotNull() & (F.col("found_gold") + F.col("found_guess") > 0))

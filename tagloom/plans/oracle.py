@@ -194,7 +194,8 @@ def _viterbi(suffixes: bool) -> str:
     return _emissions(suffixes) + f""",
 coded AS (SELECT tag, chr((64 + row_number() OVER (ORDER BY tag))::INTEGER) AS code FROM tags),
 gains AS MATERIALIZED (
-  SELECT {K}, pos, e.tag, e.score, code FROM tokens JOIN emissions e USING (word) JOIN coded USING (tag)
+  SELECT {K}, pos, e.tag, e.score, code
+  FROM tokens t JOIN emissions e ON e.word = t.word JOIN coded c ON c.tag = e.tag
 ),
 paths AS (
   SELECT {K}, n, 1 AS pos, '*' AS u, g.tag AS s, m.score + g.score AS score, code AS path
