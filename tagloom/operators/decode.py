@@ -94,16 +94,12 @@ def _decode_words(words: pa.ListArray, tags: list[str], scores: WordScores, move
 
 
 def transition_rows(weights: DataFrame) -> list[tuple[str, str, str, float]]:
-    parts = F.split("feature", ":")
-    rows = (
-        weights.filter(F.col("feature").startswith(f"{fx.TRIGRAM}:"))
-        .select(*[F.get(parts, F.lit(i)).alias(n) for i, n in ((1, "t2"), (2, "t1"), (3, "tag"))], "weight")
-        .limit(MAX_TRIGRAMS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_TRIGRAMS:
+    rows = weights.filter(F.col("feature").startswith(f"{fx.TRIGRAM}:"))
+    if rows.count() > MAX_TRIGRAMS:
         raise ValueError(f"more than {MAX_TRIGRAMS} trigram weights")
-    return [tuple(row) for row in rows]
+    parts = F.split("feature", ":")
+    columns = [F.get(parts, F.lit(i)).alias(n) for i, n in ((1, "t2"), (2, "t1"), (3, "tag"))]
+    return [tuple(row) for row in rows.select(*columns, "weight").collect()]
 
 
 def transitions(weights: DataFrame, tags: list[str]) -> Transitions:
@@ -177,12 +173,11 @@ def decode(
     moves = transitions(weights, names)
     schema = _output_schema(asked)
     lexical = weights.filter(~F.col("feature").startswith(f"{fx.TRIGRAM}:"))
-    model = context_rows(lexical).limit(max_broadcast + 1).toArrow()
-    contexts = pc.count_distinct(model.column("context")).as_py()
-    if model.num_rows <= max_broadcast and contexts * len(names) <= MAX_BROADCAST_CELLS:
-        scores = WordScores(names, model, tuple(families))
-        return asked.mapInArrow(_broadcast_decoder(asked, names, moves, scores), schema)
-    del model
+    if lexical.count() <= max_broadcast:
+        model = context_rows(lexical).toArrow()
+        if pc.count_distinct(model.column("context")).as_py() * len(names) <= MAX_BROADCAST_CELLS:
+            scores = WordScores(names, model, tuple(families))
+            return asked.mapInArrow(_broadcast_decoder(asked, names, moves, scores), schema)
     return _decode_by_shard(asked, lexical, names, moves, families, schema)
 
 

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import features as fx
+from tagloom.operators.sentences import TOKEN_COLUMNS
 from tagloom.runtime import lookup_join
 
+STEP = ("t2", "t1", "tag", "word")
 
-def histories(sentences: DataFrame, tags: str = "tags", stop_word: bool = False) -> DataFrame:
+
+def histories(sentences: DataFrame, stop_word: bool = False) -> DataFrame:
     """One row per position with the two previous tags, and a STOP row per sentence.
 
     The STOP row has no word unless ``stop_word``: training updates look at the
     sentence with STOP appended to it, which adds word features for that position.
+    Columns other than the token arrays stay with the rows.
     """
-    y = F.col(tags)
+    y = F.col("tags")
     padding = F.lit(fx.START)
     steps = F.size(y) + 1
     end = F.lit(fx.STOP) if stop_word else F.lit(None).cast("string")
@@ -25,12 +29,13 @@ def histories(sentences: DataFrame, tags: str = "tags", stop_word: bool = False)
         F.concat(y, F.array(F.lit(fx.STOP))).alias("tag"),
         F.concat(F.col("words"), F.array(end)).alias("word"),
     )
-    rows = sentences.select("sent_id", F.posexplode(shifted).alias("at", "step"))
-    return rows.select("sent_id", (F.col("at") + 1).alias("pos"), "step.t2", "step.t1", "step.tag", "step.word")
+    kept = [c for c in sentences.columns if c not in TOKEN_COLUMNS]
+    rows = sentences.select(*kept, F.posexplode(shifted).alias("at", "step"))
+    return rows.select(*kept, (F.col("at") + 1).alias("pos"), *[f"step.{c}" for c in STEP])
 
 
 def _by_family(families: tuple[str, ...]) -> list[Column]:
-    t2, t1, tag, word = (F.col(c) for c in ("t2", "t1", "tag", "word"))
+    t2, t1, tag, word = (F.col(c) for c in STEP)
     found = []
     if fx.TRIGRAM in families:
         found.append(fx.trigram(t2, t1, tag))
@@ -47,7 +52,7 @@ def feature_rows(steps: DataFrame, families: tuple[str, ...] = fx.FAMILIES) -> D
     All families come from one pass over the histories, not from a union of scans.
     """
     features = F.array_compact(F.array(*_by_family(families)))
-    return steps.select("sent_id", "pos", F.explode(features).alias("feature"))
+    return steps.select(*[c for c in steps.columns if c not in STEP], F.explode(features).alias("feature"))
 
 
 def feature_counts(features: DataFrame) -> DataFrame:

@@ -10,17 +10,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import features as fx
 from tagloom.operators.decode import WordScores, shard_contexts, shard_weights, transition_rows, word_context_columns
-from tagloom.operators.sentences import tag_list, tag_set
+from tagloom.operators.sentences import tag_list
 from tagloom.operators.viterbi import Transitions, best_path
 from tagloom.runtime import broadcast_if_small, pin, ship, store_bucketed
 
-# Tokens of a shard when the number of shards is left open.
-SHARD_TOKENS = 200_000
+# Tokens times tags of a shard when the number of shards is left open.
+SHARD_CELLS = 2_000_000
 # A shard is held by one task, so larger ones are refused.
 MAX_SHARD_TOKENS = 5_000_000
 # Partitions the shards are spread over, at most; also Spark's limit for buckets.
@@ -63,16 +63,18 @@ def assign_shards(sentences: DataFrame, n_shards: int, rule: str = "hash") -> Da
     return sentences.join(slices, "sent_id")
 
 
-def _tokens() -> Column:
-    return F.sum(F.size("words").cast("bigint"))
-
-
-def _shard_count(corpus: DataFrame) -> int:
-    return (corpus.agg(_tokens()).first()[0] or 0) // SHARD_TOKENS + 1
+def _profile(corpus: DataFrame) -> tuple[list[str], int]:
+    """Tags in descending order and the number of tokens, from one pass."""
+    size = F.struct(F.lit(None).cast("string").alias("tag"), F.size("words").cast("bigint").alias("tokens"))
+    tags = F.transform(F.array_distinct("tags"), lambda t: F.struct(t.alias("tag"), F.lit(0).cast("bigint").alias("tokens")))
+    sums = pin(corpus.select(F.inline(F.concat(F.array(size), tags))).groupBy("tag").agg(F.sum("tokens").alias("tokens")))
+    found = sums.filter(F.col("tag").isNotNull())
+    return sorted(tag_list(found), reverse=True), sums.agg(F.max("tokens")).first()[0]
 
 
 def _check_shards(sharded: DataFrame) -> None:
-    largest = sharded.groupBy("shard").agg(_tokens().alias("tokens")).agg(F.max("tokens")).first()[0] or 0
+    sizes = sharded.groupBy("shard").agg(F.sum(F.size("words").cast("bigint")).alias("tokens"))
+    largest = sizes.agg(F.max("tokens")).first()[0] or 0
     if largest > MAX_SHARD_TOKENS:
         raise ValueError(f"a shard has {largest} tokens, more than {MAX_SHARD_TOKENS}: use more shards")
 
@@ -212,8 +214,8 @@ def train(
     ship(sentences.sparkSession)
     families = tuple(families)
     corpus = sentences.select("sent_id", "words", "tags").filter(F.size("words") > 0)
-    tags = sorted(tag_list(tag_set(corpus)), reverse=True)
-    count = n_shards or _shard_count(corpus)
+    tags, tokens = _profile(corpus)
+    count = n_shards or tokens * len(tags) // SHARD_CELLS + 1
     sharded = assign_shards(corpus, count, rule)
     if n_shards:
         _check_shards(sharded)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import features as fx
@@ -32,11 +32,14 @@ def mix(shard_weights: DataFrame, mode: str = "present", n_shards: int | None =
 
 
 def signed_features(sentences: DataFrame) -> DataFrame:
-    """Feature rows of the wrong sentences: +1 for the gold tags, -1 for the guesses."""
-    wrong = mistakes(sentences)
-    gold = feature_rows(histories(wrong, "tags", stop_word=True)).withColumn("sign", F.lit(1))
-    guess = feature_rows(histories(wrong, "guesses", stop_word=True)).withColumn("sign", F.lit(-1))
-    return gold.unionByName(guess)
+    """Feature rows of the wrong sentences: +1 for the gold tags, -1 for the guesses.
+
+    Both taggings come out of the same row, so the corpus is read once.
+    """
+    gold = F.struct(F.col("tags").alias("tags"), F.lit(1).alias("sign"))
+    guess = F.struct(F.col("guesses").alias("tags"), F.lit(-1).alias("sign"))
+    taggings = mistakes(sentences).select("sent_id", "words", F.inline(F.array(gold, guess)))
+    return feature_rows(histories(taggings, stop_word=True))
 
 
 def perceptron_delta(sentences: DataFrame) -> DataFrame:
@@ -79,13 +82,17 @@ def emission_scores(
         .groupBy("context")
         .agg(F.map_from_entries(F.collect_list(F.struct("tag", "weight"))).alias("by_tag"))
     )
-    asked = vocabulary.select("word", F.explode(fx.word_contexts(F.col("word"), families)).alias("context"))
-    # One row per (word, context) with a few map entries: a suffix can be hot, hence the salted join.
-    hits = lookup_join(asked, by_context, "context", ["word"], how="inner")
-    scores = hits.select("word", F.explode("by_tag").alias("tag", "score"))
-    grid = vocabulary.select("word", F.explode(F.array(*[F.lit(t) for t in tags])).alias("tag"))
-    zero = grid.withColumn("score", F.lit(0.0))
-    return scores.unionByName(zero).groupBy("word", "tag").agg(F.sum("score").alias("score"))
+    asked = vocabulary.select("word", F.explode_outer(fx.word_contexts(F.col("word"), families)).alias("context"))
+    # A suffix can be shared by very many words, hence the salted join.
+    hits = lookup_join(asked, by_context, "context", ["word"])
+    # At most one map per context kind; tags fan out only at the end.
+    by_word = hits.groupBy("word").agg(F.collect_list("by_tag").alias("found"))
+
+    def score(tag: Column) -> Column:
+        add = F.aggregate("found", F.lit(0.0), lambda total, m: total + F.coalesce(F.try_element_at(m, tag), F.lit(0.0)))
+        return F.struct(tag.alias("tag"), add.alias("score"))
+
+    return by_word.select("word", F.inline(F.transform(F.array(*[F.lit(t) for t in tags]), score)))
 
 
 def transition_scores(tags: DataFrame, weights: DataFrame) -> DataFrame:

@@ -234,7 +234,7 @@ def mean_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 def _shard_weights(spark: SparkSession, sf: str) -> DataFrame:
     sharded = assign_shards(corpora.labelled(spark, sf), SHARDS, "contiguous")
-    rows = ft.feature_rows(ft.histories(sharded)).join(sharded.select("sent_id", "shard"), "sent_id")
+    rows = ft.feature_rows(ft.histories(sharded))
     counts = rows.groupBy("shard", "feature").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("shard", "feature", (F.col("n") % 7 - 3).cast("double").alias("weight"))
 

@@ -76,7 +76,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if ``df``, which should be pinned, has few rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def lookup_join(
