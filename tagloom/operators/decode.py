@@ -21,7 +21,7 @@ from tagloom.functions import features as fx
 from tagloom.operators.sentences import tag_list, tags_from_weights
 from tagloom.operators.viterbi import Transitions, best_paths
 from tagloom.operators.weights import context_rows
-from tagloom.runtime import lookup_join, ship
+from tagloom.runtime import lookup_join, ship, task_partitions
 
 # Word and suffix weights, or cells of their context-by-tag matrix, a broadcast may have.
 MAX_BROADCAST_WEIGHTS = 5_000_000
@@ -29,9 +29,9 @@ MAX_BROADCAST_CELLS = 50_000_000
 # Trigram weights all tasks need; tag sets that exceed it are out of reach for Viterbi anyway.
 MAX_TRIGRAMS = 10_000_000
 # Token-by-tag cells a shard aims at when the model is joined rather than broadcast.
-SHARD_CELLS = 10_000_000
-# Back-pointer cells held at a time within a batch.
-CHUNK_CELLS = 32_000_000
+SHARD_CELLS = 2_000_000
+# Score cells held at a time within a batch.
+CHUNK_CELLS = 4_000_000
 
 
 class WordScores:
@@ -66,7 +66,7 @@ def word_context_columns(words: list[str], families: tuple[str, ...]) -> Iterato
 
 
 def _chunks(lengths: np.ndarray, cells: int) -> Iterator[tuple[int, int]]:
-    """Runs of sentences whose tokens need at most CHUNK_CELLS back-pointer cells."""
+    """Runs of sentences whose tokens need at most CHUNK_CELLS score cells."""
     low, used = 0, 0
     for high, need in enumerate(lengths * cells):
         if used and used + need > CHUNK_CELLS:
@@ -192,7 +192,8 @@ def _decode_by_shard(
     tokens = sentences.agg(F.sum(F.size("words").cast("bigint"))).first()[0] or 0
     n_shards = tokens * len(tags) // SHARD_CELLS + 1
     sharded = sentences.withColumn("shard", F.pmod(F.xxhash64("sent_id"), F.lit(n_shards)))
-    needed = shard_weights(shard_contexts(sharded, families), weights, tags)
+    partitions = task_partitions(sentences.sparkSession, n_shards)
+    needed = shard_weights(shard_contexts(sharded, families), weights, tags).repartition(partitions, "owner")
     model = sentences.sparkSession.sparkContext.broadcast((tags, moves))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -203,4 +204,5 @@ def _decode_by_shard(
             [_table(b, _decode_words(b.column("words"), names, scores, trigrams)) for b in batches]
         )
 
-    return sharded.groupBy("shard").cogroup(needed.groupBy("owner")).applyInArrow(run, schema)
+    placed = sharded.repartition(partitions, "shard")
+    return placed.groupBy("shard").cogroup(needed.groupBy("owner")).applyInArrow(run, schema)

@@ -17,14 +17,12 @@ from tagloom.functions import features as fx
 from tagloom.operators.decode import WordScores, shard_contexts, shard_weights, transition_rows, word_context_columns
 from tagloom.operators.sentences import tag_list
 from tagloom.operators.viterbi import Transitions, best_path
-from tagloom.runtime import broadcast_if_small, pin, ship, store_bucketed
+from tagloom.runtime import broadcast_if_small, pin, ship, store_bucketed, task_partitions
 
 # Tokens times tags of a shard when the number of shards is left open.
 SHARD_CELLS = 2_000_000
 # A shard is held by one task, so larger ones are refused.
 MAX_SHARD_TOKENS = 5_000_000
-# Partitions the shards are spread over, at most; also Spark's limit for buckets.
-MAX_PARTITIONS = 100_000
 # One row per partition of a sorted table.
 MAX_BROADCAST_PARTITIONS = 1_000_000
 
@@ -223,9 +221,7 @@ def train(
     def first(shard: pa.Table) -> pa.Table:
         return _train_shard(shard, None, tags, [], families, epochs)
 
-    # An explicit number, since training is much work on little data: small partitions must not be merged.
-    cores = sentences.sparkSession.sparkContext.defaultParallelism
-    partitions = min(4 * count, 4 * cores, MAX_PARTITIONS)
+    partitions = task_partitions(sentences.sparkSession, count)
     if rounds == 1:
         placed = sharded.repartition(partitions, "shard")
         return mix_round(placed.groupBy("shard").applyInArrow(first, DELTA_SCHEMA), None, count)

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-# Cells of the largest temporary array.
+# Cells of the largest temporary array, and of one that stays in the processor's cache.
 CELLS = 4_000_000
+BLOCK = 100_000
 
 
 class Transitions:
@@ -33,6 +34,15 @@ class Transitions:
         np.add.at(out, (a, b, c - low), self.weight[inside])
         return out
 
+    def incoming(self, u: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Weights of all (t, u, s), a row for each pair of last tags."""
+        if self.whole is not None:
+            return self.whole[: self.size, u, s].T
+        out = np.empty((len(u), self.size))
+        for tag in np.unique(s):
+            out[s == tag] = self.block(tag, tag + 1)[: self.size, u[s == tag], 0].T
+        return out
+
     def add(self, at: np.ndarray, amount: float) -> None:
         """Add ``amount`` to the weight of each (t2, t1, t) row of ``at``."""
         if self.whole is not None:
@@ -46,22 +56,18 @@ class Transitions:
         return self._fill(low, high) if self.whole is None else self.whole[:, :, low:high]
 
 
-def _advance(pi: np.ndarray, moves: Transitions) -> tuple[np.ndarray, np.ndarray]:
-    """Best score and best oldest tag for every new pair of last tags."""
+def _advance(pi: np.ndarray, moves: Transitions) -> np.ndarray:
+    """Best score over the oldest tag, for every new pair of last tags."""
     count, k = len(pi), moves.size
-    if moves.whole is not None and count * k**3 <= CELLS:
-        options = pi[:, :, :, None] + moves.whole[:k, :k, :k]
-        return options.max(axis=1), options.argmax(axis=1)
-    best, back = np.empty_like(pi), np.empty(pi.shape, dtype=np.int16)
+    best = np.empty_like(pi)
     width = max(1, min(k, CELLS // (k * k)))
-    depth = max(1, CELLS // (k * k * width))
+    depth = max(1, min(CELLS, BLOCK) // (k * k * width))
     for low in range(0, k, width):
         block = moves.block(low, min(low + width, k))[:k, :k]
         for row in range(0, count, depth):
             options = pi[row : row + depth, :, :, None] + block
-            back[row : row + depth, :, low : low + width] = options.argmax(axis=1)
-            best[row : row + depth, :, low : low + width] = options.max(axis=1)
-    return best, back
+            options.max(axis=1, out=best[row : row + depth, :, low : low + width])
+    return best
 
 
 def best_path(gain: np.ndarray, moves: Transitions) -> np.ndarray:
@@ -103,20 +109,18 @@ def best_paths(lengths: np.ndarray, emissions: np.ndarray, moves: Transitions) -
     ending = moves.block(k, k + 1)[:, :, 0]
     score = np.empty(len(size))
     last = np.zeros((len(size), 2), dtype=np.int64)
-    backs: list[np.ndarray | None] = []
+    steps: list[np.ndarray] = []
     pi = np.empty(0)
     for at, count in enumerate(running):
         gain = emissions[first[:count] + at]
         if at == 0:
             pi = (moves.block(0, k)[k, k] + gain)[:, None, :]
-            backs.append(None)
         elif at == 1:
             pi = pi[:count, 0, :, None] + moves.block(0, k)[k, :k] + gain[:, None, :]
-            backs.append(None)
         else:
-            pi, back = _advance(pi[:count], moves)
+            pi = _advance(pi[:count], moves)
             pi += gain[:, None, :]
-            backs.append(back.astype(np.int16, copy=False))
+        steps.append(pi)
         done = running[at + 1] if at + 1 < len(running) else 0
         if done < count:
             closing = pi[done:] + (ending[k:, :k] if at == 0 else ending[:k, :k])
@@ -131,8 +135,11 @@ def best_paths(lengths: np.ndarray, emissions: np.ndarray, moves: Transitions) -
         done = running[at + 1] if at + 1 < len(running) else 0
         u[done:count], s[done:count] = last[done:count, 0], last[done:count, 1]
         tags[first[:count] + at] = s[:count]
-        back = backs[at]
-        oldest = back[np.arange(count), u[:count], s[:count]] if back is not None else 0
+        # The oldest tag is asked for on the best paths only.
+        oldest = np.zeros(count, dtype=np.int64)
+        if at > 1:
+            before = steps[at - 1][np.arange(count), :, u[:count]]
+            oldest = (before + moves.incoming(u[:count], s[:count])).argmax(axis=1)
         s[:count], u[:count] = u[:count], oldest
     scores = np.empty(len(size))
     scores[order] = score

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 8
+# Spark's limit for the buckets of a table.
+MAX_PARTITIONS = 100_000
 
 
 _shipped: set[str] = set()
@@ -56,6 +58,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_partitions(spark: SparkSession, groups: int) -> int:
+    """Partitions for groups that mean much work on little data.
+
+    Given to ``repartition`` as a number, they are not merged for being small.
+    """
+    return min(4 * groups, 4 * spark.sparkContext.defaultParallelism, MAX_PARTITIONS)
+
+
 def store_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Write ``df`` to the shared folder, bucketed by ``key``.
 
