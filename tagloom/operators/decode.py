@@ -178,6 +178,8 @@ def decode(
         if pc.count_distinct(model.column("context")).as_py() * len(names) <= MAX_BROADCAST_CELLS:
             scores = WordScores(names, model, tuple(families))
             return asked.mapInArrow(_broadcast_decoder(asked, names, moves, scores), schema)
+    if asked.isStreaming:
+        raise ValueError("the model is too large to broadcast: decode the batches of the stream with foreachBatch")
     return _decode_by_shard(asked, lexical, names, moves, families, schema)
 
 

@@ -465,7 +465,7 @@ def tag_and_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    table = streaming.stream_table(spark, sf, "conversations")
+    table = streaming.stream_table(spark, f"{sf}/conversations.parquet")
     return tokenize(table, ["conv_id", "turn"], "text")
 
 

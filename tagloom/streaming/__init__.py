@@ -12,10 +12,13 @@ from tagloom.operators.evaluate import BOUNDARY, chunk_counts
 from tagloom.runtime import scratch_path
 
 
-def stream_table(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    """Stream a Parquet table of a directory, file by file."""
-    schema = spark.read.parquet(f"{directory}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(directory)
+def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream a Parquet table, which may be one file or a directory of files."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    # A stream takes a plain path for a directory; a pattern may match a file as well.
+    return stream.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def stream_decode(sentences: DataFrame, weights: DataFrame, families: tuple[str, ...] = fx.DECODER_FAMILIES) -> DataFrame:
