@@ -13,12 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tagloom.functions import features as fx
-from tagloom.operators.sentences import tag_list, tags_from_weights
+from tagloom.operators.sentences import checked_tags
 from tagloom.operators.viterbi import Transitions, best_paths
 from tagloom.operators.weights import context_rows
 from tagloom.runtime import lookup_join, ship, task_partitions
@@ -93,8 +93,13 @@ def _decode_words(words: pa.ListArray, tags: list[str], scores: WordScores, move
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names), pa.array(np.concatenate(totals))
 
 
+def is_trigram() -> Column:
+    return F.col("feature").startswith(f"{fx.TRIGRAM}:")
+
+
 def transition_rows(weights: DataFrame) -> list[tuple[str, str, str, float]]:
-    rows = weights.filter(F.col("feature").startswith(f"{fx.TRIGRAM}:"))
+    """The trigram weights of a model; their number is bounded by the tag set, not the data."""
+    rows = weights.filter(is_trigram())
     if rows.count() > MAX_TRIGRAMS:
         raise ValueError(f"more than {MAX_TRIGRAMS} trigram weights")
     parts = F.split("feature", ":")
@@ -102,11 +107,6 @@ def transition_rows(weights: DataFrame) -> list[tuple[str, str, str, float]]:
     return [tuple(row) for row in rows.select(*columns, "weight").collect()]
 
 
-def transitions(weights: DataFrame, tags: list[str]) -> Transitions:
-    """The trigram weights of a model; their number is bounded by the tag set, not the data."""
-    return Transitions(tags, transition_rows(weights), fx.START, fx.STOP)
-
-
 def shard_contexts(sharded: DataFrame, families: tuple[str, ...]) -> DataFrame:
     """The contexts each shard can ask for: one row per shard and context.
 
@@ -165,14 +165,16 @@ def decode(
     """Best tag sequence and its score for every sentence.
 
     ``weights`` should be a stored or pinned table: its size is checked first. The
-    candidate tags are those of the model's trigrams unless given.
+    candidate tags are those of the model's trigrams (``tags_from_weights``) unless given.
     """
     ship(sentences.sparkSession)
     asked = sentences.select("sent_id", "words").filter(F.size("words") > 0)
-    names = sorted(tags or tag_list(tags_from_weights(weights)), reverse=True)
-    moves = transitions(weights, names)
+    trigrams = transition_rows(weights)
+    found = {tag for row in trigrams for tag in row[:3]} - {fx.START, fx.STOP}
+    names = checked_tags(tags or found)[::-1]
+    moves = Transitions(names, trigrams, fx.START, fx.STOP)
     schema = _output_schema(asked)
-    lexical = weights.filter(~F.col("feature").startswith(f"{fx.TRIGRAM}:"))
+    lexical = weights.filter(~is_trigram())
     if lexical.count() <= max_broadcast:
         model = context_rows(lexical).toArrow()
         if pc.count_distinct(model.column("context")).as_py() * len(names) <= MAX_BROADCAST_CELLS:

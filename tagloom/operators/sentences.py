@@ -7,6 +7,8 @@ decoding and scoring need no window and no shuffle to see the neighbours of a to
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +63,17 @@ def tags_from_weights(weights: DataFrame) -> DataFrame:
 
 def tag_list(tags: DataFrame) -> list[str]:
     """A tag table as a list, in ascending order, after a check of its size."""
-    found = [row.tag for row in tags.select("tag").limit(MAX_TAGS + 1).collect()]
-    if not found:
+    return checked_tags([row.tag for row in tags.select("tag").limit(MAX_TAGS + 1).collect()])
+
+
+def checked_tags(found: Iterable[str]) -> list[str]:
+    """Tags in ascending order, if there are any and not absurdly many."""
+    names = sorted(found)
+    if not names:
         raise ValueError("no tags: the model has no trigram features, or the corpus is empty")
-    if len(found) > MAX_TAGS:
+    if len(names) > MAX_TAGS:
         raise ValueError(f"more than {MAX_TAGS} distinct tags; is the tag column the right one?")
-    return sorted(found)
+    return names
 
 
 def tag_lattice(tokens: DataFrame, tags: list[str]) -> DataFrame:

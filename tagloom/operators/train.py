@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import features as fx
 from tagloom.operators.decode import WordScores, shard_contexts, shard_weights, transition_rows, word_context_columns
-from tagloom.operators.sentences import tag_list
+from tagloom.operators.sentences import MAX_TAGS, checked_tags
 from tagloom.operators.viterbi import Transitions, best_path
 from tagloom.runtime import broadcast_if_small, pin, ship, store_bucketed, task_partitions
 
@@ -62,12 +62,13 @@ def assign_shards(sentences: DataFrame, n_shards: int, rule: str = "hash") -> Da
 
 
 def _profile(corpus: DataFrame) -> tuple[list[str], int]:
-    """Tags in descending order and the number of tokens, from one pass."""
+    """Tags in ascending order and the number of tokens, from one pass."""
     size = F.struct(F.lit(None).cast("string").alias("tag"), F.size("words").cast("bigint").alias("tokens"))
     tags = F.transform(F.array_distinct("tags"), lambda t: F.struct(t.alias("tag"), F.lit(0).cast("bigint").alias("tokens")))
-    sums = pin(corpus.select(F.inline(F.concat(F.array(size), tags))).groupBy("tag").agg(F.sum("tokens").alias("tokens")))
-    found = sums.filter(F.col("tag").isNotNull())
-    return sorted(tag_list(found), reverse=True), sums.agg(F.max("tokens")).first()[0]
+    sums = corpus.select(F.inline(F.concat(F.array(size), tags))).groupBy("tag").agg(F.sum("tokens").alias("tokens"))
+    found = {row.tag: row.tokens for row in sums.limit(MAX_TAGS + 2).collect()}
+    tokens = found.pop(None, 0)
+    return checked_tags(found), tokens
 
 
 def _check_shards(sharded: DataFrame) -> None:
@@ -212,7 +213,8 @@ def train(
     ship(sentences.sparkSession)
     families = tuple(families)
     corpus = sentences.select("sent_id", "words", "tags").filter(F.size("words") > 0)
-    tags, tokens = _profile(corpus)
+    ascending, tokens = _profile(corpus)
+    tags = ascending[::-1]
     count = n_shards or tokens * len(tags) // SHARD_CELLS + 1
     sharded = assign_shards(corpus, count, rule)
     if n_shards:

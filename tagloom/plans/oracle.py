@@ -162,7 +162,7 @@ MODEL = HISTORY + """,
 model AS MATERIALIZED (SELECT feature, (count(*) % 7 - 3)::DOUBLE AS weight FROM features GROUP BY feature)"""
 EVENTS = TOKENS + "," + _events("tokens", K, "events") + "," + _counts("events", "counts")
 
-TAGS = MODEL + """,
+TAGS = """,
 tags AS MATERIALIZED (
   SELECT DISTINCT t AS tag FROM (
     SELECT unnest(string_split(feature, ':')[2:]) AS t FROM model WHERE feature LIKE 'TRIGRAM:%'
@@ -176,22 +176,26 @@ moves AS MATERIALIZED (
 )"""
 
 
-def _emissions(suffixes: bool) -> str:
-    lengths = "(VALUES (0), (1), (2))" if suffixes else "(VALUES (0))"
-    return TAGS + f""",
+def _emissions(suffixes: bool, model: str = MODEL) -> str:
+    """Word scores under the table ``model``, always summed in the same order."""
+    extra = "+ coalesce(s1.weight, 0) + coalesce(s2.weight, 0)" if suffixes else ""
+    return model + TAGS + f""",
 emissions AS MATERIALIZED (
-  SELECT word, tag, sum(coalesce(weight, 0)) AS score
+  SELECT word, tag, coalesce(w.weight, 0) {extra} AS score
   FROM (
-    SELECT word, tag, CASE j WHEN 0 THEN 'TAG:' || word || ':' || tag
-           ELSE 'SUFF:' || right(word, j) || ':' || j || ':' || tag END AS feature
-    FROM (SELECT DISTINCT word FROM tokens), tags, {lengths} AS s(j) WHERE length(word) >= j
-  ) LEFT JOIN model USING (feature) GROUP BY word, tag
+    SELECT word, tag, 'TAG:' || word || ':' || tag AS word_feature, 'SUFF:' || right(word, 1) || ':1:' || tag AS last_one,
+           CASE WHEN length(word) >= 2 THEN 'SUFF:' || right(word, 2) || ':2:' || tag END AS last_two
+    FROM (SELECT DISTINCT word FROM tokens), tags
+  )
+  LEFT JOIN model w ON w.feature = word_feature
+  LEFT JOIN model s1 ON s1.feature = last_one
+  LEFT JOIN model s2 ON s2.feature = last_two
 )"""
 
 
-def _viterbi(suffixes: bool) -> str:
+def _viterbi(suffixes: bool, model: str = MODEL) -> str:
     """Recursion over positions. Paths are strings of one character per tag; ties go to the larger tag."""
-    return _emissions(suffixes) + f""",
+    return _emissions(suffixes, model) + f""",
 coded AS (SELECT tag, chr((64 + row_number() OVER (ORDER BY tag))::INTEGER) AS code FROM tags),
 gains AS MATERIALIZED (
   SELECT {K}, pos, e.tag, e.score, code
@@ -222,14 +226,14 @@ decoded AS (
 )"""
 
 
-def _signed(source: str, gold: str, guess: str) -> str:
+def _signed(source: str, gold: str, guess: str, name: str = "signed") -> str:
     return f"""
-gold_steps AS ({_history(source, gold, "'STOP'")}),
-guess_steps AS ({_history(source, guess, "'STOP'")}),
-signed AS (
-  SELECT {K}, feature, 1 AS sign FROM ({_features('gold_steps')})
+{name}_gold AS ({_history(source, gold, "'STOP'")}),
+{name}_guess AS ({_history(source, guess, "'STOP'")}),
+{name} AS (
+  SELECT {K}, feature, 1 AS sign FROM ({_features(f'{name}_gold')})
   UNION ALL
-  SELECT {K}, feature, -1 FROM ({_features('guess_steps')})
+  SELECT {K}, feature, -1 FROM ({_features(f'{name}_guess')})
 )"""
 
 
@@ -238,6 +242,20 @@ wrong AS (SELECT * FROM tokens SEMI JOIN (SELECT DISTINCT {K} FROM tokens WHERE
 {_signed('wrong', 'tag', 'guess')},
 delta AS (SELECT feature, sum(sign)::DOUBLE AS weight FROM signed GROUP BY feature)"""
 
+# Training of one-sentence shards. From zero weights every token is guessed as the largest tag.
+FIRST_ROUND = TOKENS + f""",
+wrong AS (SELECT * FROM tokens SEMI JOIN (
+  SELECT DISTINCT {K} FROM tokens WHERE tag <> (SELECT max(tag) FROM tokens)) USING ({K})),
+{_signed('wrong', 'tag', '(SELECT max(tag) FROM tokens)')},
+deltas AS (SELECT {K}, feature, sum(sign) AS weight FROM signed GROUP BY {K}, feature),
+model AS MATERIALIZED (SELECT feature, sum(weight)::DOUBLE / count(*) AS weight FROM deltas GROUP BY feature)"""
+SECOND_ROUND = _viterbi(True, FIRST_ROUND) + f""",
+again AS (SELECT {K}, pos, word, t.tag, d.tag AS guess FROM tokens t JOIN decoded d USING ({K}, pos, word)),
+still_wrong AS (SELECT * FROM again SEMI JOIN (SELECT DISTINCT {K} FROM again WHERE tag <> guess) USING ({K})),
+{_signed('still_wrong', 'tag', 'guess', 'second')},
+second_deltas AS (SELECT {K}, feature, sum(sign) AS weight FROM second GROUP BY {K}, feature),
+updates AS (SELECT feature, sum(weight)::DOUBLE AS delta, count(*) AS made FROM second_deltas GROUP BY feature)"""
+
 SHARDS = HISTORY + f""",
 shards AS (
   SELECT {K}, ((8 * sent_id - 1) // (SELECT count(*) FROM ranks))::BIGINT AS shard FROM ranks
@@ -342,7 +360,7 @@ SQL: dict[str, str] = {
     ),
     "feature_counts": _with(HISTORY, f"SELECT {K}, feature, count(*) AS n FROM features GROUP BY {K}, feature"),
     "tag_set": _with(TOKENS, "SELECT DISTINCT tag FROM tokens"),
-    "tags_from_weights": _with(TAGS, "SELECT tag FROM tags"),
+    "tags_from_weights": _with(MODEL + TAGS, "SELECT tag FROM tags"),
     "collect_sentences": _with(
         TOKENS,
         f"SELECT {K}, string_agg(word, ' ' ORDER BY pos) AS words, string_agg(tag, ' ' ORDER BY pos) AS tags, "
@@ -359,7 +377,7 @@ SQL: dict[str, str] = {
         EVENTS, f"SELECT {K}, pos, close, reset, start_ok, correct FROM events WHERE reset OR start_ok"
     ),
     "emission_scores": _with(_emissions(True), "SELECT word, tag, score FROM emissions"),
-    "transition_scores": _with(TAGS, "SELECT t2, t1, tag, score FROM moves"),
+    "transition_scores": _with(MODEL + TAGS, "SELECT t2, t1, tag, score FROM moves"),
     "viterbi_decode": _with(_viterbi(False), f"SELECT {K}, pos, word, tag FROM decoded"),
     "viterbi_score": _with(_viterbi(True), f"SELECT {K}, b.score AS score FROM best"),
     "viterbi_decode_joined": _with(_viterbi(False), f"SELECT {K}, pos, word, tag FROM decoded"),
@@ -369,13 +387,12 @@ SQL: dict[str, str] = {
         "SELECT feature, sum(weight) AS weight FROM (SELECT * FROM model UNION ALL SELECT * FROM delta) GROUP BY feature",
     ),
     "reset_weights": _with(MODEL, "SELECT feature, 0::DOUBLE AS weight FROM model"),
-    "train_pm_singleton": _with(
-        TOKENS + f""",
-wrong AS (SELECT * FROM tokens SEMI JOIN (
-  SELECT DISTINCT {K} FROM tokens WHERE tag <> (SELECT max(tag) FROM tokens)) USING ({K})),
-{_signed('wrong', 'tag', '(SELECT max(tag) FROM tokens)')},
-deltas AS (SELECT {K}, feature, sum(sign) AS weight FROM signed GROUP BY {K}, feature)""",
-        "SELECT feature, round(avg(weight), 6) AS weight FROM deltas GROUP BY feature",
+    "train_pm_singleton": _with(FIRST_ROUND, "SELECT feature, round(weight, 6) AS weight FROM model"),
+    "train_iterative_singleton": _with(
+        SECOND_ROUND,
+        """SELECT feature, round(CASE WHEN m.feature IS NULL THEN delta / made
+             ELSE m.weight + coalesce(delta, 0) / (SELECT count(*) FROM sentences) END, 6) AS weight
+           FROM model m FULL JOIN updates u USING (feature)""",
     ),
     "shard_assign": _with(SHARDS, f"SELECT {K}, shard FROM shards"),
     "eval_chunk_starts": _with(EVENTS, f"SELECT {K}, pos, open_gold, open_guess FROM events WHERE token"),

@@ -370,6 +370,14 @@ def train_pm_singleton(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(train(sentences, n_shards=sentences.count(), epochs=1, rule="contiguous"), "weight")
 
 
+@query
+def train_iterative_singleton(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds of one-sentence shards: the second decodes with the mixed weights."""
+    sentences = corpora.labelled(spark, sf)
+    found = train(sentences, n_shards=sentences.count(), epochs=1, rounds=2, rule="contiguous")
+    return rounded(found, "weight")
+
+
 @query
 def shard_assign(spark: SparkSession, sf: str) -> DataFrame:
     return keyed(assign_shards(corpora.conversations(spark, sf), SHARDS, "contiguous").select("sent_id", "shard"))

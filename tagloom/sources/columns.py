@@ -12,7 +12,13 @@ from tagloom.runtime import broadcast_if_small, pin
 MAX_BROADCAST_SPLITS = 1_000_000
 
 
-def _paragraphs(spark: SparkSession, path: str, sentence_sep: str) -> DataFrame:
+def _separator(spark: SparkSession, path: str) -> str:
+    """The usual blank line of the files: a look at the first line tells how lines end."""
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    return "\r\n\r\n" if first and first.value.endswith("\r") else "\n\n"
+
+
+def _paragraphs(spark: SparkSession, path: str, sentence_sep: str | None) -> DataFrame:
     """Stripped lines of every paragraph with a dense ``sent_id`` in file order.
 
     The text source cuts records at ``sentence_sep``, so a sentence that crosses a
@@ -21,7 +27,7 @@ def _paragraphs(spark: SparkSession, path: str, sentence_sep: str) -> DataFrame:
     number of paragraphs in all earlier splits. The rows are pinned first, so both
     parts see the same numbering.
     """
-    records = spark.read.option("lineSep", sentence_sep).text(path)
+    records = spark.read.option("lineSep", sentence_sep or _separator(spark, path)).text(path)
     blocks = records.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -66,13 +72,13 @@ def read_conll(
     word_col: int = 0,
     tag_col: int = 3,
     keep_unterminated: bool = True,
-    sentence_sep: str = "\n\n",
+    sentence_sep: str | None = None,
 ) -> DataFrame:
     """Labelled column files as sentences.
 
     ``keep_unterminated=False`` drops a last sentence that no blank line follows.
-    ``sentence_sep`` is what usually stands between two sentences, e.g.
-    ``"\\r\\n\\r\\n"``; it decides how a file is cut into records, not the result.
+    ``sentence_sep`` is what usually stands between two sentences, by default a
+    blank line; it decides how a file is cut into records, not the result.
     """
     found = _paragraphs(spark, path, sentence_sep)
     if not keep_unterminated:
@@ -85,7 +91,7 @@ def read_conll(
 
 
 def read_unlabeled(
-    spark: SparkSession, path: str, keep_unterminated: bool = True, sentence_sep: str = "\n\n"
+    spark: SparkSession, path: str, keep_unterminated: bool = True, sentence_sep: str | None = None
 ) -> DataFrame:
     """Files with one word per line as sentences; the whole stripped line is the word."""
     found = _paragraphs(spark, path, sentence_sep)
@@ -127,7 +133,7 @@ def parse_eval_lines(lines: DataFrame, delimiter: str = " ", boundary: str = "-X
 
 
 def read_eval(
-    spark: SparkSession, path: str, delimiter: str = " ", boundary: str = "-X-", sentence_sep: str = "\n\n"
+    spark: SparkSession, path: str, delimiter: str = " ", boundary: str = "-X-", sentence_sep: str | None = None
 ) -> DataFrame:
     """Evaluation files as sentences; all lines must have the same number of items.
 

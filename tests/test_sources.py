@@ -35,7 +35,7 @@ def test_labelled_sentence(spark, tmp_path):
         "\n\na x y O\nb x y O\n \n\n \nc x y B-LOC\n\n\n",
     ],
 )
-@pytest.mark.parametrize("separator", ["\n\n", "\r\n\r\n"])
+@pytest.mark.parametrize("separator", [None, "\n\n", "\r\n\r\n"])
 def test_line_ends_and_blank_lines(spark, tmp_path, content, separator):
     found = read_conll(spark, put(tmp_path / "a", content), sentence_sep=separator)
     assert listed(found, "sent_id", "words", "tags") == [(1, ["a", "b"], ["O", "O"]), (2, ["c"], ["B-LOC"])]
