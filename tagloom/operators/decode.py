@@ -13,23 +13,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tagloom.functions import features as fx
 from tagloom.operators.sentences import checked_tags
-from tagloom.operators.viterbi import Transitions, best_paths
-from tagloom.operators.weights import context_rows
+from tagloom.operators.viterbi import HISTORY, Transitions, best_paths
+from tagloom.operators.weights import by_context
 from tagloom.runtime import lookup_join, ship, task_partitions
 
-# Word and suffix weights, or cells of their context-by-tag matrix, a broadcast may have.
-MAX_BROADCAST_WEIGHTS = 5_000_000
-MAX_BROADCAST_CELLS = 50_000_000
+# Weights, and cells of their context-by-tag matrix, a broadcast may have: every Python worker holds a copy.
+MAX_BROADCAST_WEIGHTS = 1_000_000
+MAX_BROADCAST_CELLS = 20_000_000
 # Trigram weights all tasks need; tag sets that exceed it are out of reach for Viterbi anyway.
 MAX_TRIGRAMS = 10_000_000
-# Token-by-tag cells a shard aims at when the model is joined rather than broadcast.
-SHARD_CELLS = 2_000_000
+# Token-by-tag cells of a shard when the model is joined: at most, and when cores would be idle. The
+# larger a shard, the more of its tokens share a row of the model.
+SHARD_CELLS = 50_000_000
+SMALL_SHARD_CELLS = 1_000_000
 # Score cells held at a time within a batch.
 CHUNK_CELLS = 4_000_000
 
@@ -37,15 +39,15 @@ CHUNK_CELLS = 4_000_000
 class WordScores:
     """Scores of contexts for all tags, held as one matrix with a zero last row."""
 
-    def __init__(self, tags: list[str], rows: pa.Table, families: tuple[str, ...]):
+    def __init__(self, tags: list[str], contexts: pa.Table, families: tuple[str, ...]):
         self.families = families
-        coded = rows.column("context").combine_chunks().dictionary_encode()
-        self.row = {c: i for i, c in enumerate(coded.dictionary.to_pylist())}
-        column = pc.index_in(rows.column("tag"), pa.array(tags, pa.string())).to_numpy()
-        known = ~np.isnan(column.astype(float))
+        self.row = {c: i for i, c in enumerate(contexts.column("context").to_pylist())}
         self.matrix = np.zeros((len(self.row) + 1, len(tags)))
-        at = coded.indices.to_numpy(zero_copy_only=False)[known], column[known].astype(int)
-        self.matrix[at] = rows.column("weight").to_numpy()[known]
+        by_tag = contexts.column("by_tag").combine_chunks()
+        rows = np.repeat(np.arange(len(by_tag)), by_tag.value_lengths().to_numpy(zero_copy_only=False))
+        names, weights = by_tag.flatten().flatten()
+        columns = pc.index_in(names, pa.array(tags, pa.string())).to_numpy(zero_copy_only=False)
+        self.matrix[rows, columns] = weights.to_numpy(zero_copy_only=False)
 
     def of(self, words: list[str]) -> np.ndarray:
         """One row of tag scores per word."""
@@ -93,18 +95,14 @@ def _decode_words(words: pa.ListArray, tags: list[str], scores: WordScores, move
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names), pa.array(np.concatenate(totals))
 
 
-def is_trigram() -> Column:
-    return F.col("feature").startswith(f"{fx.TRIGRAM}:")
-
-
-def transition_rows(weights: DataFrame) -> list[tuple[str, str, str, float]]:
+def transition_rows(weights: DataFrame) -> pa.Table:
     """The trigram weights of a model; their number is bounded by the tag set, not the data."""
-    rows = weights.filter(is_trigram())
+    rows = weights.filter(F.col("feature").startswith(f"{fx.TRIGRAM}:"))
     if rows.count() > MAX_TRIGRAMS:
         raise ValueError(f"more than {MAX_TRIGRAMS} trigram weights")
     parts = F.split("feature", ":")
-    columns = [F.get(parts, F.lit(i)).alias(n) for i, n in ((1, "t2"), (2, "t1"), (3, "tag"))]
-    return [tuple(row) for row in rows.select(*columns, "weight").collect()]
+    columns = [F.get(parts, F.lit(i + 1)).alias(name) for i, name in enumerate(HISTORY)]
+    return rows.select(*columns, "weight").toArrow()
 
 
 def shard_contexts(sharded: DataFrame, families: tuple[str, ...]) -> DataFrame:
@@ -119,10 +117,8 @@ def shard_contexts(sharded: DataFrame, families: tuple[str, ...]) -> DataFrame:
 
 def shard_weights(asked: DataFrame, weights: DataFrame, tags: list[str]) -> DataFrame:
     """The word and suffix weights of a model that each shard, here ``owner``, needs."""
-    rows = context_rows(weights).filter(F.col("tag").isin(tags))
-    by_context = rows.groupBy("context").agg(F.collect_list(F.struct("tag", "weight")).alias("by_tag"))
-    hits = lookup_join(asked, by_context, "context", ["shard"], how="inner")
-    return hits.select(F.col("shard").alias("owner"), "context", F.inline("by_tag"))
+    hits = lookup_join(asked, by_context(weights, tags), "context", ["shard"], how="inner")
+    return hits.select(F.col("shard").alias("owner"), "context", "by_tag")
 
 
 def _output_schema(sentences: DataFrame) -> StructType:
@@ -170,19 +166,18 @@ def decode(
     ship(sentences.sparkSession)
     asked = sentences.select("sent_id", "words").filter(F.size("words") > 0)
     trigrams = transition_rows(weights)
-    found = {tag for row in trigrams for tag in row[:3]} - {fx.START, fx.STOP}
+    found = {tag for c in HISTORY for tag in trigrams.column(c).unique().to_pylist()} - {fx.START, fx.STOP}
     names = checked_tags(tags or found)[::-1]
     moves = Transitions(names, trigrams, fx.START, fx.STOP)
     schema = _output_schema(asked)
-    lexical = weights.filter(~is_trigram())
-    if lexical.count() <= max_broadcast:
-        model = context_rows(lexical).toArrow()
-        if pc.count_distinct(model.column("context")).as_py() * len(names) <= MAX_BROADCAST_CELLS:
-            scores = WordScores(names, model, tuple(families))
+    if weights.count() <= max_broadcast:
+        contexts = by_context(weights, names).toArrow()
+        if contexts.num_rows * len(names) <= MAX_BROADCAST_CELLS:
+            scores = WordScores(names, contexts, tuple(families))
             return asked.mapInArrow(_broadcast_decoder(asked, names, moves, scores), schema)
     if asked.isStreaming:
         raise ValueError("the model is too large to broadcast: decode the batches of the stream with foreachBatch")
-    return _decode_by_shard(asked, lexical, names, moves, families, schema)
+    return _decode_by_shard(asked, weights, names, moves, tuple(families), schema)
 
 
 def _decode_by_shard(
@@ -194,7 +189,9 @@ def _decode_by_shard(
     schema: StructType,
 ) -> DataFrame:
     tokens = sentences.agg(F.sum(F.size("words").cast("bigint"))).first()[0] or 0
-    n_shards = tokens * len(tags) // SHARD_CELLS + 1
+    cells = tokens * len(tags)
+    cores = sentences.sparkSession.sparkContext.defaultParallelism
+    n_shards = max(cells // SHARD_CELLS, min(4 * cores, cells // SMALL_SHARD_CELLS)) + 1
     sharded = sentences.withColumn("shard", F.pmod(F.xxhash64("sent_id"), F.lit(n_shards)))
     partitions = task_partitions(sentences.sparkSession, n_shards)
     needed = shard_weights(shard_contexts(sharded, families), weights, tags).repartition(partitions, "owner")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import features as fx
 from tagloom.operators.decode import WordScores, shard_contexts, shard_weights, transition_rows, word_context_columns
 from tagloom.operators.sentences import MAX_TAGS, checked_tags
-from tagloom.operators.viterbi import Transitions, best_path
+from tagloom.operators.viterbi import HISTORY, Transitions, best_path
 from tagloom.runtime import broadcast_if_small, pin, ship, store_bucketed, task_partitions
 
 # Tokens times tags of a shard when the number of shards is left open.
@@ -26,6 +26,7 @@ MAX_SHARD_TOKENS = 5_000_000
 # One row per partition of a sorted table.
 MAX_BROADCAST_PARTITIONS = 1_000_000
 
+NO_TRIGRAMS = pa.table({**{c: pa.array([], pa.string()) for c in HISTORY}, "weight": pa.array([], pa.float64())})
 DELTA_SCHEMA = "shard bigint, feature string, delta double"
 
 
@@ -85,7 +86,7 @@ class ShardTrainer:
     updates per (context, tag) and per tag history. Counts that cancel stay, as 0.
     """
 
-    def __init__(self, tags: list[str], families: tuple[str, ...], words: list[str], start: pa.Table | None, known: list):
+    def __init__(self, tags: list[str], families: tuple[str, ...], words: list[str], start: pa.Table | None, known: pa.Table):
         self.tags, self.families, self.size = tags, families, len(tags)
         self.moves = Transitions(tags, known, fx.START, fx.STOP)
         columns = list(word_context_columns(words, families))
@@ -149,7 +150,7 @@ def _order(key: object) -> object:
 
 
 def _train_shard(
-    shard: pa.Table, start: pa.Table | None, tags: list[str], trigrams: list, families: tuple[str, ...], epochs: int
+    shard: pa.Table, start: pa.Table | None, tags: list[str], trigrams: pa.Table, families: tuple[str, ...], epochs: int
 ) -> pa.Table:
     keys = [_order(key) for key in shard.column("sent_id").to_pylist()]
     words = shard.column("words").combine_chunks()
@@ -221,7 +222,7 @@ def train(
         _check_shards(sharded)
 
     def first(shard: pa.Table) -> pa.Table:
-        return _train_shard(shard, None, tags, [], families, epochs)
+        return _train_shard(shard, None, tags, NO_TRIGRAMS, families, epochs)
 
     partitions = task_partitions(sentences.sparkSession, count)
     if rounds == 1:

@@ -8,7 +8,11 @@ Index ``K`` stands for the start padding in the history and for STOP as last tag
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+# Columns of a table of trigram weights, besides ``weight``.
+HISTORY = ("t2", "t1", "tag")
 # Cells of the largest temporary array, and of one that stays in the processor's cache.
 CELLS = 4_000_000
 BLOCK = 100_000
@@ -17,14 +21,12 @@ BLOCK = 100_000
 class Transitions:
     """Sparse trigram weights, read as dense blocks over the last tag."""
 
-    def __init__(self, tags: list[str], rows: list[tuple[str, str, str, float]], start: str, stop: str):
+    def __init__(self, tags: list[str], rows: pa.Table, start: str, stop: str):
         self.size = len(tags)
-        index = {tag: i for i, tag in enumerate(tags)}
-        history = {**index, start: self.size}
-        last = {**index, stop: self.size}
-        kept = [(history[a], history[b], last[c], w) for a, b, c, w in rows if a in history and b in history and c in last]
-        self.at = np.array([k[:3] for k in kept], dtype=np.int64).reshape(-1, 3)
-        self.weight = np.array([k[3] for k in kept], dtype=np.float64)
+        known = [pc.index_in(rows.column(c), pa.array([*tags, end], pa.string())) for c, end in zip(HISTORY, (start, start, stop))]
+        at = np.stack([column.fill_null(-1).to_numpy() for column in known], axis=1).astype(np.int64)
+        kept = (at >= 0).all(axis=1)
+        self.at, self.weight = at[kept], rows.column("weight").to_numpy()[kept]
         self.whole = self._fill(0, self.size + 1) if (self.size + 1) ** 3 <= CELLS else None
 
     def _fill(self, low: int, high: int) -> np.ndarray:

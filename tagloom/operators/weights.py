@@ -67,6 +67,12 @@ def context_rows(weights: DataFrame) -> DataFrame:
     )
 
 
+def by_context(weights: DataFrame, tags: list[str]) -> DataFrame:
+    """The word and suffix weights as one row per context: ``by_tag ARRAY<STRUCT<tag, weight>>``."""
+    rows = context_rows(weights).filter(F.col("tag").isin(tags) & ~F.col("context").startswith(f"{fx.TRIGRAM}:"))
+    return rows.groupBy("context").agg(F.collect_list(F.struct("tag", "weight")).alias("by_tag"))
+
+
 def emission_scores(
     words: DataFrame, tags: list[str], weights: DataFrame, families: tuple[str, ...] = fx.FAMILIES
 ) -> DataFrame:
@@ -76,15 +82,10 @@ def emission_scores(
     (context, tag) pairs: one row per word and context meets one row of the model.
     """
     vocabulary = words.select("word").distinct()
-    by_context = (
-        context_rows(weights)
-        .filter(F.col("tag").isin(tags))
-        .groupBy("context")
-        .agg(F.map_from_entries(F.collect_list(F.struct("tag", "weight"))).alias("by_tag"))
-    )
+    known = by_context(weights, tags).withColumn("by_tag", F.map_from_entries("by_tag"))
     asked = vocabulary.select("word", F.explode_outer(fx.word_contexts(F.col("word"), families)).alias("context"))
     # A suffix can be shared by very many words, hence the salted join.
-    hits = lookup_join(asked, by_context, "context", ["word"])
+    hits = lookup_join(asked, known, "context", ["word"])
     # At most one map per context kind; tags fan out only at the end.
     by_word = hits.groupBy("word").agg(F.collect_list("by_tag").alias("found"))
 

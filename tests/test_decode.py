@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagloom.functions.features import DECODER_FAMILIES, FAMILIES
@@ -88,6 +89,10 @@ def test_model_without_tags(sentences, weights):
         decode(sentences((["a"], ["O"])), weights({"TAG:a:O": 1}))
 
 
+def trigram_table(rows):
+    return pa.table(dict(zip(("t2", "t1", "tag", "weight"), map(list, zip(*rows)))))
+
+
 @pytest.mark.parametrize("cells", [1, 50, 200, 4_000_000])
 def test_blockwise_arithmetic(monkeypatch, cells):
     """Blocks of any size, sparse or dense transitions, one sentence or many: the same paths."""
@@ -96,9 +101,9 @@ def test_blockwise_arithmetic(monkeypatch, cells):
     rows = [(a, b, c, float(rng.integers(-2, 3))) for a in [*tags, "*"] for b in [*tags, "*"] for c in [*tags, "STOP"]]
     lengths = rng.integers(1, 15, 80)
     gain = rng.integers(-2, 3, (lengths.sum(), 6)).astype(float)
-    expected = viterbi.best_paths(lengths, gain, viterbi.Transitions(tags, rows, "*", "STOP"))
+    expected = viterbi.best_paths(lengths, gain, viterbi.Transitions(tags, trigram_table(rows), "*", "STOP"))
     monkeypatch.setattr(viterbi, "CELLS", cells)
-    moves = viterbi.Transitions(tags, rows, "*", "STOP")
+    moves = viterbi.Transitions(tags, trigram_table(rows), "*", "STOP")
     found = viterbi.best_paths(lengths, gain, moves)
     assert np.array_equal(found[0], expected[0]) and np.array_equal(found[1], expected[1])
     ends = np.cumsum(lengths)
@@ -108,9 +113,9 @@ def test_blockwise_arithmetic(monkeypatch, cells):
 
 def test_updates_of_sparse_and_dense_transitions(monkeypatch):
     at = np.array([[0, 1, 1], [2, 2, 0], [0, 1, 1]])
-    dense = viterbi.Transitions(["b", "a"], [("*", "*", "b", 2.0)], "*", "STOP")
+    dense = viterbi.Transitions(["b", "a"], trigram_table([("*", "*", "b", 2.0)]), "*", "STOP")
     monkeypatch.setattr(viterbi, "CELLS", 1)
-    sparse = viterbi.Transitions(["b", "a"], [("*", "*", "b", 2.0)], "*", "STOP")
+    sparse = viterbi.Transitions(["b", "a"], trigram_table([("*", "*", "b", 2.0)]), "*", "STOP")
     for moves in (dense, sparse):
         moves.add(at, 1.0)
     assert np.array_equal(dense.block(0, 3), sparse.block(0, 3)) and dense.block(1, 2)[0, 1, 0] == 2
