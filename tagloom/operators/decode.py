@@ -117,7 +117,7 @@ def shard_contexts(sharded: DataFrame, families: tuple[str, ...]) -> DataFrame:
 
 def shard_weights(asked: DataFrame, weights: DataFrame, tags: list[str]) -> DataFrame:
     """The word and suffix weights of a model that each shard, here ``owner``, needs."""
-    hits = lookup_join(asked, by_context(weights, tags), "context", ["shard"], how="inner")
+    hits = lookup_join(asked, by_context(weights, tags), "context", ["shard"], "inner", bound=weights.count())
     return hits.select(F.col("shard").alias("owner"), "context", "by_tag")
 
 

@@ -79,13 +79,16 @@ def parse_feature(weights: DataFrame) -> DataFrame:
 
 
 def known_features(features: DataFrame, weights: DataFrame) -> DataFrame:
-    """Keep the feature rows the model has a weight for."""
-    return lookup_join(features, weights.select("feature"), "feature", ["sent_id", "pos"], how="left_semi")
+    """Keep the feature rows the model has a weight for. ``weights`` is counted, so store or pin it."""
+    return lookup_join(
+        features, weights.select("feature"), "feature", ["sent_id", "pos"], "left_semi", bound=weights.count()
+    )
 
 
 def score_features(features: DataFrame, weights: DataFrame) -> DataFrame:
-    """Attach weights to feature rows; a missing weight is 0."""
-    scored = lookup_join(features, weights.select("feature", "weight"), "feature", ["sent_id", "pos"])
+    """Attach weights to feature rows; a missing weight is 0. ``weights`` is counted, so store or pin it."""
+    known = weights.select("feature", "weight")
+    scored = lookup_join(features, known, "feature", ["sent_id", "pos"], "left", bound=weights.count())
     return scored.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import features as fx
@@ -76,24 +76,22 @@ def by_context(weights: DataFrame, tags: list[str]) -> DataFrame:
 def emission_scores(
     words: DataFrame, tags: list[str], weights: DataFrame, families: tuple[str, ...] = fx.FAMILIES
 ) -> DataFrame:
-    """Score of every distinct word with every tag.
+    """Score of every distinct word with every tag. ``weights`` is counted, so store or pin it.
 
     Works on the vocabulary rather than on tokens, and joins contexts rather than
     (context, tag) pairs: one row per word and context meets one row of the model.
     """
     vocabulary = words.select("word").distinct()
-    known = by_context(weights, tags).withColumn("by_tag", F.map_from_entries("by_tag"))
-    asked = vocabulary.select("word", F.explode_outer(fx.word_contexts(F.col("word"), families)).alias("context"))
+    contexts = fx.word_contexts(F.col("word"), families)
+    asked = vocabulary.select("word", F.posexplode_outer(contexts).alias("at", "context"))
     # A suffix can be shared by very many words, hence the salted join.
-    hits = lookup_join(asked, known, "context", ["word"])
-    # At most one map per context kind; tags fan out only at the end.
-    by_word = hits.groupBy("word").agg(F.collect_list("by_tag").alias("found"))
-
-    def score(tag: Column) -> Column:
-        add = F.aggregate("found", F.lit(0.0), lambda total, m: total + F.coalesce(F.try_element_at(m, tag), F.lit(0.0)))
-        return F.struct(tag.alias("tag"), add.alias("score"))
-
-    return by_word.select("word", F.inline(F.transform(F.array(*[F.lit(t) for t in tags]), score)))
+    hits = lookup_join(asked, by_context(weights, tags), "context", ["word"], "left", bound=weights.count())
+    none = F.array().cast("array<struct<tag: string, weight: double>>")
+    # Every word has a score for every tag, so its first context brings zeros for all.
+    zeros = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(0.0).alias("weight")) for t in tags])
+    padding = F.when(F.coalesce("at", F.lit(0)) == 0, zeros).otherwise(none)
+    scores = hits.select("word", F.inline(F.concat(F.coalesce("by_tag", none), padding)))
+    return scores.groupBy("word", "tag").agg(F.sum("weight").alias("score"))
 
 
 def transition_scores(tags: DataFrame, weights: DataFrame) -> DataFrame:

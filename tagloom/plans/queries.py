@@ -166,7 +166,7 @@ def parse_feature(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def known_feature_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed(ft.known_features(_features(spark, sf), _positive(_model(spark, sf))))
+    return keyed(ft.known_features(_features(spark, sf), _positive(pin(_model(spark, sf)))))
 
 
 @query
@@ -202,7 +202,7 @@ def pad_sequence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def weight_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed(ft.score_features(_features(spark, sf), _positive(_model(spark, sf))))
+    return keyed(ft.score_features(_features(spark, sf), _positive(pin(_model(spark, sf)))))
 
 
 @query
@@ -251,7 +251,7 @@ def mix_weights_uniform(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def inner_product(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed(ft.sentence_score(_features(spark, sf), _model(spark, sf)))
+    return keyed(ft.sentence_score(_features(spark, sf), pin(_model(spark, sf))))
 
 
 @query

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 8
+# Rows of a look-up table that is broadcast.
+MAX_LOOKUP_ROWS = 1_000_000
 # Spark's limit for the buckets of a table.
 MAX_PARTITIONS = 100_000
 
@@ -93,15 +95,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "left", salts: int = SALTS
+    left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str, bound: int, salts: int = SALTS
 ) -> DataFrame:
     """Join ``left``, where one key may hold a large share of the rows, with
-    ``right``, where ``key`` is unique.
+    ``right``, where ``key`` is unique and which has at most ``bound`` rows.
 
-    Nothing is hinted: a small right side is broadcast by Spark on its measured
-    size. Otherwise the rows of a hot key go to ``salts`` tasks, chosen by a hash
-    of the ``spread`` columns, and each right row is copied to all of them.
+    A small right side is broadcast. Otherwise the rows of every key go to
+    ``salts`` tasks, chosen by a hash of the ``spread`` columns, and each right
+    row is copied to all of them.
     """
+    if bound <= MAX_LOOKUP_ROWS:
+        return left.join(F.broadcast(right), key, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")

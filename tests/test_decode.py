@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tagloom import runtime
 from tagloom.functions.features import DECODER_FAMILIES, FAMILIES
 from tagloom.operators import viterbi
 from tagloom.operators.decode import decode
@@ -53,7 +54,8 @@ def random_model(rng, vocabulary):
 
 @pytest.mark.parametrize("families", [FAMILIES, DECODER_FAMILIES])
 @pytest.mark.parametrize("seed", range(3))
-def test_equals_exhaustive_search(sentences, weights, seed, families):
+def test_equals_exhaustive_search(sentences, weights, seed, families, monkeypatch):
+    monkeypatch.setattr(runtime, "MAX_LOOKUP_ROWS", seed * 10**6)
     rng = random.Random(seed)
     vocabulary = ["ab", "b", "::", "a:b", "über", "STOP"]
     model = random_model(rng, vocabulary)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.features import feature_rows, histories, known_features, score_features
 from tagloom.plans import corpora
+from tagloom import runtime
 from tagloom.runtime import lookup_join, pin, shared_dir, store_bucketed
 
 
@@ -29,7 +30,8 @@ def test_salted_join_of_a_hot_key(spark, no_broadcast, how):
     """One key holds a third of the rows: its rows are spread, and the result is that of a plain join."""
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 50, 2)], "key string, v int")
-    found, plain = lookup_join(left, right, "key", ["id"], how), left.join(right, "key", how)
+    found, plain = lookup_join(left, right, "key", ["id"], how, bound=10**9), left.join(right, "key", how)
+    assert sorted(map(str, lookup_join(left, right, "key", ["id"], how, bound=26).collect())) == sorted(map(str, plain.collect()))
     assert sorted(map(str, found.select(*sorted(found.columns)).collect())) == sorted(
         map(str, plain.select(*sorted(plain.columns)).collect())
     )
@@ -38,7 +40,9 @@ def test_salted_join_of_a_hot_key(spark, no_broadcast, how):
         assert hot.count() > 1
 
 
-def test_hot_word_keeps_all_rows(spark, no_broadcast, weights):
+@pytest.mark.parametrize("limit", [0, 100])
+def test_hot_word_keeps_all_rows(spark, no_broadcast, weights, monkeypatch, limit):
+    monkeypatch.setattr(runtime, "MAX_LOOKUP_ROWS", limit)
     sentences = spark.range(200).select(
         F.col("id").alias("sent_id"),
         F.array(F.lit("the"), F.concat(F.lit("w"), F.col("id")), F.lit("the")).alias("words"),
