@@ -47,8 +47,8 @@ def main() -> None:
         REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
     total = round(sum(seconds.values()), 3)
-    result = {"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}
-    print(json.dumps(result))
+    scale = sf_dir.rsplit("sf", 1)[-1]
+    print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": scale}))
     spark.stop()
 
 

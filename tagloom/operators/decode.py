@@ -78,7 +78,9 @@ def _chunks(lengths: np.ndarray, cells: int) -> Iterator[tuple[int, int]]:
     yield low, len(lengths)
 
 
-def _decode_words(words: pa.ListArray, tags: list[str], scores: WordScores, moves: Transitions) -> tuple[pa.ListArray, pa.Array]:
+def _decode_words(
+    words: pa.ListArray, tags: list[str], scores: WordScores, moves: Transitions
+) -> tuple[pa.ListArray, pa.Array]:
     """Tags and score of every sentence in an Arrow column of word lists."""
     lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
@@ -168,7 +170,7 @@ def decode(
     trigrams = transition_rows(weights)
     found = {tag for c in HISTORY for tag in trigrams.column(c).unique().to_pylist()} - {fx.START, fx.STOP}
     names = checked_tags(tags or found)[::-1]
-    moves = Transitions(names, trigrams, fx.START, fx.STOP)
+    moves = Transitions(names, trigrams if fx.TRIGRAM in families else trigrams.slice(0, 0), fx.START, fx.STOP)
     schema = _output_schema(asked)
     if weights.count() <= max_broadcast:
         contexts = by_context(weights, names).toArrow()

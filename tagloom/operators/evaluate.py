@@ -306,8 +306,8 @@ def report(sentences: DataFrame, fmt: str = "text") -> DataFrame:
     order = Window.orderBy("rank", "type")
     # In the table a rule stands between the type rows and the overall row.
     ruled = F.when(F.lead("rank").over(order) == 3, F.concat("line", F.lit(r"\hline"))).otherwise(F.col("line"))
-    numbered = placed.filter(F.col("line").isNotNull()).select(F.row_number().over(order).alias("line_no"), ruled.alias("line"))
-    return numbered.orderBy("line_no")
+    printed = placed.filter(F.col("line").isNotNull())
+    return printed.select(F.row_number().over(order).alias("line_no"), ruled.alias("line")).orderBy("line_no")
 
 
 def _line(rank: int, line: Column) -> Column:

@@ -86,7 +86,9 @@ class ShardTrainer:
     updates per (context, tag) and per tag history. Counts that cancel stay, as 0.
     """
 
-    def __init__(self, tags: list[str], families: tuple[str, ...], words: list[str], start: pa.Table | None, known: pa.Table):
+    def __init__(
+        self, tags: list[str], families: tuple[str, ...], words: list[str], start: pa.Table | None, known: pa.Table
+    ):
         self.tags, self.families, self.size = tags, families, len(tags)
         self.moves = Transitions(tags, known, fx.START, fx.STOP)
         columns = list(word_context_columns(words, families))

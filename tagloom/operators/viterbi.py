@@ -23,8 +23,9 @@ class Transitions:
 
     def __init__(self, tags: list[str], rows: pa.Table, start: str, stop: str):
         self.size = len(tags)
-        known = [pc.index_in(rows.column(c), pa.array([*tags, end], pa.string())) for c, end in zip(HISTORY, (start, start, stop))]
-        at = np.stack([column.fill_null(-1).to_numpy() for column in known], axis=1).astype(np.int64)
+        names = [pa.array([*tags, end], pa.string()) for end in (start, start, stop)]
+        known = [pc.index_in(rows.column(c), value_set=n).fill_null(-1) for c, n in zip(HISTORY, names)]
+        at = np.stack([column.to_numpy() for column in known], axis=1).astype(np.int64)
         kept = (at >= 0).all(axis=1)
         self.at, self.weight = at[kept], rows.column("weight").to_numpy()[kept]
         self.whole = self._fill(0, self.size + 1) if (self.size + 1) ** 3 <= CELLS else None

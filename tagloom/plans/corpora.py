@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.functions import features as fx
 from tagloom.operators.features import feature_rows, histories
 from tagloom.runtime import spread
 from tagloom.sources.tables import tokenize
@@ -31,7 +30,10 @@ def guess_tag(word: Column, pos: Column, gold: Column) -> Column:
     inside = gold != "O"
     swapped = F.concat(F.when(F.substring(gold, 1, 1) == "B", "I").otherwise("B"), F.substring(gold, 2, 100))
     return (
-        F.when(inside & (digit < "3"), "O").when(digit == "3", "I-PER").when(inside & (digit == "4"), swapped).otherwise(gold)
+        F.when(inside & (digit < "3"), "O")
+        .when(digit == "3", "I-PER")
+        .when(inside & (digit == "4"), swapped)
+        .otherwise(gold)
     )
 
 

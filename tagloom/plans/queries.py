@@ -80,11 +80,9 @@ def _written(lines: DataFrame) -> str:
 @query
 def read_conll(spark: SparkSession, sf: str) -> DataFrame:
     sentences = corpora.labelled(spark, sf)
-    four = sentences.withColumn(
-        "lines",
-        F.array_join(F.transform(F.arrays_zip("words", "tags"), lambda t: F.concat_ws(" ", t["words"], F.lit("X X"), t["tags"])), "\n"),
-    )
-    path = _written(four.select("sent_id", F.concat("lines", F.lit("\n")).alias("lines")))
+    four = F.transform(F.arrays_zip("words", "tags"), lambda t: F.concat_ws(" ", t["words"], F.lit("X X"), t["tags"]))
+    lines = F.concat(F.array_join(four, "\n"), F.lit("\n"))
+    path = _written(sentences.select("sent_id", lines.alias("lines")))
     return st.unpack(columns.read_conll(spark, path))
 
 

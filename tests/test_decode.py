@@ -86,6 +86,16 @@ def test_score_is_the_inner_product_of_the_path(spark, sentences, weights):
         assert row.score == again[row.sent_id] >= gold[row.sent_id]
 
 
+@pytest.mark.parametrize("max_broadcast", [0, 10])
+def test_models_without_word_weights_or_trigrams(sentences, weights, max_broadcast):
+    table = sentences((["a", "b"], ["O", "O"]))
+    model = weights({"TRIGRAM:*:*:B-X": 3, "TRIGRAM:B-X:O:STOP": 1, "TRIGRAM:*:O:O": 2})
+    found = decode(table, model, max_broadcast=max_broadcast).first()
+    assert (found.tags, found.score) == (["B-X", "O"], 4)
+    words_only = decode(table, model, families=("TAG",), max_broadcast=max_broadcast).first()
+    assert (words_only.tags, words_only.score) == (["O", "O"], 0)
+
+
 def test_model_without_tags(sentences, weights):
     with pytest.raises(ValueError, match="no tags"):
         decode(sentences((["a"], ["O"])), weights({"TAG:a:O": 1}))

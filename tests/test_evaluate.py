@@ -124,7 +124,8 @@ def test_boundary_tokens_are_not_counted(sentences):
 def test_no_tokens(sentences):
     rows = sentences((["a"], ["O"], ["O"])).limit(0)
     assert ev.evaluate(rows).first().tokens == 0
-    assert [r.line for r in ev.report(rows).collect()] == ["processed 0 tokens with 0 phrases; found: 0 phrases; correct: 0."]
+    lines = [r.line for r in ev.report(rows).collect()]
+    assert lines == ["processed 0 tokens with 0 phrases; found: 0 phrases; correct: 0."]
 
 
 def test_raw_mode(sentences):

@@ -29,7 +29,8 @@ def test_decoding_over_several_batches(spark, files):
     batch = corpora.conversations(spark, TESTDATA)
     model = pin(corpora.model(corpora.labelled(spark, TESTDATA)))
     found = run_to_files(stream_decode(stream(spark, files), model))
-    assert sorted(found.select("sent_id", "tags").collect()) == sorted(decode(batch, model).select("sent_id", "tags").collect())
+    expected = decode(batch, model).select("sent_id", "tags").collect()
+    assert sorted(found.select("sent_id", "tags").collect()) == sorted(expected)
 
 
 def test_model_too_large_for_a_stream(spark, files, weights):
