@@ -79,7 +79,7 @@ def best_path(gain: np.ndarray, moves: Transitions) -> np.ndarray:
     The lean form of ``best_paths`` for trainers, which see a sentence at a time.
     """
     n, k = len(gain), moves.size
-    if moves.whole is None or n < 3:
+    if moves.whole is None or n < 3 or n * k * k > CELLS:
         return best_paths(np.array([n]), gain, moves)[0]
     inner, begin, ending = moves.whole[:k, :k, :k], moves.whole[k], moves.whole[:k, :k, k]
     pi = (begin[k, :k] + gain[0])[:, None] + begin[:k, :k] + gain[1]
@@ -102,7 +102,8 @@ def best_paths(lengths: np.ndarray, emissions: np.ndarray, moves: Transitions) -
     ``emissions`` has a row of K tag scores per token, sentence after sentence.
     Returns the tag index of every token and the score of every sentence. The
     sentences advance together, longest first, so that those still running are
-    always a prefix of the arrays.
+    always a prefix of the arrays. Scores are kept to trace the best paths; of very
+    long sentences only every n-th step is kept, and the steps between are redone.
     """
     k = moves.size
     order = np.argsort(-lengths, kind="stable")
@@ -110,20 +111,25 @@ def best_paths(lengths: np.ndarray, emissions: np.ndarray, moves: Transitions) -
     size = lengths[order]
     running = [int(n) for n in np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")]
     ending = moves.block(k, k + 1)[:, :, 0]
+    stride = 1 if len(emissions) * k * k <= CELLS else int(np.sqrt(len(running))) + 1
+
+    def step(pi: np.ndarray | None, at: int) -> np.ndarray:
+        count = running[at]
+        gain = emissions[first[:count] + at]
+        if pi is None:
+            return (moves.block(0, k)[k, k] + gain)[:, None, :]
+        if at == 1:
+            return pi[:count, 0, :, None] + moves.block(0, k)[k, :k] + gain[:, None, :]
+        return _advance(pi[:count], moves) + gain[:, None, :]
+
     score = np.empty(len(size))
     last = np.zeros((len(size), 2), dtype=np.int64)
-    steps: list[np.ndarray] = []
-    pi = np.empty(0)
+    kept: dict[int, np.ndarray] = {}
+    pi = None
     for at, count in enumerate(running):
-        gain = emissions[first[:count] + at]
-        if at == 0:
-            pi = (moves.block(0, k)[k, k] + gain)[:, None, :]
-        elif at == 1:
-            pi = pi[:count, 0, :, None] + moves.block(0, k)[k, :k] + gain[:, None, :]
-        else:
-            pi = _advance(pi[:count], moves)
-            pi += gain[:, None, :]
-        steps.append(pi)
+        pi = step(pi, at)
+        if at % stride == 0:
+            kept[at] = pi
         done = running[at + 1] if at + 1 < len(running) else 0
         if done < count:
             closing = pi[done:] + (ending[k:, :k] if at == 0 else ending[:k, :k])
@@ -138,10 +144,14 @@ def best_paths(lengths: np.ndarray, emissions: np.ndarray, moves: Transitions) -
         done = running[at + 1] if at + 1 < len(running) else 0
         u[done:count], s[done:count] = last[done:count, 0], last[done:count, 1]
         tags[first[:count] + at] = s[:count]
+        kept.pop(at, None)
         # The oldest tag is asked for on the best paths only.
         oldest = np.zeros(count, dtype=np.int64)
         if at > 1:
-            before = steps[at - 1][np.arange(count), :, u[:count]]
+            base = (at - 1) - (at - 1) % stride
+            for redo in range(base + 1, at) if at - 1 not in kept else ():
+                kept[redo] = step(kept[redo - 1], redo)
+            before = kept[at - 1][np.arange(count), :, u[:count]]
             oldest = (before + moves.incoming(u[:count], s[:count])).argmax(axis=1)
         s[:count], u[:count] = u[:count], oldest
     scores = np.empty(len(size))
