@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +31,9 @@ from pyspark.sql import types as T
 from tagloom.runtime import pin, scratch_path, ship
 
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Documents whose unknown words go to the tokenizer together.
+DOCS_AT_ONCE = 500
 # Only before a space between two other white space characters would a cut change the tokens.
 _UNSAFE = re.compile(r"\s \s")
 
@@ -55,37 +58,73 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level BPE writes a byte as itself if it is printable, else as one of the code points from 256."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+# Letters which Unicode and the tokenizer's pattern class alike.
+_L = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_PLAIN = re.compile(f"( ?{_L})([.,])?(?:(\n)({_L})([.,])?)?")
+
+
 class WordEncoder:
     """Ids of a text as bytes. Byte-level BPE never merges across the edge between
-    a word and a following space, so words are encoded once and remembered."""
+    a word and a following space, so pieces between spaces are encoded once and
+    remembered. Plain words with marks or a line end after them are cut there, as the
+    tokenizer does, and go to its BPE model directly; all else goes to the
+    whole tokenizer."""
 
     def __init__(self, tokenizer_path: str, dtype: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        self.alphabet = _byte_alphabet()
+        self.space, self.line = (chr(self.alphabet[ord(c)]) for c in " \n")
         self.dtype = dtype
-        self.first: dict[str, bytes] = {}
+        self.code = {1: "B", 2: "H", 4: "I", 8: "Q"}[np.dtype(dtype).itemsize]
+        self.atoms: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
-
-    def _learn(self, known: dict[str, bytes], words: Iterable[str], lead: str) -> None:
-        missing = list(words - known.keys())
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = list(words)
-        if missing:
-            known.update(zip(missing, self.encode([lead + w for w in missing]), strict=True))
+        return [array(self.code, e.ids).tobytes() for e in found]
 
-    def text(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return self.encode([text])[0]
-        head, *rest = text.split(" ")
-        self._learn(self.first, {head}, "")
-        self._learn(self.after_space, set(rest), " ")
-        return self.first[head] + b"".join(map(self.after_space.__getitem__, rest))
+    def _atom(self, atom: str) -> bytes:
+        """A run of letters, with or without a space before it, or a single mark."""
+        if atom.isascii():
+            mapped = atom.replace(" ", self.space).replace("\n", self.line)
+        else:
+            mapped = atom.encode().decode("latin-1").translate(self.alphabet)
+        found = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        self.atoms[atom] = found
+        return found
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Make the pieces, which follow a space, known."""
+        if len(self.after_space) > CACHE_WORDS or len(self.atoms) > CACHE_WORDS:
+            self.after_space.clear()
+            self.atoms.clear()
+        known, atoms, other = self.after_space, self.atoms, []
+        for piece in pieces:
+            if piece not in known:
+                plain = _PLAIN.fullmatch(" " + piece)
+                if plain:
+                    known[piece] = b"".join([atoms.get(a) or self._atom(a) for a in plain.groups() if a])
+                else:
+                    other.append(piece)
+        known.update(zip(other, self.encode([" " + p for p in other]), strict=True))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        whole = [bool(_UNSAFE.search(t)) for t in texts]
+        rows = [[] if odd else t.split(" ") for t, odd in zip(texts, whole, strict=True)]
+        self._learn({p for row in rows for p in row[1:]})
+        get = self.after_space.__getitem__
+        direct = self.encode([row[0] if row else t for t, row in zip(texts, rows, strict=True)])
+        return [start + b"".join(map(get, row[1:])) for start, row in zip(direct, rows, strict=True)]
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -114,11 +153,12 @@ def _writer(folder: str, tokenizer_path: str, dtype: str, end_id: int, schema: p
                 fs.create_dir(root, recursive=True)
                 ids = fs.open_output_stream(f"{root}/{name}.bin")
             counts = []
-            for text in batch.column(1).to_pylist():
-                encoded = (encoder.text(text) if text else b"") + end
-                ids.write(encoded)
-                counts.append(len(encoded) // width)
-                offsets.append(offsets[-1] + counts[-1])
+            texts = batch.column(1).to_pylist()
+            for at in range(0, len(texts), DOCS_AT_ONCE):
+                for encoded in encoder.texts([t or "" for t in texts[at : at + DOCS_AT_ONCE]]):
+                    ids.write(encoded + end)
+                    counts.append((len(encoded) + len(end)) // width)
+                    offsets.append(offsets[-1] + counts[-1])
             n = batch.num_rows
             columns = [batch.column(0), pa.array([part] * n, pa.int32()), pa.array([name] * n)]
             columns += [pa.array(range(pos, pos + n), pa.int64()), pa.array(counts, pa.int64())]
