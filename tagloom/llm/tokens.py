@@ -67,7 +67,9 @@ def _byte_alphabet() -> dict[int, int]:
 
 # Letters which Unicode and the tokenizer's pattern class alike.
 _L = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
-_PLAIN = re.compile(f"( ?{_L})([.,])?(?:(\n)({_L})([.,])?)?")
+# ASCII marks but for the apostrophe, which begins endings of their own.
+_M = r"[!-&(-/:-@\[-`{-~]+"
+_PLAIN = re.compile(f"( ?{_L})({_M})?(?:(\n)({_L})({_M})?)?")
 
 
 class WordEncoder:
