@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagloom.llm.chat import op1_chat_formatting
 from tagloom.llm.mixing import op3_mixing
 from tagloom.llm.sharding import op6_sharding
 from tagloom.llm.tokens import op10_token_ids
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
-    for run in (op3_mixing, op6_sharding, op10_token_ids)
+    for run in (op1_chat_formatting, op3_mixing, op6_sharding, op10_token_ids)
 }
