@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm.chat import op1_chat_formatting
+from tagloom.llm.licenses import op5_license_scan
 from tagloom.llm.mixing import op3_mixing
 from tagloom.llm.ngram_join import op7_ngram_jaccard_join
 from tagloom.llm.sharding import op6_sharding
@@ -14,5 +15,5 @@ from tagloom.llm.tokens import op10_token_ids
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
-    for run in (op1_chat_formatting, op3_mixing, op6_sharding, op7_ngram_jaccard_join, op10_token_ids)
+    for run in (op1_chat_formatting, op3_mixing, op5_license_scan, op6_sharding, op7_ngram_jaccard_join, op10_token_ids)
 }
