@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm.chat import op1_chat_formatting
+from tagloom.llm.decontaminate import op4_decontamination
 from tagloom.llm.licenses import op5_license_scan
 from tagloom.llm.mixing import op3_mixing
 from tagloom.llm.ngram_join import op7_ngram_jaccard_join
@@ -17,5 +18,5 @@ from tagloom.llm.toxicity import op2_toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
-    for run in (op1_chat_formatting, op2_toxicity, op3_mixing, op5_license_scan, op6_sharding, op7_ngram_jaccard_join, op9_quality, op10_token_ids)
+    for run in (op1_chat_formatting, op2_toxicity, op3_mixing, op4_decontamination, op5_license_scan, op6_sharding, op7_ngram_jaccard_join, op9_quality, op10_token_ids)
 }
