@@ -30,7 +30,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.graph import components
@@ -328,6 +328,17 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "d
     )
 
 
+def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """One row of each group: smallest doc_id, then smallest text hash. Rows without shingles all stay."""
+    linked = link_documents(docs, n, percent)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("is_least_text")
+    winners = linked.filter((F.col("n_shingles") == 0) | first).select(F.col("doc_id").alias("k2"), F.col("text_hash").alias("h2"), "n_shingles").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("k"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    kept = rows.join(winners, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")))
+    nth = F.row_number().over(Window.partitionBy("k", "h").orderBy("n_shingles"))
+    return kept.withColumn("nth", nth).filter((F.col("nth") == 1) | (F.col("n_shingles") == 0)).select("row.*")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return link_documents(docs).select("doc_id", "n_shingles", "component_id")

@@ -10,13 +10,23 @@ from tagloom.llm.chat import op1_chat_formatting
 from tagloom.llm.decontaminate import op4_decontamination
 from tagloom.llm.licenses import op5_license_scan
 from tagloom.llm.mixing import op3_mixing
+from tagloom.llm.nearest import op8_nearest
 from tagloom.llm.ngram_join import op7_ngram_jaccard_join
 from tagloom.llm.quality import op9_quality
 from tagloom.llm.sharding import op6_sharding
 from tagloom.llm.tokens import op10_token_ids
 from tagloom.llm.toxicity import op2_toxicity
 
-REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    run.__name__: run
-    for run in (op1_chat_formatting, op2_toxicity, op3_mixing, op4_decontamination, op5_license_scan, op6_sharding, op7_ngram_jaccard_join, op9_quality, op10_token_ids)
-}
+OPERATORS = (
+    op1_chat_formatting,
+    op2_toxicity,
+    op3_mixing,
+    op4_decontamination,
+    op5_license_scan,
+    op6_sharding,
+    op7_ngram_jaccard_join,
+    op8_nearest,
+    op9_quality,
+    op10_token_ids,
+)
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {run.__name__: run for run in OPERATORS}
