@@ -40,6 +40,8 @@ from tagloom.runtime import pin, ship
 CACHE_WORDS = 1_000_000
 #: Upper ends of the size classes of heavy sets grow by this factor.
 CLASS_RATIO = 1.5
+#: Size of the bitmap of wanted documents, as a power of 2 in bits (half a megabyte).
+BLOOM_BITS = 22
 _SCANNED = "key {kind}, text_hash long, set_lo long, set_hi long, n long"
 
 
@@ -153,7 +155,7 @@ def _as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _scan(n: int, percent: int):
+def _scan(n: int, percent: int, keys: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low, high, sizes, lists, light = [], [], [], [], []
@@ -162,16 +164,17 @@ def _scan(n: int, percent: int):
                 low.append(int(signed(found.sum(dtype=np.uint64, keepdims=True))[0]) if len(found) else 0)
                 high.append(int(signed(_mixed(found).sum(dtype=np.uint64, keepdims=True))[0]) if len(found) else 0)
                 sizes.append(len(found))
+                if not keys:
+                    continue
                 small = len(found) <= LIGHT_MOST
                 lists.append(signed(list_keys(found, percent)) if 100 * len(found) >= percent * (LIGHT_LEAST + 1) else None)
                 light.append(signed(found) if len(found) and small else None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"), batch.column("text_hash"), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-                    pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(light, pa.list_(pa.int64())),
-                ],
-                names=["key", "text_hash", "set_lo", "set_hi", "n", "lists", "shingles"],
-            )
+            columns = [batch.column("key"), batch.column("text_hash"), *[pa.array(c, pa.int64()) for c in (low, high, sizes)]]
+            names = ["key", "text_hash", "set_lo", "set_hi", "n"]
+            if keys:
+                columns += [pa.array(c, pa.list_(pa.int64())) for c in (lists, light)]
+                names += ["lists", "shingles"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return scan
 
@@ -180,14 +183,13 @@ def _scan(n: int, percent: int):
 LIGHT_LEAST, LIGHT_MOST = 8, 39
 
 
-def scan_sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """key, text_hash, identity of the set, its size, the keys of its lists, shingles of small sets; pinned."""
+def scan_sets(docs: DataFrame, key: str, text: str, n: int, percent: int, keys: bool) -> DataFrame:
+    """key, text_hash, identity of the set and its size; with ``keys`` the keys of its lists and the shingles of small sets."""
     ship(docs.sparkSession)
     body = F.col(text).cast("string")
     slim = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    kind = slim.schema["key"].dataType.simpleString()
-    schema = _SCANNED.format(kind=kind) + ", lists array<long>, shingles array<long>"
-    return pin(slim.mapInArrow(_scan(n, percent), schema))
+    schema = _SCANNED.format(kind=slim.schema["key"].dataType.simpleString())
+    return slim.mapInArrow(_scan(n, percent, keys), schema + ", lists array<long>, shingles array<long>" * keys)
 
 
 def light_boundary(sets: DataFrame, percent: int) -> int:
@@ -235,6 +237,19 @@ def _light_edges(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     return pairs.filter(linked).select(F.col("nid").alias("a"), F.col("first.nid").alias("b")).distinct()
 
 
+def _wanted_bits(owners: DataFrame):
+    """A bitmap of fixed size with a bit for each wanted document's hash.
+
+    It only saves moving texts that no list asks for; a full one saves nothing and changes nothing.
+    """
+    word = F.shiftrightunsigned("kh", 64 - BLOOM_BITS + 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(kh, {64 - BLOOM_BITS}) & 63 as int))")
+    bits = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
+    for row in owners.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        bits[row["w"]] = row["b"] & 0xFFFFFFFFFFFFFFFF
+    return owners.sparkSession.sparkContext.broadcast(bits)
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """nid and sorted shingles (binary) of the wanted nodes, from the text of one document of each."""
 
@@ -243,12 +258,22 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, key: str, tex
             found = [shingle_set(t or b"", n).tobytes() for t in _as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array(found, pa.binary())], names=["nid", "found"])
 
+    owners = nodes.join(wanted, "nid", "left_semi").select("nid", F.col("owner.key").alias("k2"), F.col("owner.text_hash").alias("h"))
+    owners = pin(owners.withColumn("kh", F.xxhash64("k2", "h")))
+    sent = _wanted_bits(owners)
+
+    def asked_for(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy().view(np.uint64) >> np.uint64(64 - BLOOM_BITS)
+        return pd.Series((sent.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1, index=hashes.index)
+
     body = F.col(text).cast("string")
     slim = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.alias("text"))
-    owners = nodes.join(wanted, "nid", "left_semi").select("nid", F.col("owner.key").alias("k2"), F.col("owner.text_hash").alias("h2"))
-    # Rows equal in key and text give one set several times.
-    rows = slim.join(owners, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))).select("nid", "text")
-    return rows.mapInArrow(encode, "nid long, found binary").dropDuplicates(["nid"])
+    slim = slim.withColumn("kh", F.xxhash64("k", "h")).filter(F.pandas_udf(asked_for, "boolean")("kh"))
+    # Rows equal in key and text give one set several times; they are in one partition by kh and h already.
+    rows = slim.join(owners, ["kh", "h"]).filter(F.col("k").eqNullSafe(F.col("k2")))
+    nth = F.row_number().over(Window.partitionBy("kh", "h").orderBy("nid"))
+    rows = rows.withColumn("nth", nth).filter("nth = 1").select("nid", "text")
+    return rows.mapInArrow(encode, "nid long, found binary")
 
 
 def _overlap(column_a: str, column_b: str, percent: int) -> Column:
@@ -280,45 +305,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text_hash, n_shingles, set_id, root and component_id (smallest key reachable) of every row."""
-    scanned = scan_sets(docs, key, text, n, percent)
     same_set = ["set_lo", "set_hi", "n"]
     owner = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("owner")
     firsts = [F.first(c).alias(c) for c in ("lists", "shingles")]
-    nodes = scanned.filter("n > 0").groupBy(*same_set).agg(owner, *firsts)
+    nodes = scan_sets(docs, key, text, n, percent, keys=True).filter("n > 0").groupBy(*same_set).agg(owner, *firsts)
     nodes = pin(nodes.withColumn("nid", F.monotonically_increasing_id()))
     boundary = light_boundary(nodes, percent)
-
     edges = pin(_light_edges(nodes, boundary, percent))
+
     # A partner of a heavy set may be light itself, but not smaller than this.
     heavy = nodes.filter(F.col("n") * 100 >= percent * (boundary + 1))
-    lists = heavy.select(F.explode("lists").alias("key"), "n", "nid")
-    shared = lists.groupBy("key").agg(F.min(F.struct("n", "nid")).alias("first"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    lists = pin(lists.join(shared.drop("sets"), "key"))
-    near = 100 * F.col("first.n") >= percent * F.col("n")
-    stars = lists.filter((F.col("nid") != F.col("first.nid")) & near)
-    stars = pin(stars.select(F.col("nid").alias("a"), F.col("first.nid").alias("b")).distinct())
-    wanted = lists.select("nid").distinct()
-    sets = pin(_sets_of(docs, nodes, wanted, key, text, n))
+    by_key = Window.partitionBy("key")
+    lists = heavy.select(F.explode("lists").alias("key"), "nid")
+    lists = lists.withColumn("first", F.min("nid").over(by_key)).withColumn("last", F.max("nid").over(by_key))
+    lists = pin(lists.filter("first < last").drop("last"))
+    stars = pin(lists.filter("nid <> first").select(F.col("nid").alias("a"), F.col("first").alias("b")).distinct())
+    sets = pin(_sets_of(docs, nodes, lists.select("nid").distinct(), key, text, n))
     edges = pin(edges.unionByName(_verified(stars, sets, percent)))
 
     groups = components(edges)
-    placed = lists.select("key", "n", "nid").join(groups.withColumnRenamed("node", "nid"), "nid", "left")
+    placed = lists.select("key", "nid").join(groups.withColumnRenamed("node", "nid"), "nid", "left")
     placed = placed.withColumn("root", F.coalesce("root", "nid"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    placed = pin(placed.join(mixed, "key", "left_semi"))
+    placed = placed.join(mixed, "key", "left_semi").join(nodes.select("nid", "n"), "nid")
+    placed = pin(placed)
     other = placed.select("key", F.col("n").alias("n2"), F.col("nid").alias("b"), F.col("root").alias("root2"))
     fits = (F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2")) & (F.col("root") < F.col("root2"))
     rest = placed.withColumnRenamed("nid", "a").join(other, "key").filter(fits).select("a", "b").distinct()
     tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = pin(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent))
-    if not more.isEmpty():
+    rest = pin(rest.join(tried, ["a", "b"], "left_anti"))
+    more = None if rest.isEmpty() else pin(_verified(rest, sets, percent))
+    if more is not None and not more.isEmpty():
         groups = components(edges.unionByName(more))
 
     found = nodes.select(*same_set, "nid", "owner").join(groups.withColumnRenamed("node", "nid"), "nid", "left")
     found = found.withColumn("root", F.coalesce("root", "nid"))
     least = found.groupBy("root").agg(F.min("owner").alias("least"))
     named = found.join(least, "root").select(*[F.col(c).alias(f"s_{c}") for c in same_set], F.col("nid").alias("set_id"), "root", "least")
-    rows = scanned.select("key", "text_hash", *same_set)
+    rows = scan_sets(docs, key, text, n, percent, keys=False)
     same = [F.col(c) == F.col(f"s_{c}") for c in same_set]
     joined = rows.join(named, same, "left")
     component = F.when(F.col("n") > 0, F.col("least.key")).otherwise(F.col("key"))
