@@ -6,14 +6,18 @@ partner could share are enumerated, and two sets that share a subset of a size
 large enough for both are linked, no further check needed. Larger sets are heavy:
 they are met by scanning inverted lists. A list belongs to a run of the hash range
 and holds the sets with the same shingles in it: a partner differs in at most d
-shingles, so of d + 1 runs one is the same in both. Lists of single shingles would
+shingles, so of more runs some are the same in both; runs of
+hardly any shingles, which many sets share, are left out where others must agree. Lists of single shingles would
 grow with every passage that many texts share; these do not. Every pair
 from a list is checked exactly. The boundary is where the subsets of a size would
 cost more than its lists, by the histogram of set sizes.
 
 Groups need no more than one chain of links, so sets of a list are first compared
-with the list's smallest set; then, for sets of one list which are still in
-different groups, all pairs are compared. No link between different groups is lost.
+with the list's first set. Sets of one list which are still in different groups
+are compared pair by pair if the list is short; in a longer one, such as the many
+copies of a text with edits of their own, by inverted lists of their differences
+from the first set, of which linked sets must share more than half. No link
+between different groups is lost.
 
 Defined results: texts are lower-cased in A-Z and cut at ASCII white space; fewer
 words than n make one shingle of all of them; null, empty and blank texts have no
@@ -40,6 +44,10 @@ from tagloom.runtime import pin, ship
 CACHE_WORDS = 1_000_000
 #: Upper ends of the size classes of heavy sets grow by this factor.
 CLASS_RATIO = 1.5
+#: Runs with fewer shingles are poor.
+POOR = 3
+#: Lists of so many sets are compared pair by pair.
+SMALL_LIST = 8
 #: Size of the bitmap of wanted documents, as a power of 2 in bits (half a megabyte).
 BLOOM_BITS = 22
 _SCANNED = "key {kind}, text_hash long, set_lo long, set_hi long, n long"
@@ -110,8 +118,9 @@ def size_class(size: int) -> tuple[int, int]:
 
 
 def runs_of(top: int, percent: int) -> int:
-    """One more than two partners of at most ``top`` shingles may differ in."""
-    return 2 * top * (100 - percent) // (100 + percent) + 1
+    """Some more than the shingles in which two partners of at most ``top`` shingles may differ."""
+    least = 2 * top * (100 - percent) // (100 + percent) + 1
+    return least + max(2, least // 8)
 
 
 def list_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -129,7 +138,12 @@ def list_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(body, dtype=np.uint64)])
         ends = np.searchsorted(run, np.arange(runs + 1, dtype=np.uint64))
         inside = sums[ends[1:]] - sums[ends[:-1]]
-        out.append(_mixed(inside + np.arange(runs, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1)))
+        # Partners agree on so many runs at least; if fewer are poor in shingles, they agree on a rich one.
+        agree = runs - (size + 100 * size // percent) * (100 - percent) // (100 + percent)
+        poor = np.diff(ends) < POOR
+        keep = ~poor if poor.sum() < agree else np.ones(runs, bool)
+        keys = _mixed(inside + np.arange(runs, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))
+        out.append(keys[keep])
     return np.unique(np.concatenate(out))
 
 
@@ -303,6 +317,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(_overlap("found_a", "found_b", percent)).select("a", "b")
 
 
+def _placed(lists: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lists whose sets are in more than one group so far: key, nid, root, the number of sets, and as
+    ``first`` the set of the list with the most links found, which lies in the midst of its like."""
+    placed = lists.select("key", "nid").join(groups.withColumnRenamed("node", "nid"), "nid", "left")
+    links = edges.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
+    placed = placed.join(links, "nid", "left").withColumns({"root": F.coalesce("root", "nid"), "links": F.coalesce("links", F.lit(0))})
+    by_key = Window.partitionBy("key")
+    ends = placed.withColumns({
+        "low": F.min("root").over(by_key), "high": F.max("root").over(by_key), "sets": F.count(F.lit(1)).over(by_key),
+        "first": F.max(F.struct("links", "nid")).over(by_key)["nid"],
+    })
+    return ends.filter("low < high").drop("low", "high", "links")
+
+
+def _fits(percent: int) -> Column:
+    return (F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2")) & (F.col("root") != F.col("root2"))
+
+
+def _rest_of_small(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different groups from lists of at most ``SMALL_LIST`` sets."""
+    small = placed.filter(F.col("sets") <= SMALL_LIST)
+    other = small.select("key", F.col("n").alias("n2"), F.col("nid").alias("b"), F.col("root").alias("root2"))
+    pairs = small.withColumnRenamed("nid", "a").join(other, "key").filter(_fits(percent) & (F.col("a") < F.col("b")))
+    return pairs.select("a", "b").distinct()
+
+
+def _differences(shingles: np.ndarray, first: np.ndarray, percent: int) -> tuple[list[int], int, int]:
+    """Where a set differs from the first of its list; how many of these, rarest first, may be those by
+    which partners find it; and, if it is not linked with the first, those by which it finds partners.
+
+    Two sets at distances e and f from the first, of which one is not linked with it, are linked only
+    if they share (e + f - d) / 2 of these differences, d being what linked sets may differ in. That is more than
+    half of either's own; so in any common order one of the first elements is shared.
+    """
+    differ = np.setxor1d(shingles, first, True)
+    e, n, m = len(differ), len(shingles), len(first)
+    low, high = 100 - percent, 100 + percent
+    short = e - max(1, -(-(e * high - abs(m - n) * low) // (2 * high))) + 1
+    if e * high <= (n + m) * low:
+        return signed(differ).tolist(), short, 0
+    most = (n + 100 * n // percent) * low // high
+    return signed(differ).tolist(), short, e - max(1, -(-(e + 1 - most) // 2)) + 1
+
+
+def _rest_of_large(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups from longer lists, by shared differences from the first set of the list."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("found").to_pylist(), batch.column("found_first").to_pylist(), strict=True)
+            found = [_differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in rows]
+            keys, short, long = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("nid", "first", "root", "n")], pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.int64()), pa.array(long, pa.int64())],
+                names=["nid", "first", "root", "n", "keys", "short", "long"],
+            )
+
+    large = placed.filter((F.col("sets") > SMALL_LIST) & (F.col("nid") != F.col("first"))).select("nid", "first", "root", "n").distinct()
+    both = large.join(sets, "nid").join(sets.select(F.col("nid").alias("first"), F.col("found").alias("found_first")), "first")
+    diffs = both.select("nid", "first", "root", "n", "found", "found_first")
+    diffs = diffs.mapInArrow(differ, "nid long, first long, root long, n long, keys array<long>, short long, long long")
+    each = diffs.select("nid", "first", "root", "n", "short", "long", F.explode("keys").alias("key"))
+    each = each.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("first", "key")))
+    nth = F.row_number().over(Window.partitionBy("first", "nid").orderBy("holders", "key"))
+    each = pin(each.withColumn("nth", nth).filter((F.col("nth") <= F.greatest("short", "long")) & (F.col("holders") > 1)))
+    finders = each.filter("nth <= long").select("first", "key", F.col("nid").alias("a"), "root", "n")
+    others = each.filter("nth <= short").select("first", "key", F.col("nid").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    pairs = finders.join(others, ["first", "key"]).filter(_fits(percent) & (F.col("a") != F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    done = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
 def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text_hash, n_shingles, set_id, root and component_id (smallest key reachable) of every row."""
     same_set = ["set_lo", "set_hi", "n"]
@@ -324,16 +414,10 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "d
     edges = pin(edges.unionByName(_verified(stars, sets, percent)))
 
     groups = components(edges)
-    placed = lists.select("key", "nid").join(groups.withColumnRenamed("node", "nid"), "nid", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "nid"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    placed = placed.join(mixed, "key", "left_semi").join(nodes.select("nid", "n"), "nid")
-    placed = pin(placed)
-    other = placed.select("key", F.col("n").alias("n2"), F.col("nid").alias("b"), F.col("root").alias("root2"))
-    fits = (F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2")) & (F.col("root") < F.col("root2"))
-    rest = placed.withColumnRenamed("nid", "a").join(other, "key").filter(fits).select("a", "b").distinct()
-    tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = pin(rest.join(tried, ["a", "b"], "left_anti"))
+    placed = pin(_placed(lists, groups, edges).join(nodes.select("nid", "n"), "nid"))
+    firsts = placed.filter((F.col("sets") > SMALL_LIST) & (F.col("nid") != F.col("first"))).select(F.least("nid", "first").alias("a"), F.greatest("nid", "first").alias("b"))
+    rest = _rest_of_small(placed, percent).unionByName(_rest_of_large(placed, sets, percent)).unionByName(firsts).distinct()
+    rest = pin(_untried(rest, stars))
     more = None if rest.isEmpty() else pin(_verified(rest, sets, percent))
     if more is not None and not more.isEmpty():
         groups = components(edges.unionByName(more))
