@@ -17,12 +17,17 @@ COUNTS = ("tokens", "correct_tags", "found_gold", "found_guess", "correct_chunks
 
 
 def join_gold_pred(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Align gold sentences and predictions: one shuffle by sentence, not by token."""
+    """Align gold sentences and predictions: one shuffle by sentence, not by token.
+
+    A sentence that only one side has is an error, as it would be missing from every rate.
+    """
     guesses = pred.select("sent_id", F.col("tags").alias("guesses"))
-    joined = gold.select("sent_id", "words", "tags").join(guesses, "sent_id")
+    joined = gold.select("sent_id", "words", "tags").join(guesses, "sent_id", "full_outer")
     uneven = F.raise_error(F.lit("gold and guess differ in length")).cast("array<string>")
     same = F.size("tags") == F.size("guesses")
-    return joined.withColumn("guesses", F.when(same, F.col("guesses")).otherwise(uneven))
+    alone = F.raise_error(F.lit("a sentence has no gold tags or no prediction")).cast("array<string>")
+    paired = F.col("tags").isNotNull() & F.col("guesses").isNotNull()
+    return joined.withColumn("guesses", F.when(~paired, alone).when(same, F.col("guesses")).otherwise(uneven))
 
 
 def raw_tags(sentences: DataFrame, outside: str = tg.OUTSIDE) -> DataFrame:
@@ -44,19 +49,26 @@ def split_tag(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _pairs() -> Column:
+def _pairs(boundary: str) -> Column:
     """The steps of a sentence: every token with the one before it, and a closing step.
 
+    A boundary token is outside any chunk on both sides, whatever its tags.
+
     ``g`` and ``h`` are the gold tag and the guess, ``pg`` and ``ph`` those before.
     """
     outside = F.array(F.lit(tg.OUTSIDE))
+
+    def inner(side: str) -> Column:
+        return F.zip_with("words", side, lambda w, t: F.when(w == boundary, F.lit(tg.OUTSIDE)).otherwise(t))
+
+    tags, guesses = inner("tags"), inner("guesses")
     return F.arrays_zip(
         F.sequence(F.lit(1), F.size("words") + 1).alias("pos"),
         F.concat("words", F.array(F.lit(None).cast("string"))).alias("word"),
-        F.concat(outside, F.col("tags")).alias("pg"),
-        F.concat(F.col("tags"), outside).alias("g"),
-        F.concat(outside, F.col("guesses")).alias("ph"),
-        F.concat(F.col("guesses"), outside).alias("h"),
+        F.concat(outside, tags).alias("pg"),
+        F.concat(tags, outside).alias("g"),
+        F.concat(outside, guesses).alias("ph"),
+        F.concat(guesses, outside).alias("h"),
     )
 
 
@@ -101,7 +113,7 @@ def _struct(columns: dict[str, Column]) -> Column:
 
 def token_events(sentences: DataFrame, boundary: str = BOUNDARY, busy: bool = False) -> DataFrame:
     """Chunk events as rows, one per step; ``busy`` keeps only the steps in or next to chunks."""
-    pairs = F.filter(_pairs(), _busy) if busy else _pairs()
+    pairs = F.filter(_pairs(boundary), _busy) if busy else _pairs(boundary)
     rows = sentences.select("sent_id", F.explode(pairs).alias("pair"))
     parsed = rows.select("sent_id", _struct(_parsed(F.col("pair"), boundary)).alias("p"))
     events = parsed.select("sent_id", "p", _struct(_events(F.col("p"))).alias("e"))
@@ -133,7 +145,7 @@ def _scanned(sentences: DataFrame, boundary: str) -> DataFrame:
     correct chunk exactly if the kept step before it has ``start_ok``: a shift by
     one of a filtered array, where a running state would be an ordered fold.
     """
-    pairs = F.filter(_pairs(), _busy)
+    pairs = F.filter(_pairs(boundary), _busy)
     parsed = F.transform(pairs, lambda pair: _struct(_parsed(pair, boundary)))
     events = F.transform(parsed, lambda p: F.struct(p.alias("p"), _struct(_events(p)).alias("e")))
     states = F.transform(

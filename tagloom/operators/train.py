@@ -19,10 +19,8 @@ from tagloom.operators.sentences import MAX_TAGS, checked_tags
 from tagloom.operators.viterbi import HISTORY, Transitions, best_path
 from tagloom.runtime import broadcast_if_small, pin, ship, store_bucketed, task_partitions
 
-# Tokens times tags of a shard when the number of shards is left open.
-SHARD_CELLS = 2_000_000
-# A shard is held by one task, so larger ones are refused.
-MAX_SHARD_TOKENS = 5_000_000
+# Tokens of a shard when the number of shards is left open.
+SHARD_TOKENS = 50_000
 # One row per partition of a sorted table.
 MAX_BROADCAST_PARTITIONS = 1_000_000
 
@@ -72,13 +70,6 @@ def _profile(corpus: DataFrame) -> tuple[list[str], int]:
     return checked_tags(found), tokens
 
 
-def _check_shards(sharded: DataFrame) -> None:
-    sizes = sharded.groupBy("shard").agg(F.sum(F.size("words").cast("bigint")).alias("tokens"))
-    largest = sizes.agg(F.max("tokens")).first()[0] or 0
-    if largest > MAX_SHARD_TOKENS:
-        raise ValueError(f"a shard has {largest} tokens, more than {MAX_SHARD_TOKENS}: use more shards")
-
-
 class ShardTrainer:
     """Online updates over the sentences of one shard.
 
@@ -206,10 +197,12 @@ def train(
     rounds: int = 1,
     families: tuple[str, ...] = fx.FAMILIES,
     rule: str = "hash",
+    shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """Weights of a structured perceptron trained from zero.
 
-    ``n_shards`` follows from the size of the corpus unless given. ``rounds > 1``
+    A shard is held by one task. Unless ``n_shards`` is given, there is one for every
+    ``shard_tokens`` tokens; mixing makes the weights depend on it. ``rounds > 1``
     starts every shard from the mixed weights of the round before; each shard is
     sent only the weights its words can use, and lineage is cut after each round.
     """
@@ -218,10 +211,8 @@ def train(
     corpus = sentences.select("sent_id", "words", "tags").filter(F.size("words") > 0)
     ascending, tokens = _profile(corpus)
     tags = ascending[::-1]
-    count = n_shards or tokens * len(tags) // SHARD_CELLS + 1
+    count = n_shards or tokens // shard_tokens + 1
     sharded = assign_shards(corpus, count, rule)
-    if n_shards:
-        _check_shards(sharded)
 
     def first(shard: pa.Table) -> pa.Table:
         return _train_shard(shard, None, tags, NO_TRIGRAMS, families, epochs)

@@ -353,12 +353,12 @@ def reset_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def train_parameter_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return train(corpora.labelled(spark, sf), n_shards=SHARDS, epochs=5)
+    return train(corpora.labelled(spark, sf), epochs=5)
 
 
 @query
 def train_iterative_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return train(corpora.labelled(spark, sf), n_shards=SHARDS, epochs=1, rounds=3)
+    return train(corpora.labelled(spark, sf), epochs=1, rounds=3)
 
 
 @query

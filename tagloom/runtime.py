@@ -66,9 +66,11 @@ def pin(df: DataFrame) -> DataFrame:
 def task_partitions(spark: SparkSession, groups: int) -> int:
     """Partitions for groups that mean much work on little data.
 
-    Given to ``repartition`` as a number, they are not merged for being small.
+    As many as the data has groups, if that is more than keeps the cores busy. Given to
+    ``repartition`` as a number, they are not merged for being small.
     """
-    return min(4 * groups, 4 * spark.sparkContext.defaultParallelism, MAX_PARTITIONS)
+    cores = 4 * spark.sparkContext.defaultParallelism
+    return min(4 * groups, max(cores, groups), MAX_PARTITIONS)
 
 
 def store_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:

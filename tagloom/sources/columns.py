@@ -109,7 +109,10 @@ def parse_eval_lines(lines: DataFrame, delimiter: str = " ", boundary: str = "-X
     """
 
     def parse(line: Column) -> Column:
-        items = F.split(line, delimiter)
+        found = F.split(line, delimiter)
+        # Empty items at the end of a line do not count.
+        last = F.array_max(F.transform(found, lambda item, i: F.when(item != "", i + 1).otherwise(0)))
+        items = F.slice(found, F.lit(1), last)
         first = F.get(items, F.lit(0))
         width = F.size(items)
         edge = first == boundary

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +12,11 @@ from tagloom.functions import text
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     """``feature weight`` lines as a table; the last line of a feature wins."""
     items = text.words(F.col("value"))
+    said = F.concat(F.lit("a weight line without a number: "), F.col("value"))
+    missing = F.when(F.get(items, F.lit(0)).isNotNull(), F.raise_error(said).cast("double"))
     lines = spark.read.text(path).select(
         F.get(items, F.lit(0)).alias("feature"),
-        F.get(items, F.lit(1)).cast("double").alias("weight"),
+        F.coalesce(F.get(items, F.lit(1)).cast("double"), missing).alias("weight"),
         F.struct(
             "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")
         ).alias("place"),
@@ -23,8 +26,16 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def weights_to_text(weights: DataFrame, decimals: int = 1) -> DataFrame:
-    """``feature weight`` lines; rounding loses precision, Parquet does not."""
-    number = F.format_string(f"%.{decimals}f", F.bround("weight", decimals))
+    """``feature weight`` lines; rounding loses precision, Parquet does not.
+
+    A weight that looks half-way, such as 0.35, is rounded by its exact binary value, which the
+    JVM's formats do not do.
+    """
+
+    def fixed(values: pd.Series) -> pd.Series:
+        return values.map(lambda w: f"{w:.{decimals}f}", na_action="ignore").astype(object)
+
+    number = F.pandas_udf(fixed, "string")(F.col("weight").cast("double"))
     return weights.select(F.concat_ws(" ", "feature", number).alias("line"))
 
 

@@ -17,6 +17,7 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = N
     stream = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    path = path.rstrip("/")
     # A stream takes a plain path for a directory; a pattern may match a file as well.
     return stream.parquet(f"{path[:-1]}[{path[-1]}]")
 

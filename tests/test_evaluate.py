@@ -156,3 +156,18 @@ def test_latex_report(sentences):
         r"LOC     &  100.00\% & 100.00\% & 100.00 \\\hline",
         r"Overall &  100.00\% & 100.00\% & 100.00 \\\hline",
     ]
+
+
+def test_sentences_of_one_side_are_an_error(spark):
+    gold = spark.createDataFrame([(1, ["a"], ["B-X"]), (2, ["b"], ["O"])], "sent_id int, words array<string>, tags array<string>")
+    for left, right in ((gold, gold.filter("sent_id = 1")), (gold.filter("sent_id = 1"), gold)):
+        with pytest.raises(Exception, match="no gold tags or no prediction"):
+            ev.evaluate(ev.join_gold_pred(left, right)).collect()
+
+
+def test_boundary_rows_hold_no_chunks(spark):
+    rows = [(1, ["-X-", "a"], ["B-P", "I-P"], ["B-P", "I-P"])]
+    table = spark.createDataFrame(rows, "sent_id int, words array<string>, tags array<string>, guesses array<string>")
+    found = ev.chunk_counts(table).filter("type = 'P'").first()
+    assert (found.found_gold, found.found_guess, found.correct_chunks) == (1, 1, 1)
+    assert ev.chunk_spans(table).select("start", "end").collect() == [(2, 2)]

@@ -7,6 +7,8 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from tagloom.plans.oracle import SQL
+from tagloom.plans.queries import REGISTRY
 
 TABLES = ("conversations", "documents", "events")
 
@@ -21,11 +23,12 @@ def duck():
 
 def test_contract_names():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    without = set(contract.queries()) - set(contract.oracle_sql())
+    assert set(REGISTRY) <= set(contract.queries())
+    without = set(REGISTRY) - set(contract.oracle_sql())
     assert without == {"train_parameter_mixing", "train_iterative_mixing"}
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     found = contract.queries()[name](spark, TESTDATA)
     columns = sorted(found.columns)

@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from tagloom.functions.features import FAMILIES
 from tagloom.operators.features import feature_rows, histories, parse_feature
 from tagloom.operators.sentences import pack, unpack
-from tagloom.sources.columns import read_conll, read_eval, read_unlabeled
+from tagloom.sources.columns import parse_eval_lines, read_conll, read_eval, read_unlabeled
 from tagloom.sources.sinks import eval_lines, tagged_lines, write_lines
 from tagloom.sources.tables import literal_pairs, tokenize
 from tagloom.sources.weights import read_weights, weights_to_text, write_weights
@@ -144,3 +144,20 @@ def test_mean_by_key(spark):
     pairs = [("a", 1), ("b", 2), ("a", 3), ("b", 1), ("c", 2), ("d", 4), ("c", 8)]
     found = {tuple(r) for r in mean_by_key(literal_pairs(spark, pairs), "k", "v").collect()}
     assert found == {("a", 2.0), ("b", 1.5), ("c", 5.0), ("d", 4.0)}
+
+
+def test_weights_round_by_their_exact_value(spark):
+    values = [k / 20 for k in range(-19, 20)] + [0.25, 0.75, 2.5, 0.05]
+    table = spark.createDataFrame([(f"f{i}", v) for i, v in enumerate(values)], "feature string, weight double")
+    assert sorted(r.line for r in weights_to_text(table).collect()) == sorted(f"f{i} {v:.1f}" for i, v in enumerate(values))
+
+
+def test_weight_line_without_number(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("TAG:O:a 1.0\nTAG:O:b\n")
+    with pytest.raises(Exception, match="without a number"):
+        read_weights(spark, str(tmp_path)).collect()
+
+
+def test_empty_items_at_the_end_do_not_count(spark):
+    lines = spark.createDataFrame([(1, ["a|O|B-P|", "b|O|O"])], "sent_id int, lines array<string>")
+    assert parse_eval_lines(lines, r"\|").select("tags", "guesses").first() == (["O", "O"], ["B-P", "O"])

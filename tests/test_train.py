@@ -112,11 +112,11 @@ def test_no_mistakes_no_weights(sentences):
     assert train(sentences((["a", "b"], ["O", "O"])), n_shards=1).count() == 0
 
 
-def test_large_shards_are_refused(sentences, monkeypatch):
-    monkeypatch.setattr(training, "MAX_SHARD_TOKENS", 10)
-    with pytest.raises(ValueError, match="use more shards"):
-        train(sentences(*corpus(7, 30)), n_shards=1)
-    assert train(sentences(*corpus(7, 30))).count() > 0
+def test_shards_follow_from_the_corpus(sentences):
+    table = sentences(*corpus(7, 30))
+    whole = {r.feature: r.weight for r in train(table, n_shards=1).collect()}
+    assert whole == {r.feature: r.weight for r in train(table, shard_tokens=10**6).collect()}
+    assert train(table, shard_tokens=10).count() > 0
 
 
 @pytest.mark.parametrize("total, n", [(10, 3), (3, 3), (7, 8), (50, 7)])
