@@ -40,6 +40,8 @@ REPEATS, STEPS, SAMPLED, STRIDE = 4, 12, 5, 3
 BLOCK_WORDS = 2_000_000
 #: Words of documents that are walked over together.
 CHUNK_WORDS = 200_000
+#: Cells of the distance rows that are filled together.
+TABLE_CELLS = 1 << 18
 _BITS = 16
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MATCH = "array<struct<item_id:bigint,n_words:bigint,distance:bigint,start:bigint,end:bigint>>"
@@ -141,6 +143,8 @@ class Items:
         owner = np.repeat(np.arange(len(texts)), sizes)
         starts = np.arange(sizes.sum()) + owner * len(pad)
         items, at = self.candidates(words, starts)
+        pairs: list[tuple[int, int, int]] = []
+        stretches: list[np.ndarray] = []
         for number in np.unique(items):
             item, where = self.words[number], at[items == number]
             n = len(item)
@@ -153,36 +157,79 @@ class Items:
             index = np.minimum(low[:, None] + np.arange(n + 2 * allowed)[None, :], len(words) - 1)
             inside = (low[:, None] + np.arange(n + 2 * allowed)[None, :]) < reach[:, None]
             shared = (np.isin(words[index], self.known[number]) & inside).sum(axis=1)
-            best: dict[int, tuple] = {}
             for j in np.flatnonzero(shared >= n - allowed):
-                d, a, b = best_stretch(item, words[low[j] : reach[j]])
-                if d <= allowed:
-                    first = int(low[j] - begin[doc[j]])
-                    entry = (d, first + a, first + b)
-                    best[int(doc[j])] = min(best.get(int(doc[j]), entry), entry)
-            for d, (distance, a, b) in best.items():
-                out[d].append({"item_id": self.ids[number], "n_words": n, "distance": distance, "start": a, "end": b})
+                pairs.append((int(number), int(doc[j]), int(low[j] - begin[doc[j]])))
+                stretches.append(words[low[j] : reach[j]])
+        limits = np.array([int(self.ratio * len(self.words[number])) for number, _, _ in pairs])
+        best: dict[tuple[int, int], tuple] = {}
+        found = best_stretches([self.words[number] for number, _, _ in pairs], stretches, limits)
+        for (number, d, first), limit, (distance, a, b) in zip(pairs, limits, found, strict=True):
+            if distance <= limit:
+                entry = (distance, first + a, first + b)
+                best[number, d] = min(best.get((number, d), entry), entry)
+        for (number, d), (distance, a, b) in best.items():
+            out[d].append({"item_id": self.ids[number], "n_words": len(self.words[number]), "distance": distance, "start": a, "end": b})
         return out
 
 
-def _last_row(item: np.ndarray, stretch: np.ndarray, free: bool) -> np.ndarray:
-    """Edit distances of the item to the stretches that end at each place; ``free``: they may begin anywhere."""
-    along = np.arange(len(stretch) + 1)
-    row = np.zeros(len(stretch) + 1, np.int64) if free else along.copy()
-    for i, word in enumerate(item):
-        below = np.minimum(row[1:] + 1, row[:-1] + (stretch != word))
-        row = np.concatenate([[i + 1], below])
-        row = np.minimum.accumulate(row - along) + along
+def _last_rows(items: np.ndarray, lengths: np.ndarray, stretches: np.ndarray, free: bool) -> np.ndarray:
+    """Edit distances of each row's item to the parts of its stretch that end at each place.
+
+    Items, a row each, are padded and sorted by length, longest first. ``free``: the parts may begin anywhere.
+    """
+    along = np.arange(stretches.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(items), len(along)), np.int32)
+    if not free:
+        row += along
+    for i in range(items.shape[1]):
+        now = int(np.searchsorted(-lengths, -i, "left"))
+        old = row[:now]
+        new = np.empty_like(old)
+        new[:, 0] = i + 1
+        np.minimum(old[:, 1:] + 1, old[:, :-1] + (stretches[:now] != items[:now, i, None]), out=new[:, 1:])
+        new -= along
+        np.minimum.accumulate(new, axis=1, out=new)
+        row[:now] = new + along
     return row
 
 
-def best_stretch(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
-    """Least edit distance of the item to a part of ``stretch``, and where that part begins and ends."""
-    ends = _last_row(item, stretch, free=True)
-    end = int(ends.argmin())
-    back = _last_row(item[::-1], stretch[:end][::-1], free=False)
-    length = int(back.argmin())
-    return int(ends[end]), end - length, end
+def _padded(words: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(words), max(map(len, words))), np.uint64)
+    for row, found in zip(out, words, strict=True):
+        row[: len(found)] = found
+    return out
+
+
+def _best_of(items: list[np.ndarray], stretches: list[np.ndarray], allowed: np.ndarray) -> list[tuple[int, int, int]]:
+    lengths = np.array([len(w) for w in items])
+    rows = _last_rows(_padded(items), lengths, _padded(stretches), free=True)
+    widths = np.array([len(w) for w in stretches])
+    rows[np.arange(rows.shape[1]) > widths[:, None]] = np.iinfo(np.int32).max
+    ends = rows.argmin(axis=1)
+    least = rows[np.arange(len(rows)), ends]
+    begins = np.zeros(len(rows), np.int64)
+    near = np.flatnonzero(least <= allowed)
+    if len(near):
+        back = _last_rows(_padded([items[j][::-1] for j in near]), lengths[near], _padded([stretches[j][: ends[j]][::-1] for j in near]), free=False)
+        back[np.arange(back.shape[1]) > ends[near, None]] = np.iinfo(np.int32).max
+        begins[near] = ends[near] - back.argmin(axis=1)
+    return list(zip(least.tolist(), begins.tolist(), ends.tolist(), strict=True))
+
+
+def best_stretches(items: list[np.ndarray], stretches: list[np.ndarray], allowed: np.ndarray) -> list[tuple[int, int, int]]:
+    """For each item the least edit distance to a part of its stretch, and where that part begins and ends.
+
+    Where the distance is above ``allowed`` the part is not looked for. Pairs of like size are worked on together.
+    """
+    order = sorted(range(len(items)), key=lambda j: -len(items[j]))
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(items)
+    while order:
+        size = max(1, TABLE_CELLS // (len(items[order[0]]) * 2 + 1))
+        batch, order = order[:size], order[size:]
+        found = _best_of([items[j] for j in batch], [stretches[j] for j in batch], allowed[batch])
+        for j, best in zip(batch, found, strict=True):
+            out[j] = best
+    return out
 
 
 _built: dict[tuple, Items] = {}
