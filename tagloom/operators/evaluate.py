@@ -111,10 +111,9 @@ def _struct(columns: dict[str, Column]) -> Column:
     return F.struct(*[column.alias(name) for name, column in columns.items()])
 
 
-def token_events(sentences: DataFrame, boundary: str = BOUNDARY, busy: bool = False) -> DataFrame:
-    """Chunk events as rows, one per step; ``busy`` keeps only the steps in or next to chunks."""
-    pairs = F.filter(_pairs(boundary), _busy) if busy else _pairs(boundary)
-    rows = sentences.select("sent_id", F.explode(pairs).alias("pair"))
+def token_events(sentences: DataFrame, boundary: str = BOUNDARY) -> DataFrame:
+    """Chunk events as rows, one per step."""
+    rows = sentences.select("sent_id", F.explode(_pairs(boundary)).alias("pair"))
     parsed = rows.select("sent_id", _struct(_parsed(F.col("pair"), boundary)).alias("p"))
     events = parsed.select("sent_id", "p", _struct(_events(F.col("p"))).alias("e"))
     states = _struct(_states(F.col("p"), F.col("e"))).alias("s")
@@ -222,21 +221,33 @@ def count_chunks(sentences: DataFrame, count: str) -> DataFrame:
     return typed.select("type", count)
 
 
-def chunk_spans(sentences: DataFrame, side: str = "gold") -> DataFrame:
+def chunk_spans(sentences: DataFrame, side: str = "gold", boundary: str = BOUNDARY) -> DataFrame:
     """Chunks of one side as rows: first and last position, and type.
 
-    A chunk ends at the first end event after its start. Only the steps with an
-    event are shuffled; the window reads them backwards, so its frame only grows.
+    A chunk ends at the first end event after its start, which nearly always is the
+    next event of its sentence; everything is found inside the row.
     """
-    starts, ends = f"open_{side}", f"end_{side}"
     kind = "g_type" if side == "gold" else "h_type"
-    events = token_events(sentences, busy=True).filter(F.col(starts) | F.col(ends) | ~F.col("token"))
-    backwards = Window.partitionBy("sent_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    next_end = F.last(F.when(F.col(ends), F.col("pos")), ignorenulls=True).over(backwards)
-    # A chunk that runs into the prefix '.' has no end event; it ends with the sentence.
-    sentence_end = F.max("pos").over(backwards)
-    spans = events.withColumn("end", F.coalesce(next_end, sentence_end) - 1).filter(starts)
-    return spans.select("sent_id", F.col("pos").alias("start"), "end", F.col(kind).alias("type"))
+    parsed = F.transform(F.filter(_pairs(boundary), _busy), lambda pair: _struct(_parsed(pair, boundary)))
+    events = F.transform(parsed, lambda p: F.struct(p.alias("p"), _struct(_events(p)).alias("e")))
+    marks = F.transform(
+        events,
+        lambda x: F.struct(
+            x["p"]["pos"].alias("pos"), x["p"][kind].alias("type"), x["e"][f"open_{side}"].alias("open"), x["e"][f"end_{side}"].alias("end")
+        ),
+    )
+    rows = sentences.select("sent_id", F.size("words").alias("size"), F.filter(marks, lambda m: m["open"] | m["end"]).alias("marks"))
+    rows = rows.withColumn("ends", F.transform(F.filter("marks", lambda m: m["end"]), lambda m: m["pos"]))
+
+    def span(mark: Column, following: Column) -> Column:
+        # A chunk that runs into the prefix '.' has no end event; it ends with a later one or with the sentence.
+        later = F.coalesce(F.array_min(F.filter("ends", lambda end: end > mark["pos"])), F.col("size") + 1)
+        end = F.when(following["end"], following["pos"]).otherwise(later) - 1
+        return F.when(mark["open"], F.struct(mark["pos"].alias("start"), end.alias("end"), mark["type"].alias("type")))
+
+    following = F.slice("marks", F.lit(2), F.size("marks"))
+    spans = rows.select("sent_id", F.explode(F.array_compact(F.zip_with("marks", following, span))).alias("span"))
+    return spans.select("sent_id", "span.*")
 
 
 def _rate(part: str, whole: str) -> Column:

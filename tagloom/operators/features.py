@@ -12,30 +12,33 @@ from tagloom.runtime import lookup_join
 STEP = ("t2", "t1", "tag", "word")
 
 
-def histories(sentences: DataFrame, stop_word: bool = False) -> DataFrame:
-    """One row per position with the two previous tags, and a STOP row per sentence.
-
-    The STOP row has no word unless ``stop_word``: training updates look at the
-    sentence with STOP appended to it, which adds word features for that position.
-    Columns other than the token arrays stay with the rows.
-    """
+def _steps(stop_word: bool) -> Column:
+    """The histories of a sentence as an array."""
     y = F.col("tags")
     padding = F.lit(fx.START)
     steps = F.size(y) + 1
     end = F.lit(fx.STOP) if stop_word else F.lit(None).cast("string")
-    shifted = F.arrays_zip(
+    return F.arrays_zip(
         F.slice(F.concat(F.array(padding, padding), y), F.lit(1), steps).alias("t2"),
         F.concat(F.array(padding), y).alias("t1"),
         F.concat(y, F.array(F.lit(fx.STOP))).alias("tag"),
         F.concat(F.col("words"), F.array(end)).alias("word"),
     )
+
+
+def histories(sentences: DataFrame, stop_word: bool = False) -> DataFrame:
+    """One row per position with the two previous tags, and a STOP row per sentence.
+
+    The STOP row has no word unless ``stop_word``: training updates look at the
+    sentence with STOP appended to it, which adds word features for that position.
+    Columns other than the token arrays stay with the rows.
+    """
     kept = [c for c in sentences.columns if c not in TOKEN_COLUMNS]
-    rows = sentences.select(*kept, F.posexplode(shifted).alias("at", "step"))
+    rows = sentences.select(*kept, F.posexplode(_steps(stop_word)).alias("at", "step"))
     return rows.select(*kept, (F.col("at") + 1).alias("pos"), *[f"step.{c}" for c in STEP])
 
 
-def _by_family(families: tuple[str, ...]) -> list[Column]:
-    t2, t1, tag, word = (F.col(c) for c in STEP)
+def _by_family(families: tuple[str, ...], t2: Column, t1: Column, tag: Column, word: Column) -> list[Column]:
     found = []
     if fx.TRIGRAM in families:
         found.append(fx.trigram(t2, t1, tag))
@@ -51,13 +54,29 @@ def feature_rows(steps: DataFrame, families: tuple[str, ...] = fx.FAMILIES) -> D
 
     All families come from one pass over the histories, not from a union of scans.
     """
-    features = F.array_compact(F.array(*_by_family(families)))
+    features = F.array_compact(F.array(*_by_family(families, *map(F.col, STEP))))
     return steps.select(*[c for c in steps.columns if c not in STEP], F.explode(features).alias("feature"))
 
 
-def feature_counts(features: DataFrame) -> DataFrame:
-    """Sentence-level feature vectors as rows."""
-    return features.groupBy("sent_id", "feature").agg(F.count(F.lit(1)).alias("n"))
+def feature_counts(sentences: DataFrame, families: tuple[str, ...] = fx.FAMILIES) -> DataFrame:
+    """Sentence-level feature vectors as rows.
+
+    A sentence is a row, so its features are sorted and counted by the lengths of their runs inside it.
+    """
+    per_step = F.transform(_steps(False), lambda step: F.array_compact(F.array(*_by_family(families, *[step[c] for c in STEP]))))
+    rows = sentences.select("sent_id", F.array_sort(F.flatten(per_step)).alias("features"))
+    before = F.concat(F.array(F.lit(None).cast("string")), "features")
+    begins = F.transform(F.arrays_zip(F.col("features").alias("now"), before.alias("before")), lambda x, i: F.when(~x["now"].eqNullSafe(x["before"]), i))
+    rows = rows.withColumn("begins", F.array_compact(begins))
+    following = F.slice("begins", F.lit(2), F.size("begins"))
+    runs = F.zip_with(
+        "begins",
+        following,
+        lambda a, b: F.struct(F.get("features", a).alias("feature"), (b - a).cast("long").alias("n")),
+    )
+    # The place after the last feature, where only ``before`` has an item, begins the run that closes the last one.
+    counted = rows.select("sent_id", F.explode(F.filter(runs, lambda run: run["n"].isNotNull())).alias("run"))
+    return counted.select("sent_id", "run.*")
 
 
 def parse_feature(weights: DataFrame) -> DataFrame:

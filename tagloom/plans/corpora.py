@@ -28,7 +28,7 @@ def gold_tag(word: Column, pos: Column) -> Column:
 def guess_tag(word: Column, pos: Column, gold: Column) -> Column:
     digit = F.substring(F.md5(F.concat(word, F.lit(":"), pos.cast("string"))), 1, 1)
     inside = gold != "O"
-    swapped = F.concat(F.when(F.substring(gold, 1, 1) == "B", "I").otherwise("B"), F.substring(gold, 2, 100))
+    swapped = F.concat(F.when(F.substring(gold, 1, 1) == "B", "I").otherwise("B"), F.substr(gold, F.lit(2)))
     return (
         F.when(inside & (digit < "3"), "O")
         .when(digit == "3", "I-PER")

@@ -254,7 +254,7 @@ def inner_product(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def feature_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed(ft.feature_counts(_features(spark, sf)))
+    return keyed(ft.feature_counts(corpora.labelled(spark, sf)))
 
 
 @query
