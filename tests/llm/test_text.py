@@ -110,6 +110,29 @@ def test_benchmark_passages(spark, documents, odd):
     assert decontaminate.drop_contaminated(odd, table.limit(0)).count() == 7
 
 
+def plain_distance(item: list[int], stretch: list[int]) -> int:
+    row = list(range(len(stretch) + 1))
+    for i, word in enumerate(item, 1):
+        row, above = [i], row
+        for j, other in enumerate(stretch, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (word != other)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("cells", [1, 200, 1 << 18])
+def test_edit_distances_of_many_pairs(monkeypatch, cells):
+    monkeypatch.setattr(decontaminate, "TABLE_CELLS", cells)
+    rng = np.random.default_rng(cells)
+    items = [rng.integers(1, 4, rng.integers(1, 9)).astype(np.uint64) for _ in range(40)]
+    stretches = [rng.integers(1, 4, rng.integers(1, 12)).astype(np.uint64) for _ in items]
+    found = decontaminate.best_stretches(items, stretches, np.array([len(i) for i in items]))
+    for item, stretch, (distance, begin, end) in zip(items, stretches, found, strict=True):
+        a, b = item.tolist(), stretch.tolist()
+        assert distance == min(plain_distance(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
+        assert plain_distance(a, b[begin:end]) == distance
+    assert decontaminate.best_stretches([], [], np.array([])) == []
+
+
 def test_toxicity(spark, documents, odd):
     rng = random.Random(4)
     rows = [(i, prose(rng, 60) + (" grobo" + rng.choice(["a", "en", "ti"]) + " you" if i % 4 == 0 else ""), "s") for i in range(600)]
