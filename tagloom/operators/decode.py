@@ -21,7 +21,7 @@ from tagloom.functions import features as fx
 from tagloom.operators.sentences import checked_tags
 from tagloom.operators.viterbi import HISTORY, Transitions, best_paths
 from tagloom.operators.weights import by_context
-from tagloom.runtime import lookup_join, ship, task_partitions
+from tagloom.runtime import counted, lookup_join, ship, task_partitions
 
 # Weights, and cells of their context-by-tag matrix, a broadcast may have: every Python worker holds a copy.
 MAX_BROADCAST_WEIGHTS = 1_000_000
@@ -119,7 +119,7 @@ def shard_contexts(sharded: DataFrame, families: tuple[str, ...]) -> DataFrame:
 
 def shard_weights(asked: DataFrame, weights: DataFrame, tags: list[str]) -> DataFrame:
     """The word and suffix weights of a model that each shard, here ``owner``, needs."""
-    hits = lookup_join(asked, by_context(weights, tags), "context", ["shard"], "inner", bound=weights.count())
+    hits = lookup_join(asked, by_context(weights, tags), "context", ["shard"], "inner", **counted(weights, "feature"))
     return hits.select(F.col("shard").alias("owner"), "context", "by_tag")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import features as fx
 from tagloom.operators.sentences import TOKEN_COLUMNS
-from tagloom.runtime import lookup_join
+from tagloom.runtime import counted, lookup_join
 
 STEP = ("t2", "t1", "tag", "word")
 
@@ -100,14 +100,14 @@ def parse_feature(weights: DataFrame) -> DataFrame:
 def known_features(features: DataFrame, weights: DataFrame) -> DataFrame:
     """Keep the feature rows the model has a weight for. ``weights`` is counted, so store or pin it."""
     return lookup_join(
-        features, weights.select("feature"), "feature", ["sent_id", "pos"], "left_semi", bound=weights.count()
+        features, weights.select("feature"), "feature", ["sent_id", "pos"], "left_semi", **counted(weights, "feature")
     )
 
 
 def score_features(features: DataFrame, weights: DataFrame) -> DataFrame:
     """Attach weights to feature rows; a missing weight is 0. ``weights`` is counted, so store or pin it."""
     known = weights.select("feature", "weight")
-    scored = lookup_join(features, known, "feature", ["sent_id", "pos"], "left", bound=weights.count())
+    scored = lookup_join(features, known, "feature", ["sent_id", "pos"], "left", **counted(weights, "feature"))
     return scored.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import features as fx
 from tagloom.operators.features import feature_rows, histories
 from tagloom.operators.sentences import mistakes, tag_list
-from tagloom.runtime import lookup_join
+from tagloom.runtime import counted, lookup_join
 
 
 def mean_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -85,7 +85,7 @@ def emission_scores(
     contexts = fx.word_contexts(F.col("word"), families)
     asked = vocabulary.select("word", F.posexplode_outer(contexts).alias("at", "context"))
     # A suffix can be shared by very many words, hence the salted join.
-    hits = lookup_join(asked, by_context(weights, tags), "context", ["word"], "left", bound=weights.count())
+    hits = lookup_join(asked, by_context(weights, tags), "context", ["word"], "left", **counted(weights, "feature"))
     none = F.array().cast("array<struct<tag: string, weight: double>>")
     # Every word has a score for every tag, so its first context brings zeros for all.
     zeros = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(0.0).alias("weight")) for t in tags])

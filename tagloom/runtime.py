@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 8
-# Rows of a look-up table that is broadcast.
-MAX_LOOKUP_ROWS = 1_000_000
+# Rows of a look-up table that is broadcast, and bytes of its keys.
+MAX_LOOKUP_ROWS, MAX_LOOKUP_BYTES = 1_000_000, 64 << 20
 # Spark's limit for the buckets of a table.
 MAX_PARTITIONS = 100_000
 
@@ -96,17 +96,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def counted(table: DataFrame, key: str) -> dict[str, int]:
+    """The bounds for ``lookup_join`` of a pinned or stored table, by one job."""
+    size = F.coalesce(F.sum(F.octet_length(key).cast("long")), F.lit(0))
+    rows, size = table.agg(F.count(F.lit(1)), size).first()
+    return {"bound": rows, "bound_bytes": size}
+
+
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str, bound: int, salts: int = SALTS
+    left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str, bound: int, bound_bytes: int = 0, salts: int = SALTS
 ) -> DataFrame:
     """Join ``left``, where one key may hold a large share of the rows, with
-    ``right``, where ``key`` is unique and which has at most ``bound`` rows.
+    ``right``, where ``key`` is unique and which has at most ``bound`` rows with keys of ``bound_bytes``.
 
     A small right side is broadcast. Otherwise the rows of every key go to
     ``salts`` tasks, chosen by a hash of the ``spread`` columns, and each right
     row is copied to all of them.
     """
-    if bound <= MAX_LOOKUP_ROWS:
+    if bound <= MAX_LOOKUP_ROWS and bound_bytes <= MAX_LOOKUP_BYTES:
         return left.join(F.broadcast(right), key, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
