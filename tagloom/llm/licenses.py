@@ -1,13 +1,13 @@
 """License scan as an exact set-similarity join of text blocks with templates, with DataFrame functions.
 
-A block is a line; lines of more than ``BLOCK`` words are cut into blocks which
-overlap by half, so every run of ``BLOCK`` / 2 words lies in one block. A block
-meets a template if it holds at least ``threshold`` of the template's distinct
-words. Words are put in order of their number of blocks, rarest first, over the
-whole corpus. A block that meets a template must hold one of the template's
+A notice stands where at most ``BLOCK`` words in a row, whatever the line ends, hold at
+least ``threshold`` of a template's distinct words. Documents are cut into blocks of twice
+as many words which overlap by half, so every such place lies in one block.
+Words are put in order of their number of blocks, rarest first, over the
+whole corpus. A block that may meet a template must hold one of the template's
 first words in that order (prefix), must have enough words (length) and, from the
 place of the first shared word on, enough words left on both sides (position);
-what is left is compared exactly. Labels of the templates join the base labels,
+what is left is compared exactly, word by word. Labels of the templates join the base labels,
 which come from places where a phrase stands word by word.
 
 Defined results: words are runs of digits, letters a-z (A-Z lower-cased) and
@@ -17,15 +17,18 @@ results. Extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from math import ceil
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.runtime import pin
+from tagloom.runtime import pin, ship
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Longest block in words.
+#: Longest run of words that a notice may take.
 BLOCK = 64
 # Phrases of the base scan and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -66,77 +69,131 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.when((last >= 0) & F.array_contains(words, parts[-1]), places).otherwise(F.array().cast("array<int>"))
 
 
-def blocks(lines: Column) -> Column:
-    """Distinct words of every block of an array of lines' words."""
-    half = BLOCK // 2
+def blocks(words: Column, vocabulary: list[str]) -> Column:
+    """Words of the vocabulary and their places, for every block of an array of words."""
+    known = F.transform(words, lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.alias("at"))))
 
-    def cut(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - half - 1, F.lit(0)), F.lit(half))
-        return F.transform(starts, lambda s: F.array_distinct(F.slice(words, s + 1, F.lit(BLOCK))))
+    def cut(known: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(known) - BLOCK - 1, F.lit(0)), F.lit(BLOCK))
+        return F.transform(starts, lambda s: F.array_compact(F.slice(known, s + 1, F.lit(2 * BLOCK))))
 
-    return F.flatten(F.transform(lines, cut))
+    # Within the lambda the words are looked up once a row, not once a block.
+    return F.flatten(F.transform(F.array(known), cut))
+
+
+def distinct_words(block: Column) -> Column:
+    return F.array_distinct(F.transform(block, lambda k: k["word"]))
 
 
 def scan_texts(docs: DataFrame, key: str, text: str, vocabulary: list[str]) -> DataFrame:
     """key, text_hash, the base scan, and the blocks as their words of the vocabulary."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_hash"), F.split(body, "\n").alias("raw"))
-    rows = rows.withColumn("lines", F.transform("raw", split_words)).drop("raw").withColumn("words", F.flatten("lines"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_hash"), split_words(body).alias("words"))
     for i, (phrase, _) in enumerate(PHRASES):
         rows = rows.withColumn(f"at{i}", phrase_places(F.col("words"), phrase))
     places = F.concat(*[F.col(f"at{i}") for i in range(len(PHRASES))])
     labels = F.array(*[F.when(F.size(f"at{i}") > 0, label) for i, (_, label) in enumerate(PHRASES)])
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    kept = F.transform(blocks(F.col("lines")), lambda b: F.array_intersect(b, known))
     return rows.select(
         "key", "text_hash", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"), kept.alias("blocks"),
+        F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"), blocks(F.col("words"), vocabulary).alias("blocks"),
     )
 
 
 def word_order(scanned: DataFrame, vocabulary: list[str]) -> list[str]:
     """The vocabulary, rarest first by the number of blocks in the corpus; one row per word of it."""
-    counted = scanned.select(F.explode("blocks").alias("b")).select(F.explode("b").alias("word")).groupBy("word").count()
+    counted = scanned.select(F.explode("blocks").alias("b")).select(F.explode(distinct_words(F.col("b"))).alias("word")).groupBy("word").count()
     found = {r["word"]: r["count"] for r in counted.collect()}
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
 
 
+class Place(NamedTuple):
+    """First and last word of a run that meets a template, and the template's words in it."""
+
+    first: int
+    last: int
+    words: frozenset[str]
+    cover: float
+
+
+def places_of(known: list[tuple[int, str]], template: frozenset[str], need: int) -> list[Place]:
+    """The shortest runs of at most ``BLOCK`` words with ``need`` words of the template, in order of both ends."""
+    latest: dict[str, int] = {}
+    out: list[Place] = []
+    for at, word in known:
+        if word not in template:
+            continue
+        latest[word] = at
+        held = {w: p for w, p in latest.items() if p > at - BLOCK}
+        first = min(held.values())
+        # A run with the same start is longer than the one before it and has to hold more.
+        if len(held) >= need and not (out and out[-1].first == first and len(out[-1].words) >= len(held)):
+            out.append(Place(first, at, frozenset(held), len(held) / len(template)))
+    return out
+
+
+def outdone(place: Place, rivals: list[Place]) -> bool:
+    """Whether a run over the same place covers its template better."""
+    for rival in rivals[bisect_left(rivals, place.first, key=lambda r: r.last) :]:
+        if rival.first > place.last:
+            return False
+        if rival.cover > place.cover:
+            return True
+    return False
+
+
+def named_templates(known: list[tuple[int, str]], templates: list[tuple[str, frozenset[str], int]]) -> tuple[list[str], float]:
+    """Labels of the templates met, and the best cover (0 without any)."""
+    places = [places_of(known, words, need) for _, words, need in templates]
+    labels = set()
+    for (label, _, _), own in zip(templates, places, strict=True):
+        others = [rivals for rivals in places if rivals is not own]
+        if any(not any(outdone(place, rivals) for rivals in others) for place in own):
+            labels.add(label)
+    return sorted(labels), max((p.cover for own in places for p in own), default=0.0)
+
+
 def scan_licenses(
     docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """The base scan of every row, with ``labels`` and ``score`` by the templates met."""
     spark = docs.sparkSession
+    ship(spark)
     sets = [(label, sorted(set(words.split(" ")))) for label, words in templates]
     vocabulary = sorted({w for _, words in sets for w in words})
     least = min(ceil(threshold * len(words) - 1e-9) for _, words in sets)
     order = word_order(scan_texts(docs, key, text, vocabulary), vocabulary)
     rank = {w: i for i, w in enumerate(order)}
 
-    enough = F.filter("blocks", lambda b: F.size(b) >= least)
+    enough = F.filter("blocks", lambda b: F.size(distinct_words(b)) >= least)
     scanned = pin(scan_texts(docs, key, text, order).withColumn("blocks", enough))
     index = []
-    for at, (label, words) in enumerate(sets):
+    for at, (_, words) in enumerate(sets):
         ranked = sorted(rank[w] for w in words)
         need = ceil(threshold * len(words) - 1e-9)
-        index += [(r, p, at, label, ranked, need) for p, r in enumerate(ranked[: len(ranked) - need + 1])]
+        index += [(r, p, at, ranked, need) for p, r in enumerate(ranked[: len(ranked) - need + 1])]
     # Rows of the prefix index: bounded by the words of the templates.
-    prefixes = F.broadcast(spark.createDataFrame(index, "rank int, place int, template int, label string, ranked array<int>, need int"))
+    prefixes = F.broadcast(spark.createDataFrame(index, "rank int, place int, template int, ranked array<int>, need int"))
     ranks = F.map_from_arrays(F.array(*[F.lit(w) for w in order]), F.array(*[F.lit(i) for i in range(len(order))]))
     held = scanned.select("key", "text_hash", F.posexplode("blocks").alias("block", "words"))
-    held = held.withColumn("has", F.array_sort(F.transform("words", lambda w: F.element_at(ranks, w)))).drop("words")
+    held = held.withColumn("has", F.array_sort(F.transform(distinct_words(F.col("words")), lambda w: F.element_at(ranks, w))))
     pairs = held.select("*", F.posexplode("has").alias("place_b", "rank")).join(prefixes, "rank")
     left = F.least(F.size("ranked") - F.col("place"), F.size("has") - F.col("place_b"))
     pairs = pairs.filter((F.size("has") >= F.col("need")) & (F.col("place") + left >= F.col("need")))
-    shared = F.size(F.array_intersect("has", "ranked"))
-    met = pairs.withColumn("shared", shared).filter("shared >= need").withColumn("cover", F.col("shared") / F.size("ranked"))
-    # Of templates that differ in a word, such as versions of one license, a block names those it covers best.
-    in_block = met.groupBy("key", "text_hash", "block").agg(F.max("cover").alias("best"), F.collect_set(F.struct("cover", "label")).alias("all"))
-    named = F.transform(F.filter("all", lambda m: m["cover"] == F.col("best")), lambda m: m["label"])
-    found = in_block.select("key", "text_hash", "best", F.explode(named).alias("label")).groupBy("key", "text_hash").agg(
-        F.collect_set("label").alias("more"), F.max("best").alias("best")
-    ).select(F.col("key").alias("k2"), F.col("text_hash").alias("h2"), "more", "best")
+    met = pairs.filter(F.size(F.array_intersect("has", "ranked")) >= F.col("need"))
+    by_row = met.groupBy("key", "text_hash").agg(F.collect_set("template").alias("templates"), F.collect_set("words").alias("words"))
+    known = F.array_sort(F.array_distinct(F.flatten("words")), lambda a, b: a["at"] - b["at"])
+    by_row = by_row.withColumn("known", known)
+    wanted = [(label, frozenset(words), ceil(threshold * len(words) - 1e-9)) for label, words in sets]
+
+    def name(at: pd.Series, words: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        rows = zip(at, words, numbers, strict=True)
+        out = [named_templates(list(zip(a.tolist(), w, strict=True)), [wanted[t] for t in n]) for a, w, n in rows]
+        return pd.DataFrame(out, columns=["more", "best"])
+
+    named = F.pandas_udf(name, "more array<string>, best double")(F.col("known.at"), F.col("known.word"), F.col("templates"))
+    found = by_row.select(F.col("key").alias("k2"), F.col("text_hash").alias("h2"), named.alias("named")).select("k2", "h2", "named.more", "named.best")
 
     whole = scanned.drop("blocks").join(found, F.col("key").eqNullSafe(F.col("k2")) & (F.col("text_hash") == F.col("h2")), "left")
     more = F.coalesce("more", F.array().cast("array<string>"))

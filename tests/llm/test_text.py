@@ -50,6 +50,19 @@ def test_licenses(documents, odd):
     assert licenses.scan_licenses(odd).count() == 7 and licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_wrapped_licenses(documents):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    mpl = "subject to the terms of the Mozilla Public\n * License, v. 2.0"
+    gpl = "This work is\nlicensed under the GNU General Public License, version 3"
+    rows = [(100 * i + n, "x " * n + text + " y" * 150, "s") for i, text in enumerate((bsd, mpl, gpl)) for n in range(0, 100, 3)]
+    rows.append((999, " z z z z z z\nz ".join(licenses.TEMPLATES[7][1].split()), "s"))
+    found = {r.doc_id: r for r in licenses.scan_licenses(documents(rows)).collect()}
+    for i, label in enumerate(("bsd", "mpl", "gpl")):
+        assert {found[100 * i + n].labels for n in range(0, 100, 3)} == {label}
+        assert {found[100 * i + n].score for n in range(0, 100, 3)} == {1.0}
+    assert found[999].labels == ""  # too far apart
+
+
 def shingles(text, n=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
