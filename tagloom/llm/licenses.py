@@ -133,11 +133,14 @@ def places_of(known: list[tuple[int, str]], template: frozenset[str], need: int)
 
 
 def outdone(place: Place, rivals: list[Place]) -> bool:
-    """Whether a run over the same place covers its template better."""
+    """Whether a run over the same place covers its template better and holds all words matched here.
+
+    So versions of one license that differ in a word name the best one, and other notices are kept.
+    """
     for rival in rivals[bisect_left(rivals, place.first, key=lambda r: r.last) :]:
         if rival.first > place.last:
             return False
-        if rival.cover > place.cover:
+        if rival.cover > place.cover and place.words <= rival.words:
             return True
     return False
 

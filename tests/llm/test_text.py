@@ -63,6 +63,14 @@ def test_wrapped_licenses(documents):
     assert found[999].labels == ""  # too far apart
 
 
+def test_several_licenses_in_a_line(documents):
+    mit = "permission is hereby granted free of charge to any person obtaining a copy"
+    bsd, nc, sa = licenses.TEMPLATES[7][1], "licensed under CC BY-NC 4.0", "licensed under CC BY-SA 4.0"
+    rows = [(1, f"/*! {bsd}. {mit} */", "s"), (2, f"/*! {mit}; {bsd} */", "s"), (3, f"{nc}. {sa}", "s"), (4, nc, "s"), (5, f"{bsd} " + "x " * 90 + mit, "s")]
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(documents(rows)).collect()}
+    assert found == {1: ("bsd,mit", 1.0), 2: ("bsd,mit", 1.0), 3: ("cc-by-nc,cc-by-sa", 1.0), 4: ("cc-by-nc", 1.0), 5: ("bsd,mit", 1.0)}
+
+
 def shingles(text, n=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
