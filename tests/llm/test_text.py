@@ -131,6 +131,27 @@ def test_benchmark_passages(spark, documents, odd):
     assert decontaminate.drop_contaminated(odd, table.limit(0)).count() == 7
 
 
+def test_near_duplicate_stage(spark, documents):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows, copies = [], set()
+    for k in range(12):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(10_000)}" for _ in range(200)]
+        changed = list(base)
+        for place in range(30, 200, 50):  # 4 words, 20 five-word shingles: 176 of 216 shared
+            changed[place] = "zzz"
+        longer = base + [f"{rng.choice(WORDS)}{rng.randrange(10_000)}" for _ in range(30)]  # 196 of 226 shared
+        far = base[:140] + [f"q{rng.randrange(10_000)}" for _ in range(60)]
+        rows += [(4 * k + j, " ".join(t), "s") for j, t in enumerate((base, changed, longer, far))]
+        copies |= {4 * k + 1, 4 * k + 2}
+    sets = {i: shingles(t, 5) for i, t, _ in rows}
+    ratios = [len(sets[i] & sets[i - i % 4]) / len(sets[i] | sets[i - i % 4]) for i in copies]
+    assert all(0.8 <= r < 0.9 for r in ratios)
+    kept = corpus_pipeline.near_duplicates(spark, documents(rows), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(sets) - copies)
+
+
 def plain_distance(item: list[int], stretch: list[int]) -> int:
     row = list(range(len(stretch) + 1))
     for i, word in enumerate(item, 1):
