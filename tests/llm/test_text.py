@@ -131,6 +131,25 @@ def test_benchmark_passages(spark, documents, odd):
     assert decontaminate.drop_contaminated(odd, table.limit(0)).count() == 7
 
 
+@pytest.mark.parametrize("n", [5, 6, 9, 10, 12, 15, 17, 20, 40, 90])
+def test_edited_items_of_all_lengths(n):
+    rng = random.Random(n)
+    hashes = np.random.default_rng(n).integers(1, 1 << 62, 100_000).astype(np.uint64)
+    item, allowed = hashes[:n], int(0.2 * n)
+    items = decontaminate.Items([7, 8], [item, hashes[200:205]], 0.2, decontaminate.REPEATS)
+    texts = []
+    for trial in range(60):
+        edited = item.tolist()
+        for place in rng.sample(range(n), allowed) if allowed > 1 else [trial % n]:
+            edited[place] = int(hashes[rng.randrange(1000, 90_000)])
+        lead = hashes[1000 + trial : 1000 + trial + 5 * (trial % 4)]
+        texts.append(np.concatenate([lead, np.array(edited, np.uint64), hashes[5000:5030]]))
+    texts += [np.concatenate([hashes[9000:9100], item[: n - allowed]]), np.concatenate([item[allowed:], hashes[300:390]]), hashes[:0]]
+    found = items.matches(texts)
+    assert [[m["item_id"] for m in row] for row in found] == [[7]] * 62 + [[]]
+    assert all(row[0]["distance"] <= allowed for row in found[:-1])
+
+
 def test_near_duplicate_stage(spark, documents):
     import corpus_pipeline
 
