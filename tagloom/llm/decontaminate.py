@@ -1,6 +1,7 @@
 """Benchmark decontamination by edit distance, with CGK embeddings and bit sampling.
 
-Texts are words, lower-cased and without marks. The CGK embedding walks over a
+Texts are words, lower-cased and without marks; in scripts that put no spaces between
+words (Chinese, Japanese, Thai, Lao, Khmer, Burmese) every character counts as a word. The CGK embedding walks over a
 word sequence: at each step it writes the present word and moves on by a random
 bit that depends on step and word, so two windows at a small edit distance walk
 alike most of the time and differ in few steps. Sampled steps of that embedding are
@@ -17,13 +18,15 @@ any allowed match at least one piece stands unchanged in the document, and every
 holds a piece is checked. By that no match is lost, at any length of items: recall is 1.
 
 Items are taken in blocks of ``BLOCK_WORDS`` words, and all documents meet every
-block; nothing is shuffled. Items of fewer than ``LEAST_WORDS`` words are no
-evidence and match nothing, nor do null or empty texts. Equal items are
-reported each. Extra columns are ignored by the queries and kept by the filter.
+block; nothing is shuffled. Items of fewer than 1 / ``ratio`` words (5) may have no edits:
+they match where all their words stand in a row. Null and empty texts have no words and
+match nothing. Equal items are reported each. Extra columns are ignored by the queries
+and kept by the filter.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from tagloom.llm.ngram_join import _mixed, word_hashes
 from tagloom.runtime import ship
 
-#: Least words of an item, share of its words that may be edited.
-LEAST_WORDS, RATIO = 5, 0.2
+#: Share of an item's words that may be edited.
+RATIO = 0.2
 #: Independent walks, steps of a walk, sampled steps, words between anchors.
 REPEATS, STEPS, SAMPLED, STRIDE = 4, 12, 5, 3
 #: Words of all items of a block; a block travels to every task.
@@ -46,11 +49,19 @@ CHUNK_WORDS = 200_000
 TABLE_CELLS = 1 << 18
 _BITS, _PIECE_BITS = 16, 20
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Characters of scripts without spaces between words, and the marks of such texts.
+_UNSPACED = re.compile(
+    "([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3031-\u3035\u303b\u3041-\u30fa\u30fc-\u312f\u31a0-\u31bf"
+    "\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00016fe0-\U00018dff\U0001aff0-\U0001b16f\U00020000-\U0003ffff])"
+)
+_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u303d\u30fb\ufe30-\ufe4f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 MATCH = "array<struct<item_id:bigint,n_words:bigint,distance:bigint,start:bigint,end:bigint>>"
 
 
 def plain_words(text: str) -> np.ndarray:
     """Hashes of the words of a text."""
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", _MARKS.sub(" ", text))
     return word_hashes(text.encode().translate(_KEEP))
 
 
@@ -310,13 +321,13 @@ def _match_column(text: Column, block: list[tuple[int | None, str]], ratio: floa
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[int | None, str]]]:
-    """Items with enough words, in lists of at most about ``block_words`` words."""
+    """Items with words, in lists of at most about ``block_words`` words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"))
     blocks, size = [[]], 0
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         n = len(plain_words(row["text"]))
-        if n >= LEAST_WORDS:
+        if n:
             if size + n > block_words and blocks[-1]:
                 blocks.append([])
                 size = 0

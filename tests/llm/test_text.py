@@ -131,6 +131,19 @@ def test_benchmark_passages(spark, documents, odd):
     assert decontaminate.drop_contaminated(odd, table.limit(0)).count() == 7
 
 
+def test_short_and_unspaced_items(spark, documents):
+    chinese, thai = "光合作用中植物吸收什么气体并释放出什么气体", "ประเทศไทยมีเมืองหลวงชื่ออะไร"
+    items = [(1, "Boiling point, water?"), (2, chinese), (3, thai), (4, "東京。"), (5, "ja"), (6, " . "), (7, "")]
+    texts = [
+        "the boiling point (water)", "the boiling hot point water", f"题目：{chinese}？答", f"我们{chinese.replace('植物', '动物')}", f"ก{thai}ข", thai.replace("เมือง", "กกกกก"),
+        "今日は東京に行く", "東の京", "naja jan", "oh JA!", "", None,
+    ]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    matched = decontaminate.with_matches(documents([(i, t, "s") for i, t in enumerate(texts)]), table)
+    found = {r.doc_id: (r.item_id, r.distance) for r in matched.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*").collect()}
+    assert found == {0: (1, 0), 2: (2, 0), 3: (2, 1), 4: (3, 0), 5: (3, 5), 6: (4, 0), 9: (5, 0)}
+
+
 @pytest.mark.parametrize("n", [5, 6, 9, 10, 12, 15, 17, 20, 40, 90])
 def test_edited_items_of_all_lengths(n):
     rng = random.Random(n)
