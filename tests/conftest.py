@@ -6,8 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-TESTDATA = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

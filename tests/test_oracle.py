@@ -4,7 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from conftest import TESTDATA
+from paths import TESTDATA
 
 import __spark_entry__ as contract
 from tagloom.plans.oracle import SQL

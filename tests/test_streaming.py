@@ -1,5 +1,5 @@
 import pytest
-from conftest import TESTDATA
+from paths import TESTDATA
 
 from tagloom.operators.decode import decode
 from tagloom.operators.evaluate import COUNTS, chunk_counts
