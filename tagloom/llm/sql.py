@@ -2,4 +2,63 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_SPACES = r"[ \t\n\x0B\f\r]+"
+
+_FILTER_AUDIT = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '{_SPACES}'), lambda w: w <> '') AS words
+  FROM documents
+),
+firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels GROUP BY doc_id
+),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, list_filter([
+    CASE WHEN len(words) < 50 THEN 'A' END,
+    CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' END,
+    CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' END,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN doc_id > first THEN 'E' END], lambda f: f IS NOT NULL) AS fails
+  FROM texts JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)
+),
+counts AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM judged GROUP BY part, fails),
+orders AS (
+  SELECT '' AS o, 0 AS k
+  UNION ALL
+  SELECT o || f, k + 1 FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS t(f) WHERE k < 5 AND NOT contains(o, f)
+),
+steps AS (
+  SELECT o AS filter_order, i::INTEGER AS step, string_split(o[1:i - 1], '') AS done, o[i:i] AS filter
+  FROM (SELECT o FROM orders WHERE k = 5), generate_series(1, 5) AS s(i)
+),
+facts AS (
+  SELECT part, filter_order, step, filter, n, good, bad, list_contains(fails, filter) AS fail,
+         list_has_any(fails, done) AS gone, fails = [filter] AS sole
+  FROM counts, steps
+),
+found AS (
+  SELECT part, filter_order, step, filter,
+         coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fail AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fail AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (sole), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (fail AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(bad) FILTER (fail AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM facts GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM found"""
+
+_EXACT_DEDUP = rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g') AS body FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY body ORDER BY doc_id) = 1 AS kept, sha256(body) AS text_sha256
+FROM texts WINDOW w AS (PARTITION BY body)"""
+
+SQL: dict[str, str] = {"op11_exact_dedup": _EXACT_DEDUP, "op13_filter_audit": _FILTER_AUDIT}
