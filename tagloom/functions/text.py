@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: the ASCII white space that separates words.
 WHITESPACE = r"[ \t\n\x0B\f\r]+"
-# A line break and a line without visible characters: the end of a paragraph.
-PARAGRAPH_END = r"\n[ \t\x0B\f\r]*\n"
 
 
 def strip(text: Column) -> Column:
@@ -18,8 +16,3 @@ def strip(text: Column) -> Column:
 def words(line: Column) -> Column:
     """White-space separated items of a line, without empty ones."""
     return F.array_remove(F.split(line, WHITESPACE), "")
-
-
-def visible_lines(block: Column) -> Column:
-    """Stripped lines of a text block, without those of white space only."""
-    return F.array_remove(F.transform(F.split(block, "\n"), strip), "")

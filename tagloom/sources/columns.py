@@ -2,61 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import text
-from tagloom.runtime import broadcast_if_small, pin
-
-# One row per file split; a split stands for up to maxPartitionBytes of text.
-MAX_BROADCAST_SPLITS = 1_000_000
-
-
-def _separator(spark: SparkSession, path: str) -> str:
-    """The usual blank line of the files: a look at the first line tells how lines end."""
-    first = spark.read.option("lineSep", "\n").text(path).first()
-    return "\r\n\r\n" if first and first.value.endswith("\r") else "\n\n"
-
-
-def _paragraphs(spark: SparkSession, path: str, sentence_sep: str | None) -> DataFrame:
-    """Stripped lines of every paragraph with a dense ``sent_id`` in file order.
-
-    The text source cuts records at ``sentence_sep``, so a sentence that crosses a
-    file split stays whole and nothing is shuffled; other kinds of blank line are
-    found inside the record. Ids are the paragraph's number in its split plus the
-    number of paragraphs in all earlier splits. The rows are pinned first, so both
-    parts see the same numbering.
-    """
-    records = spark.read.option("lineSep", sentence_sep or _separator(spark, path)).text(path)
-    blocks = records.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.explode(F.split("value", text.PARAGRAPH_END)).alias("block"),
-    )
-    lines = blocks.select("file", "start", text.visible_lines(F.col("block")).alias("lines"))
-    numbered = pin(lines.filter(F.size("lines") > 0).withColumn("row", F.monotonically_increasing_id()))
-    splits = numbered.groupBy("file", "start").agg(
-        F.min("row").alias("first_row"), F.count(F.lit(1)).alias("paragraphs")
-    )
-    # A running sum over splits, not over rows.
-    earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("paragraphs").over(earlier), F.lit(0))
-    offsets = pin(splits.select("file", "start", (before - F.col("first_row")).alias("shift")))
-    placed = numbered.join(broadcast_if_small(offsets, MAX_BROADCAST_SPLITS), ["file", "start"])
-    return placed.select("file", (F.col("row") + F.col("shift") + 1).alias("sent_id"), "lines")
-
-
-def _drop_unterminated(spark: SparkSession, path: str, paragraphs: DataFrame) -> DataFrame:
-    """Drop the last sentence of each file whose last line is not blank."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"),
-        (text.strip(F.col("value")) == "").alias("blank"),
-    )
-    open_end = lines.groupBy("file").agg(F.max_by("blank", "place").alias("closed")).filter(~F.col("closed"))
-    last = paragraphs.groupBy("file").agg(F.max("sent_id").alias("sent_id"))
-    dropped = last.join(open_end, "file", "left_semi").select("sent_id")
-    return paragraphs.join(dropped, "sent_id", "left_anti")
+from tagloom.sources.records import paragraphs
 
 
 def _item(line: Column, column: int) -> Column:
@@ -72,32 +22,21 @@ def read_conll(
     word_col: int = 0,
     tag_col: int = 3,
     keep_unterminated: bool = True,
-    sentence_sep: str | None = None,
 ) -> DataFrame:
-    """Labelled column files as sentences.
+    """Labelled column files as sentences; lines of white space part them, whatever the line ends.
 
     ``keep_unterminated=False`` drops a last sentence that no blank line follows.
-    ``sentence_sep`` is what usually stands between two sentences, by default a
-    blank line; it decides how a file is cut into records, not the result.
     """
-    found = _paragraphs(spark, path, sentence_sep)
-    if not keep_unterminated:
-        found = _drop_unterminated(spark, path, found)
-    return found.select(
+    return paragraphs(spark, path, keep_unterminated).select(
         "sent_id",
         F.transform("lines", lambda line: _item(line, word_col)).alias("words"),
         F.transform("lines", lambda line: _item(line, tag_col)).alias("tags"),
     )
 
 
-def read_unlabeled(
-    spark: SparkSession, path: str, keep_unterminated: bool = True, sentence_sep: str | None = None
-) -> DataFrame:
+def read_unlabeled(spark: SparkSession, path: str, keep_unterminated: bool = True) -> DataFrame:
     """Files with one word per line as sentences; the whole stripped line is the word."""
-    found = _paragraphs(spark, path, sentence_sep)
-    if not keep_unterminated:
-        found = _drop_unterminated(spark, path, found)
-    return found.select("sent_id", F.col("lines").alias("words"))
+    return paragraphs(spark, path, keep_unterminated).select("sent_id", F.col("lines").alias("words"))
 
 
 def parse_eval_lines(lines: DataFrame, delimiter: str = " ", boundary: str = "-X-") -> DataFrame:
@@ -136,14 +75,15 @@ def parse_eval_lines(lines: DataFrame, delimiter: str = " ", boundary: str = "-X
 
 
 def read_eval(
-    spark: SparkSession, path: str, delimiter: str = " ", boundary: str = "-X-", sentence_sep: str | None = None
+    spark: SparkSession, path: str, delimiter: str = " ", boundary: str = "-X-", cut_at_boundary: bool = False
 ) -> DataFrame:
     """Evaluation files as sentences; all lines must have the same number of items.
 
-    For files whose sentences are parted only by boundary lines, give such a whole
-    line with its line breaks as ``sentence_sep``.
+    ``cut_at_boundary`` makes every boundary line a sentence of its own, for files whose
+    sentences are parted by such lines only; the scores are the same.
     """
-    parsed = parse_eval_lines(_paragraphs(spark, path, sentence_sep), delimiter, boundary)
+    records = paragraphs(spark, path, boundary=boundary if cut_at_boundary else None)
+    parsed = parse_eval_lines(records, delimiter, boundary)
     width = parsed.agg(F.min("narrowest").alias("low"), F.max("widest").alias("high")).first()
     if width.low is not None and width.low < 2:
         raise ValueError("evaluation lines need a gold and a guessed tag")

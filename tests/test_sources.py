@@ -1,10 +1,16 @@
+import random
+import re
+from contextlib import contextmanager
+
 import pytest
 from pyspark.errors import PySparkException
 
 from tagloom.functions.features import FAMILIES
+from tagloom.operators.evaluate import chunk_counts
 from tagloom.operators.features import feature_rows, histories, parse_feature
 from tagloom.operators.sentences import pack, unpack
 from tagloom.sources.columns import parse_eval_lines, read_conll, read_eval, read_unlabeled
+from tagloom.sources.records import paragraphs
 from tagloom.sources.sinks import eval_lines, tagged_lines, write_lines
 from tagloom.sources.tables import literal_pairs, tokenize
 from tagloom.sources.weights import read_weights, weights_to_text, write_weights
@@ -16,6 +22,19 @@ def put(path, content):
     return str(path)
 
 
+@contextmanager
+def splits_of(spark, size):
+    """Cut files into splits of ``size`` bytes; a file opened costs as much, so a task gets few splits."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for name in names:
+        spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
 def listed(df, *columns):
     return [tuple(row[c] for c in columns) for row in df.orderBy("sent_id").collect()]
 
@@ -35,10 +54,11 @@ def test_labelled_sentence(spark, tmp_path):
         "\n\na x y O\nb x y O\n \n\n \nc x y B-LOC\n\n\n",
     ],
 )
-@pytest.mark.parametrize("separator", [None, "\n\n", "\r\n\r\n"])
-def test_line_ends_and_blank_lines(spark, tmp_path, content, separator):
-    found = read_conll(spark, put(tmp_path / "a", content), sentence_sep=separator)
-    assert listed(found, "sent_id", "words", "tags") == [(1, ["a", "b"], ["O", "O"]), (2, ["c"], ["B-LOC"])]
+@pytest.mark.parametrize("split", [128 << 20, 16, 3])
+def test_line_ends_and_blank_lines(spark, tmp_path, content, split):
+    with splits_of(spark, split):
+        found = read_conll(spark, put(tmp_path / "a", content))
+        assert listed(found, "sent_id", "words", "tags") == [(1, ["a", "b"], ["O", "O"]), (2, ["c"], ["B-LOC"])]
 
 
 @pytest.mark.parametrize(
@@ -68,15 +88,96 @@ def test_ids_follow_files_and_splits(spark, tmp_path):
         lines = [f"{name}{i} x y O\nend x y O\n" for i in range(200)]
         put(tmp_path / name, "\n".join(lines) + "\n")
         expected += [f"{name}{i}" for i in range(200)]
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "257")
-    try:
+    with splits_of(spark, 257):
         found = listed(read_conll(spark, str(tmp_path)), "sent_id", "words")
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [i for i, _ in found] == list(range(1, 601))
     assert [words for _, words in found] == [[w, "end"] for w in expected]
 
 
+def paragraphs_of(content, keep, boundary=None):
+    """Line by line, as a file would be read; the last lines count as a paragraph only if one follows or ``keep``."""
+    found, now = [], []
+    for line in content.split("\n") if not content.endswith("\n") else content[:-1].split("\n"):
+        line = line.strip(" \t\n\x0b\f\r")
+        if line and boundary and line.startswith(boundary):
+            found += [now, [line]] if now else [[line]]
+            now = []
+        elif line:
+            now.append(line)
+        elif now:
+            found, now = [*found, now], []
+    return found + [now] if now and keep else found
+
+
+BREAKS = {
+    "plain": ["\n\n"],
+    "white space": ["\n \n", "\n\t \x0b\n"],
+    "crlf": ["\r\n\r\n"],
+    "mixed": ["\n\n", "\n \n", "\r\n\r\n", "\n\r\n", "\n\n\n", "\n\f\n \n\n"],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(BREAKS))
+@pytest.mark.parametrize("size", [13, 120, 1 << 20])
+def test_paragraphs_at_any_split(spark, tmp_path, kind, size):
+    """Blank lines of any kind, paragraphs over many splits, files with and without a last blank line."""
+    rng = random.Random(f"{kind}{size}")
+    expected, kept = [], []
+    for name in "abc":
+        line = "\r\n" if kind == "crlf" else "\n"
+        blocks = [line.join(f"{name}{i}.{k}" + "x" * rng.randrange(9) for k in range(rng.choice([1, 2, 12]))) for i in range(5)]
+        content = rng.choice(["", "\n", " \n\n"]) + "".join(b + rng.choice(BREAKS[kind]) for b in blocks) + rng.choice(["", "", "end", "end\n"])
+        put(tmp_path / name, content)
+        expected += paragraphs_of(content, True)
+        kept += paragraphs_of(content, False)
+    with splits_of(spark, size):
+        assert listed(paragraphs(spark, str(tmp_path)), "sent_id", "lines") == list(enumerate(expected, 1))
+        found = listed(paragraphs(spark, str(tmp_path), keep_unterminated=False), "lines")
+        assert found == [(lines,) for lines in kept]
+
+
+def test_records_are_no_longer_than_a_sentence(spark, tmp_path):
+    """A file without a plain blank line is many rows, spread over its splits."""
+    put(tmp_path / "a", "".join(f"w{i} x y O\n \n" for i in range(5000)))
+    with splits_of(spark, 4096):
+        found = read_conll(spark, str(tmp_path))
+        assert found.count() == 5000 and found.rdd.getNumPartitions() > 8
+        assert found.agg({"sent_id": "max"}).first()[0] == 5000
+
+
+def test_batches_smaller_than_a_paragraph(spark, tmp_path):
+    content = "\n\n".join("\n".join(f"p{i}l{k}" for k in range(i)) for i in range(1, 12)) + "\n"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = listed(paragraphs(spark, put(tmp_path / "a", content)), "lines")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == [(lines,) for lines in paragraphs_of(content, True)]
+
+
+@pytest.mark.parametrize("size", [9, 1 << 20])
+def test_boundary_lines_cut(spark, tmp_path, size):
+    content = "-X- O O\na B-X B-X\nb I-X O\n-X- O O\n-X- O O\nc O O\n\nd O O\n-X- O O"
+    path = put(tmp_path / "a", content)
+    with splits_of(spark, size):
+        assert [x for (x,) in listed(paragraphs(spark, path, boundary="-X-"), "lines")] == paragraphs_of(content, True, "-X-")
+        cut, whole = (read_eval(spark, path, cut_at_boundary=c) for c in (True, False))
+        assert (cut.count(), whole.count()) == (7, 2)
+        assert {tuple(r) for r in chunk_counts(cut).collect()} == {tuple(r) for r in chunk_counts(whole).collect()}
+
+
+def test_files_changed_between_passes(spark, tmp_path):
+    put(tmp_path / "a", "a x y O\n\nb x y O\n")
+    found = read_conll(spark, str(tmp_path))
+    with splits_of(spark, 4):
+        other = found.select("sent_id").distinct()
+        (tmp_path / "a").write_text("a x y O\n\n" * 50)
+        try:
+            assert other.count() <= 2
+        except PySparkException as error:
+            assert "have changed" in str(error)
+
+
 def test_weights_round_trip(spark, tmp_path, weights):
     model = weights({"TAG:::O": 0.25, "TAG:a:O": -4.0, "SUFF::b:2:I-PER": 1 / 3})
     write_weights(model, str(tmp_path / "parquet"))
