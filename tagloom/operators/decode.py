@@ -178,7 +178,7 @@ def decode(
             scores = WordScores(names, contexts, tuple(families))
             return asked.mapInArrow(_broadcast_decoder(asked, names, moves, scores), schema)
     if asked.isStreaming:
-        raise ValueError("the model is too large to broadcast: decode the batches of the stream with foreachBatch")
+        raise ValueError("the model is too large to broadcast: decode the stream with streaming.decode_to, by foreachBatch")
     return _decode_by_shard(asked, weights, names, moves, tuple(families), schema)
 
 

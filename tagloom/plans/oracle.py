@@ -440,5 +440,12 @@ scored AS (SELECT {K}, pos, t.tag, d.tag AS guess FROM tokens t JOIN decoded d U
         f"SELECT type, found_gold, found_guess, correct_chunks, {SCORES} FROM scored_counts",
     ),
     "stream_decode": _with(_viterbi(False), f"SELECT {K}, pos, word, tag FROM decoded"),
+    "stream_decode_joined": _with(_viterbi(False), f"SELECT {K}, pos, word, tag FROM decoded"),
+    "stream_lines_decode": _with(
+        _viterbi(False),
+        "SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS sentence, pos, word, tag "
+        "FROM decoded",
+    ),
+    "stream_lines_counts": _with(EVENTS, f"SELECT type, found_gold, found_guess, correct_chunks, {SCORES} FROM counts"),
     "stream_eval_counts": _with(EVENTS, "SELECT type, found_gold, found_guess, correct_chunks FROM counts"),
 }

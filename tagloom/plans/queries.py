@@ -21,6 +21,7 @@ from tagloom.runtime import pin, scratch_path
 from tagloom.sources import columns, sinks
 from tagloom.sources import weights as weight_files
 from tagloom.sources.tables import tokenize
+from tagloom.streaming import lines as lines_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -481,6 +482,39 @@ def stream_decode(spark: SparkSession, sf: str) -> DataFrame:
     return keyed(st.unpack(found.drop("score")))
 
 
+@query
+def stream_decode_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream with a model too large to broadcast: each micro-batch joins its own shards."""
+    path = scratch_path(spark, "decoded")
+    streaming.decode_to(_stream(spark, sf), pin(_model(spark, sf)), path, max_broadcast=0).awaitTermination()
+    return keyed(st.unpack(spark.read.parquet(path).drop("score", "batch")))
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw evaluation lines as a stream of four micro-batches."""
+    path = scratch_path(spark, "lines")
+    parts = corpora.line_stream(corpora.labelled(spark, sf), 4)
+    parts.repartition(4, "part").drop("part").write.parquet(path)
+    return streaming.stream_table(spark, path, files_per_batch=1)
+
+
+@query
+def stream_lines_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences are made from lines as they arrive, then decoded."""
+    sentences = lines_of.stream_sentences(_lines(spark, sf))
+    words = F.transform("lines", lambda line: F.substring_index(line, " ", 1))
+    found = streaming.run_to_files(streaming.stream_decode(sentences.select("sent_id", words.alias("words")), pin(_model(spark, sf))))
+    tokens = st.unpack(found.drop("score"))
+    return tokens.select("sent_id.key.*", "sent_id.sentence", "pos", "word", "tag")
+
+
+@query
+def stream_lines_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of a line stream from its running counts."""
+    updates = streaming.run_updates(lines_of.stream_line_counts(_lines(spark, sf)))
+    return rounded(ev.by_type(lines_of.latest_counts(updates)), "precision", "recall", "f1")
+
+
 @query
 def stream_eval_counts(spark: SparkSession, sf: str) -> DataFrame:
     counts = streaming.run_counts(streaming.stream_counts(corpora.label(_stream(spark, sf))))
