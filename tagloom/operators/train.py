@@ -28,32 +28,59 @@ NO_TRIGRAMS = pa.table({**{c: pa.array([], pa.string()) for c in HISTORY}, "weig
 DELTA_SCHEMA = "shard bigint, feature string, delta double"
 
 
+def _sorted_parts(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids and token counts in corpus order with the ``part`` of a range-partitioned sort and the ``row``
+    inside it, pinned; and for every part what the parts before it add to row numbers and tokens."""
+    slim = sentences.select("sent_id", F.size("words").cast("bigint").alias("tokens"))
+    ids = slim.orderBy("sent_id").withColumn("row", F.monotonically_increasing_id())
+    ordered = pin(ids).withColumn("part", F.shiftright("row", 33))
+    sizes = ordered.groupBy("part").agg(
+        F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("size")
+    )
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before, base = (F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("n", "size"))
+    shifts = pin(sizes.select("part", (before - F.col("first_row") + 1).alias("shift"), base.alias("base"), "size"))
+    return ordered, shifts
+
+
 def corpus_ranks(sentences: DataFrame) -> DataFrame:
     """Rank of every sentence in corpus order, from 1, without a global window.
 
-    A range-partitioned sort of the ids is pinned with the row number inside each
-    partition; the rank adds the number of rows in the partitions before.
+    The row number inside a part of the sorted ids plus the number of rows in the parts before.
     """
-    ids = sentences.select("sent_id").orderBy("sent_id").withColumn("row", F.monotonically_increasing_id())
-    ordered = pin(ids).withColumn("part", F.shiftright("row", 33))
-    sizes = ordered.groupBy("part").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    shifts = pin(sizes.select("part", (before - F.col("first_row") + 1).alias("shift")))
-    placed = ordered.join(broadcast_if_small(shifts, MAX_BROADCAST_PARTITIONS), "part")
+    ordered, shifts = _sorted_parts(sentences)
+    placed = ordered.join(broadcast_if_small(shifts.select("part", "shift"), MAX_BROADCAST_PARTITIONS), "part")
     return placed.select("sent_id", (F.col("row") + F.col("shift")).alias("rank"))
 
 
+def token_offsets(sentences: DataFrame) -> tuple[DataFrame, int]:
+    """``sent_id, before``: the tokens of all sentences earlier in corpus order; and the number of all tokens.
+
+    A prefix sum in two levels: running sums inside each part of the sorted ids, raised by the parts before.
+    """
+    ordered, shifts = _sorted_parts(sentences)
+    total = shifts.agg(F.sum("size")).first()[0] or 0
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    running = ordered.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    placed = running.join(broadcast_if_small(shifts.select("part", "base"), MAX_BROADCAST_PARTITIONS), "part")
+    return placed.select("sent_id", (F.col("base") + F.col("inside")).alias("before")), total
+
+
 def assign_shards(sentences: DataFrame, n_shards: int, rule: str = "hash") -> DataFrame:
     """Add the ``shard`` of every sentence, from 0.
 
-    ``contiguous`` cuts the corpus into ordered slices of equal length; ``hash``
-    needs no order and no extra pass.
+    ``contiguous`` cuts the corpus into ordered slices of as many sentences each, ``tokens`` into ordered
+    slices of as many tokens: a sentence belongs to the slice in which it starts, so a shard is within
+    one sentence of the mean. ``hash`` needs no order and no extra pass.
     """
     if rule == "hash":
         return sentences.withColumn("shard", F.pmod(F.xxhash64("sent_id"), F.lit(n_shards).cast("bigint")))
+    if rule == "tokens":
+        offsets, tokens = token_offsets(sentences)
+        starts = offsets.select("sent_id", F.expr(f"({n_shards}L * before) div {max(tokens, 1)}L").alias("shard"))
+        return sentences.join(starts, "sent_id")
     if rule != "contiguous":
-        raise ValueError("rule is 'hash' or 'contiguous'")
+        raise ValueError("rule is 'hash', 'contiguous' or 'tokens'")
     ranks = corpus_ranks(sentences)
     total = ranks.count()
     slices = ranks.select("sent_id", F.expr(f"({n_shards}L * rank - 1) div {max(total, 1)}L").alias("shard"))

@@ -351,6 +351,9 @@ SQL: dict[str, str] = {
     ),
     "join_gold_pred": _with(TOKENS, f"SELECT {K}, pos, word, tag, guess FROM tokens"),
     "mean_by_key": "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
+    "combine_mean": "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
+    "combine_top_values": """SELECT event_type, v[1] AS "first", v[2] AS "second", v[3] AS third
+        FROM (SELECT event_type, list_reverse_sort(list_distinct(list(value))) AS v FROM events GROUP BY event_type)""",
     "mix_weights": _with(SHARDS, "SELECT feature, round(avg(weight), 6) AS weight FROM shard_weights GROUP BY feature"),
     "mix_weights_uniform": _with(
         SHARDS, "SELECT feature, round(sum(weight) / 8, 6) AS weight FROM shard_weights GROUP BY feature"
@@ -395,6 +398,31 @@ SQL: dict[str, str] = {
            FROM model m FULL JOIN updates u USING (feature)""",
     ),
     "shard_assign": _with(SHARDS, f"SELECT {K}, shard FROM shards"),
+    "shard_assign_tokens": _with(
+        TOKENS,
+        f"""SELECT {K}, (8 * coalesce(sum(n) OVER (ORDER BY {K} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+              // (SELECT count(*) FROM tokens))::BIGINT AS shard FROM sentences""",
+    ),
+    "sql_chunk_events": _with(
+        EVENTS, f"SELECT {K}, pos, g AS prefix, g_type AS type, open_gold, open_guess, end_gold, end_guess FROM events"
+    ),
+    "sql_features": _with(
+        MODEL,
+        """, cells AS (
+             SELECT DISTINCT 'TRIGRAM:' || t2 || ':' || t1 || ':' || tag AS feature, 'TRIGRAM' AS family,
+               t2 || ':' || t1 AS context, NULL::INTEGER AS j, tag FROM history
+             UNION SELECT 'TAG:' || word || ':' || tag, 'TAG', word, NULL, tag FROM history WHERE word IS NOT NULL
+             UNION SELECT 'SUFF:' || right(word, j) || ':' || j || ':' || tag, 'SUFF', right(word, j), j, tag
+               FROM history, (VALUES (1), (2)) AS s(j) WHERE word IS NOT NULL AND length(word) >= j)
+           SELECT family, tag, j, count(*) AS features, count(DISTINCT context) AS contexts, sum(weight) AS weight,
+                  max(context) AS last_context
+           FROM cells JOIN model USING (feature) GROUP BY family, tag, j""",
+    ),
+    "sql_suffixes": _with(
+        _token_rows("documents", "doc_id", "doc"),
+        "SELECT right(word, 2) AS suffix, count(*) AS n, count(DISTINCT word) AS words FROM doc_words "
+        "WHERE length(word) >= 2 GROUP BY right(word, 2)",
+    ),
     "eval_chunk_starts": _with(EVENTS, f"SELECT {K}, pos, open_gold, open_guess FROM events WHERE token"),
     "eval_chunk_ends": _with(EVENTS, f"SELECT {K}, pos, end_gold, end_guess FROM events"),
     "eval_chunks_gold": _with(EVENTS, "SELECT type, found_gold FROM counts WHERE found_gold > 0"),

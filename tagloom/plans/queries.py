@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tagloom import streaming
 from tagloom.functions import features as fx
 from tagloom.functions import tags as tg
+from tagloom.functions.sql import register
 from tagloom.operators import evaluate as ev
 from tagloom.operators import features as ft
 from tagloom.operators import sentences as st
 from tagloom.operators import weights as wt
+from tagloom.operators.combine import combine_by_key
 from tagloom.operators.decode import decode
 from tagloom.operators.train import assign_shards, train
 from tagloom.plans import corpora
@@ -231,6 +233,35 @@ def mean_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(wt.mean_by_key(events, "event_type", "value"), "mean")
 
 
+@query
+def combine_mean(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean by the user functions of a fold."""
+    events = spark.read.parquet(f"{sf}/events.parquet").filter("value is not null")
+    sums = combine_by_key(
+        events, "event_type", "value",
+        lambda v: (v, 1), lambda c, v: (c[0] + v, c[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]),
+        "struct<total: double, n: bigint>",
+    )
+    return rounded(sums.select("event_type", (F.col("combined.total") / F.col("combined.n")).alias("mean")), "mean")
+
+
+@query
+def combine_top_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The three largest distinct values per key: a fold that no built-in aggregate does in bounded space."""
+    events = spark.read.parquet(f"{sf}/events.parquet").filter("value is not null")
+
+    def largest(values: list[float]) -> list[float]:
+        return sorted(set(values), reverse=True)[:3]
+
+    top = combine_by_key(
+        events, "event_type", "value",
+        lambda v: [v], lambda c, v: c if len(c) == 3 and v <= c[2] else largest([*c, v]), lambda a, b: largest(a + b),
+        "array<double>",
+    )
+    places = [F.get("combined", F.lit(i)).alias(name) for i, name in enumerate(("first", "second", "third"))]
+    return top.select("event_type", *places)
+
+
 def _shard_weights(spark: SparkSession, sf: str) -> DataFrame:
     sharded = assign_shards(corpora.labelled(spark, sf), SHARDS, "contiguous")
     rows = ft.feature_rows(ft.histories(sharded))
@@ -382,6 +413,58 @@ def shard_assign(spark: SparkSession, sf: str) -> DataFrame:
     return keyed(assign_shards(corpora.conversations(spark, sf), SHARDS, "contiguous").select("sent_id", "shard"))
 
 
+@query
+def shard_assign_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Contiguous shards of equal work."""
+    return keyed(assign_shards(corpora.conversations(spark, sf), SHARDS, "tokens").select("sent_id", "shard"))
+
+
+# SQL text
+
+
+@query
+def sql_chunk_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag parts and chunk edges of both sides, in SQL."""
+    register(spark)
+    corpora.labelled(spark, sf).createOrReplaceTempView("labelled")
+    return spark.sql("""
+        WITH sides AS (
+          SELECT sent_id, concat(array('O'), tags) AS before, concat(tags, array('O')) AS tag,
+                 concat(array('O'), guesses) AS guess_before, concat(guesses, array('O')) AS guess
+          FROM labelled
+        ),
+        pairs AS (SELECT sent_id, posexplode(arrays_zip(before, tag, guess_before, guess)) AS (at, p) FROM sides)
+        SELECT sent_id.*, at + 1 AS pos, tag_prefix(p.tag) AS prefix, tag_type(p.tag) AS type,
+               chunk_starts(p.before, p.tag) AS open_gold, chunk_starts(p.guess_before, p.guess) AS open_guess,
+               chunk_ended(p.before, p.tag) AS end_gold, chunk_ended(p.guess_before, p.guess) AS end_guess
+        FROM pairs""")
+
+
+@query
+def sql_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature strings taken apart and counted, in SQL: cells of the model per family, tag and suffix length."""
+    register(spark)
+    _model(spark, sf).createOrReplaceTempView("model")
+    return spark.sql("""
+        SELECT feature_family(feature) AS family, feature_tag(feature) AS tag, feature_length(feature) AS j,
+               count(*) AS features, count(DISTINCT feature_context(feature)) AS contexts, sum(weight) AS weight,
+               max(feature_context(feature)) AS last_context
+        FROM model GROUP BY ALL""")
+
+
+@query
+def sql_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the documents by their last two characters, from the text on in SQL."""
+    register(spark)
+    spark.read.parquet(f"{sf}/documents.parquet").createOrReplaceTempView("texts")
+    return spark.sql("""
+        WITH lines AS (SELECT explode(split(text, '\\n')) AS line FROM texts),
+             listed AS (SELECT line_words(strip_line(line)) AS words FROM lines),
+             words AS (SELECT explode(words) AS word FROM listed)
+        SELECT word_suffix(word, 2) AS suffix, count(*) AS n, count(DISTINCT word) AS words FROM words
+        WHERE word_suffix(word, 2) IS NOT NULL GROUP BY word_suffix(word, 2)""")
+
+
 # Evaluation
 
 

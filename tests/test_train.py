@@ -69,7 +69,7 @@ def test_one_shard_is_sequential_training(sentences, seed):
     assert collected(train(sentences(*rows), n_shards=1)) == train_list(rows, 5)
 
 
-@pytest.mark.parametrize("rule", ["hash", "contiguous"])
+@pytest.mark.parametrize("rule", ["hash", "contiguous", "tokens"])
 def test_parameter_mixing(sentences, rule):
     rows = corpus(3, 40)
     table = sentences(*rows)
@@ -145,3 +145,15 @@ def test_mixing_denominators(spark):
     assert collected(mix(rows, "uniform", 3)) == {"a": 1.0, "b": 2.0}
     with pytest.raises(ValueError):
         mix(rows, "uniform")
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 40])
+def test_shards_of_equal_work(sentences, n):
+    """Every shard is within one sentence of the mean; shards are ordered slices."""
+    rng = random.Random(n)
+    table = sentences(*[(["w"] * k, ["O"] * k) for k in rng.choices([1, 2, 30], k=90)])
+    rows = sorted((r.sent_id, r.shard, len(r.words)) for r in assign_shards(table, n, "tokens").collect())
+    assert [s for _, s, _ in rows] == sorted(s for _, s, _ in rows) and len(rows) == 90
+    mean = sum(k for *_, k in rows) / n
+    for shard in range(n):
+        assert abs(sum(k for _, s, k in rows if s == shard) - mean) <= 30
