@@ -266,6 +266,125 @@ shard_weights AS (
 )"""
 
 
+ITEMS = _token_rows("benchmark", "item_id", "item")
+
+
+def _training(shards: int, epochs: int, rounds: int) -> str:
+    """Online training by recursion: a step learns one sentence of one shard or mixes the shards of a round.
+
+    The recursion's table is keyed: ``w/feature`` holds the mixed weights, ``round/shard/feature`` the updates of a
+    shard, ``#`` the number of the next step. The guess of a sentence is a fold over its words: for all pairs of
+    tags the best score and path; ties go to the larger tag. Tags are numbered from 1, the padding is 0.
+    """
+    place = "(b * (t + 1) + k // t) * (t + 1) + k % t + 1"
+    cell = "STRUCT(s DOUBLE, b BIGINT, path VARCHAR)[]"
+    weight = "coalesce(w.weight, 0) + coalesce(d.weight, 0)"
+
+    def held(feature: str) -> str:
+        return (
+            f"LEFT JOIN recurring.training w ON w.feature = 'w/' || {feature} "
+            f"LEFT JOIN recurring.training d ON d.feature = owner || {feature}"
+        )
+
+    return ITEMS + f""",
+names AS MATERIALIZED (SELECT tag, row_number() OVER (ORDER BY tag) AS id FROM (SELECT DISTINCT tag FROM item_tokens)),
+size AS MATERIALIZED (SELECT count(*) AS t, list(tag ORDER BY id) AS tag_names FROM names),
+corpus AS MATERIALIZED (
+  SELECT i, ({shards} * i - 1) // count(*) OVER () AS shard, words, gold FROM (
+    SELECT row_number() OVER (ORDER BY item_id, line_no) AS i, list(word ORDER BY pos) AS words,
+           string_agg(chr(64 + id::INTEGER), '' ORDER BY pos) AS gold
+    FROM item_tokens JOIN names USING (tag) GROUP BY item_id, line_no
+  )
+),
+schedule AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY r, shard, e, i) - 1 AS step, r, r || '/' || shard || '/' AS owner, words, gold
+  FROM (
+    SELECT r, shard, e, i, words, gold FROM corpus, range(1, {rounds} + 1) a(r), range({epochs}) b(e)
+    UNION ALL SELECT r, {shards}, 0, 0, NULL, NULL FROM range(1, {rounds} + 1) a(r)
+  )
+),
+ends AS MATERIALIZED (SELECT tag, id FROM names UNION ALL SELECT '*', 0 UNION ALL SELECT 'STOP', t + 1 FROM size),
+grid AS MATERIALIZED (
+  SELECT 'TRIGRAM:' || a.tag || ':' || b.tag || ':' || c.tag AS feature, a.id AS t2, b.id AS t1, c.id AS t
+  FROM ends a, ends b, ends c WHERE a.tag <> 'STOP' AND b.tag <> 'STOP' AND c.tag <> '*'
+),
+training(feature, weight) USING KEY (feature) AS (
+  SELECT '#', 0::DOUBLE
+  UNION
+  (WITH today AS (SELECT s.* FROM training JOIN schedule s ON feature = '#' AND step = weight::BIGINT),
+  now AS (SELECT * FROM today WHERE words IS NOT NULL),
+  contexts AS (
+    SELECT owner, word, unnest(list_filter(['TAG:' || word, CASE WHEN length(word) >= 1 THEN 'SUFF:' || right(word, 1) || ':1' END,
+      CASE WHEN length(word) >= 2 THEN 'SUFF:' || right(word, 2) || ':2' END], lambda c: c IS NOT NULL)) AS context
+    FROM (SELECT DISTINCT owner, unnest(words) AS word FROM now)
+  ),
+  gains AS (
+    SELECT word, list(gain ORDER BY id) AS gain FROM (
+      SELECT word, id, sum({weight}) AS gain
+      FROM (SELECT owner, word, id, context || ':' || tag AS name FROM contexts CROSS JOIN names) {held('name')}
+      GROUP BY word, id
+    ) GROUP BY word
+  ),
+  moves AS (
+    SELECT list({weight} ORDER BY t2, t1, t) AS m
+    FROM (SELECT g.feature AS name, t2, t1, t, owner FROM grid g CROSS JOIN now) {held('name')}
+  ),
+  steps AS (
+    SELECT list({{'gain': gain, 'best': NULL::{cell}}} ORDER BY pos) AS gains
+    FROM (SELECT unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM now) JOIN gains USING (word)
+  ),
+  decoded AS (
+    SELECT owner, words, gold, t, m, list_reduce(
+      list_prepend({{'gain': NULL::DOUBLE[], 'best': NULL::{cell}}}, gains),
+      lambda a, e: {{'gain': NULL::DOUBLE[], 'best': list_transform(range(0, (t + 1) * t), lambda k: CASE
+        WHEN a.best IS NULL THEN
+          {{'s': CASE WHEN k < t THEN m[k + 1] + e.gain[k + 1] ELSE '-infinity'::DOUBLE END, 'b': 0, 'path': chr((65 + k % t)::INTEGER)}}
+        WHEN k < t THEN {{'s': '-infinity'::DOUBLE, 'b': 0, 'path': ''}}
+        ELSE list_transform([list_max(list_transform(range(0, t + 1), lambda b:
+            {{'s': a.best[b * t + k // t].s + m[{place}], 'b': b}}))],
+          lambda x: {{'s': x.s + e.gain[k % t + 1], 'b': x.b, 'path': a.best[x.b * t + k // t].path || chr((65 + k % t)::INTEGER)}})[1] END)}}
+    ).best AS best
+    FROM now, size, moves, steps
+  ),
+  guessed AS (
+    SELECT owner, words, gold, list_max(list_transform(range(0, (t + 1) * t), lambda k: {{
+      's': best[k + 1].s + m[(k // t * (t + 1) + k % t + 1) * (t + 1) + t + 1], 'u': k // t, 'v': k % t, 'path': best[k + 1].path
+    }})).path AS guess FROM decoded
+  ),
+  sides AS (
+    SELECT owner, words, unnest([{{'path': gold, 'sign': 1}}, {{'path': guess, 'sign': -1}}], recursive := true)
+    FROM guessed WHERE guess <> gold
+  ),
+  padded AS (
+    SELECT owner, sign, list_append(words, 'STOP') AS words, list_concat(['*', '*'], list_append(
+      list_transform(string_split(path, ''), lambda c: tag_names[ascii(c) - 64]), 'STOP')) AS tags
+    FROM sides, size
+  ),
+  histories AS (
+    SELECT owner, sign, unnest(list_transform(range(1, len(words) + 1), lambda p:
+      {{'t2': tags[p], 't1': tags[p + 1], 'tag': tags[p + 2], 'word': words[p]}}), recursive := true) FROM padded
+  ),
+  updates AS (
+    SELECT owner, sign, 'TRIGRAM:' || t2 || ':' || t1 || ':' || tag AS name FROM histories
+    UNION ALL SELECT owner, sign, 'TAG:' || word || ':' || tag FROM histories
+    UNION ALL SELECT owner, sign, 'SUFF:' || right(word, j) || ':' || j || ':' || tag
+    FROM histories, (VALUES (1), (2)) AS s(j) WHERE length(word) >= j
+  ),
+  learnt AS (SELECT owner || name AS name, sum(sign)::DOUBLE AS delta FROM updates GROUP BY owner, name),
+  made AS (
+    SELECT regexp_replace(d.feature, '^[0-9]+/[0-9]+/', '') AS name, sum(d.weight) AS delta, count(*) AS shards
+    FROM today JOIN recurring.training d ON words IS NULL AND starts_with(d.feature, r || '/') GROUP BY name
+  )
+  SELECT '#', step + 1.0 FROM today
+  UNION ALL
+  SELECT name, coalesce(d.weight, 0) + delta FROM learnt LEFT JOIN recurring.training d ON d.feature = name
+  UNION ALL
+  SELECT 'w/' || name, coalesce(w.weight, 0) + delta / CASE WHEN w.feature IS NULL THEN shards ELSE {shards} END
+  FROM made LEFT JOIN recurring.training w ON w.feature = 'w/' || name
+  )
+)"""
+
+
 def _text_lines(latex: bool) -> str:
     rates = f"printf('precision: %6.2f%%; recall: %6.2f%%; FB1: %6.2f', {P}, {R}, {F1})"
     cells = rf"printf('&  %6.2f\%% & %6.2f\%% & %6.2f \\', {P}, {R}, {F1})"
@@ -296,6 +415,7 @@ def _lines(expression: str, order: str = "pos") -> str:
     return f"SELECT {K}, string_agg({expression}, chr(10) ORDER BY {order}) || chr(10) AS lines FROM tokens GROUP BY {K}"
 
 
+TRAINED = "SELECT feature[3:] AS feature, round(weight, 6) AS weight FROM training WHERE starts_with(feature, 'w/')"
 NUMBERED = f"FROM tokens JOIN ranks USING ({K})"
 BARE = "CASE WHEN {0} = 'O' THEN 'O' ELSE 'B-' || " + "split_part({0}, '-', 2) END"
 
@@ -397,6 +517,9 @@ SQL: dict[str, str] = {
              ELSE m.weight + coalesce(delta, 0) / (SELECT count(*) FROM sentences) END, 6) AS weight
            FROM model m FULL JOIN updates u USING (feature)""",
     ),
+    "train_items_one_shard": _with(_training(1, 5, 1), TRAINED),
+    "train_items_mixing": _with(_training(2, 5, 1), TRAINED),
+    "train_items_iterative": _with(_training(2, 1, 3), TRAINED),
     "shard_assign": _with(SHARDS, f"SELECT {K}, shard FROM shards"),
     "shard_assign_tokens": _with(
         TOKENS,

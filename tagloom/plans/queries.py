@@ -408,6 +408,31 @@ def train_iterative_singleton(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found, "weight")
 
 
+def _trained_items(spark: SparkSession, sf: str, n_shards: int, epochs: int, rounds: int) -> DataFrame:
+    """Weights from the benchmark's sentences. Means over two shards are exact, so ties do not hang on rounding."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    gold = corpora.label(tokenize(items, ["item_id"], "text"))
+    return rounded(train(gold, n_shards, epochs, rounds, rule="contiguous"), "weight")
+
+
+@query
+def train_items_one_shard(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequential training: one shard, five passes."""
+    return _trained_items(spark, sf, 1, 5, 1)
+
+
+@query
+def train_items_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """One-shot mixing: two shards of many sentences, five passes each."""
+    return _trained_items(spark, sf, 2, 5, 1)
+
+
+@query
+def train_items_iterative(spark: SparkSession, sf: str) -> DataFrame:
+    """Iterative mixing: three rounds of two shards, which start from the mixed weights."""
+    return _trained_items(spark, sf, 2, 1, 3)
+
+
 @query
 def shard_assign(spark: SparkSession, sf: str) -> DataFrame:
     return keyed(assign_shards(corpora.conversations(spark, sf), SHARDS, "contiguous").select("sent_id", "shard"))

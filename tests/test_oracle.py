@@ -10,7 +10,7 @@ import __spark_entry__ as contract
 from tagloom.plans.oracle import SQL
 from tagloom.plans.queries import REGISTRY
 
-TABLES = ("conversations", "documents", "events")
+TABLES = ("benchmark", "conversations", "documents", "events")
 
 
 @pytest.fixture(scope="module")
