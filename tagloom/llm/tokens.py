@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from tagloom.runtime import pin, scratch_path, ship
 
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 600_000
+#: Distinct units whose ids a Python worker remembers, and characters of a unit that is not remembered.
+CACHE_UNITS, LONG_UNIT = 1_200_000, 200
 #: Documents whose unknown words go to the tokenizer together.
 DOCS_AT_ONCE = 500
 # Only before a space between two other white space characters would a cut change the tokens.
@@ -65,68 +65,89 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(others)}
 
 
-# Letters which Unicode and the tokenizer's pattern class alike.
-_L = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
-# ASCII marks but for the apostrophe, which begins endings of their own.
-_M = r"[!-&(-/:-@\[-`{-~]+"
-_PLAIN = re.compile(f"( ?{_L})({_M})?(?:(\n)({_L})({_M})?)?")
+# Characters which Unicode and the tokenizer's pattern class alike: letters, digits, marks and white space.
+_L, _M, _W = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~", r" \t\n\r"
+_KNOWN = re.compile(f"[{_L}{_M}{_W}0-9]*")
+# The tokenizer's own pattern, for these characters.
+_UNITS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[{_M}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 
 
 class WordEncoder:
-    """Ids of a text as bytes. Byte-level BPE never merges across the edge between
-    a word and a following space, so pieces between spaces are encoded once and
-    remembered. Plain words with marks or a line end after them are cut there, as the
-    tokenizer does, and go to its BPE model directly; all else goes to the
-    whole tokenizer."""
+    """Ids of a text as bytes.
+
+    A byte-level BPE tokenizer cuts a text into units by its pattern and never merges across them, so units are
+    encoded once and remembered. Texts of known characters are cut here, by the same pattern, and the units go to
+    the BPE model directly. Other texts are cut before spaces first, where no cut changes the tokens; pieces
+    that hold other characters, or a token added to the vocabulary, go to the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_path: str, dtype: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = _byte_alphabet()
-        self.space, self.line = (chr(self.alphabet[ord(c)]) for c in " \n")
-        self.dtype = dtype
+        self.space = chr(self.alphabet[ord(" ")])
+        self.blanks = str.maketrans({c: chr(self.alphabet[ord(c)]) for c in " \t\n\r"})
         self.code = {1: "B", 2: "H", 4: "I", 8: "Q"}[np.dtype(dtype).itemsize]
-        self.atoms: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
-    def _atom(self, atom: str) -> bytes:
-        """A run of letters, with or without a space before it, or a single mark."""
-        if atom.isascii():
-            mapped = atom.replace(" ", self.space).replace("\n", self.line)
+    def _unit(self, unit: str) -> bytes:
+        if not unit.isascii():
+            mapped = unit.encode().decode("latin-1").translate(self.alphabet)
         else:
-            mapped = atom.encode().decode("latin-1").translate(self.alphabet)
-        found = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        self.atoms[atom] = found
-        return found
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Make the pieces, which follow a space, known."""
-        if len(self.after_space) > CACHE_WORDS or len(self.atoms) > CACHE_WORDS:
-            self.after_space.clear()
-            self.atoms.clear()
-        known, atoms, other = self.after_space, self.atoms, []
-        for piece in pieces:
-            if piece not in known:
-                plain = _PLAIN.fullmatch(" " + piece)
-                if plain:
-                    known[piece] = b"".join([atoms.get(a) or self._atom(a) for a in plain.groups() if a])
-                else:
-                    other.append(piece)
-        known.update(zip(other, self.encode([" " + p for p in other]), strict=True))
+            mapped = unit.translate(self.blanks) if unit.isspace() else unit.replace(" ", self.space)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _regular(self, text: str) -> bool:
+        return _KNOWN.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def _units(self, text: str, whole: set[str]) -> list[str]:
+        """The units of a text; pieces of it with unknown characters or added tokens stay, and join ``whole``."""
+        if self._regular(text):
+            return _UNITS.findall(text)
+        first, *others = [text] if _UNSAFE.search(text) else text.split(" ")
+        units = []
+        for piece in [first, *[" " + p for p in others]]:
+            if self._regular(piece):
+                units += _UNITS.findall(piece)
+            else:
+                whole.add(piece)
+                units.append(piece)
+        return units
+
+    def _learn(self, units: set[str], whole: set[str]) -> dict[str, bytes]:
+        """Ids of new units; they are remembered, but for long ones, which hardly come again."""
+        irregular = [*(units & whole)]
+        new = dict(zip(irregular, self.encode(irregular), strict=True))
+        before, encode = self.before.get, self._unit
+        new.update((u, before(u) or encode(u)) for u in units - whole)
+        self.known.update(new)
+        for unit in irregular:
+            if len(unit) > LONG_UNIT:
+                del self.known[unit]
+        return new
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(_UNSAFE.search(t)) for t in texts]
-        rows = [[] if odd else t.split(" ") for t, odd in zip(texts, whole, strict=True)]
-        self._learn({p for row in rows for p in row[1:]})
-        get = self.after_space.__getitem__
-        direct = self.encode([row[0] if row else t for t, row in zip(texts, rows, strict=True)])
-        return [start + b"".join(map(get, row[1:])) for start, row in zip(direct, rows, strict=True)]
+        if len(self.known) > CACHE_UNITS // 2:
+            # Units in use come back from the older half; rare ones are forgotten.
+            self.before, self.known = self.known, {}
+        whole: set[str] = set()
+        rows = [self._units(t, whole) for t in texts]
+        get = self.known.get
+        found = [[*map(get, row)] for row in rows]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        if lacking:
+            new = self._learn({u for i in lacking for u, ids in zip(rows[i], found[i], strict=True) if ids is None}, whole)
+            for i in lacking:
+                found[i] = [new[u] if ids is None else ids for u, ids in zip(rows[i], found[i], strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}

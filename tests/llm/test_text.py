@@ -36,6 +36,26 @@ def test_token_files(documents, odd):
     assert tokens.read_tokens(tokens.write_tokens(odd.limit(0), path)).count() == 0
 
 
+@pytest.mark.parametrize("units", [4, 1_200_000])
+def test_units_equal_whole_texts(monkeypatch, units):
+    """Random texts of hard characters, also with a cache that forgets nearly everything."""
+    public = pytest.importorskip("public_tokenizers")
+    from array import array
+
+    monkeypatch.setattr(tokens, "CACHE_UNITS", units)
+    monkeypatch.setattr(tokens, "LONG_UNIT", 5)
+    encoder = tokens.WordEncoder(public.path("byte_bpe_50k.json"), "<u2")
+    rng = random.Random(9)
+    atoms = ["a", "Zz", "the", "é", "Ö", "ß", "\u01c5", "\u024f", "×", "÷", "ª", "1", "42", "²", "'", "'s", "'ll", "'x", "`", "{|}", "~", "<|endoftext|>"]
+    atoms += [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u2028", "\u3000", "中文", "ไทย", "🙂", "e\u0301", "\u0000", "."]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(14))) for _ in range(6000)]
+    texts += [" ".join(rng.choice(WORDS) + rng.choice(["", ",", "!?", "'s", "7"]) for _ in range(300)) for _ in range(20)]
+    for low in range(0, len(texts), 500):
+        part = texts[low : low + 500]
+        whole = [array("H", e.ids).tobytes() for e in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert encoder.texts(part) == whole
+
+
 def test_licenses(documents, odd):
     rows = [
         (1, "Released under the MIT License.\nMIT license", "s"), (2, "This work is licensed under the GNU General Public License, version 3", "s"),
