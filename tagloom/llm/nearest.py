@@ -18,7 +18,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -199,20 +199,37 @@ def build_index(table: DataFrame, key: str = "vec_id", vector: str = "embedding"
     return Index(postings, pieces, sent, vectors)
 
 
+def _rough_squares(q: np.ndarray, x: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, Callable[[float], float]]:
+    """Squared distances by one product of matrices, and how far two of about a size may be off together.
+
+    Seen from the middle of the piece, norms are those of the piece and not of its place, so the products lose
+    little; what is lost there grows with the squares of these norms, and by moving the
+    vectors with the norms they had.
+    """
+    here, there = x - middle, q - middle
+    squares = (there * there).sum(1)[:, None] + (here * here).sum(1)[None, :] - 2 * (there @ here.T)
+    eps, dims = np.finfo(np.float64).eps, x.shape[1]
+    product = 64 * eps * dims * ((here * here).sum(1).max() + (there * there).sum(1).max())
+    moved = 8 * eps * np.sqrt(dims) * (np.abs(x).max() + np.abs(q).max())
+    return np.maximum(squares, 0), lambda square: product + 8 * np.sqrt(square) * moved + 4 * moved * moved
+
+
 def _nearest(queries: pd.DataFrame, postings: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest of a piece for each of its queries, by exact distances."""
     out: list[tuple[int, int, float]] = []
     if len(queries) and len(postings):
         x, ids = np.stack(postings["embedding"]), postings["vec_id"].to_numpy()
+        middle = x.mean(axis=0)
         for at in range(0, len(queries), 256):
             some = queries.iloc[at : at + 256]
             q = np.stack(some["embedding"])
-            rough = _distances(q, x)
+            rough, slack = _rough_squares(q, x, middle)
             for row, (query_id, vector) in enumerate(zip(some["vec_id"].to_numpy(), q, strict=True)):
                 other = ids != query_id
                 distance = np.where(other, rough[row], np.inf)
                 if len(ids) > k:
-                    bound = np.partition(distance, k - 1)[k - 1] + 1e-6
+                    bound = np.partition(distance, k - 1)[k - 1]
+                    bound += slack(bound)
                     picked = np.flatnonzero((distance <= bound) & other)
                 else:
                     picked = np.flatnonzero(other)

@@ -269,3 +269,20 @@ def test_neighbours(spark):
         hits[True] += len({r.vec_id for r in own} & set(best.tolist()))
     assert hits[True] >= 0.9 * 300
     assert nearest.build_index(spark.createDataFrame(rows[:0], "vec_id long, embedding array<double>, label int")) is None
+
+
+@pytest.mark.parametrize("norm, gap", [(1.0, 0.1), (8e3, 1e-3), (8e4, 1e-3), (1e9, 1e-3)])
+def test_neighbours_at_large_norms(norm, gap):
+    """Exact distances decide, however small against the norms; ties go to the smaller id."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=64)
+    x = middle / np.linalg.norm(middle) * norm + rng.normal(size=(500, 64)) * gap
+    x[20:30] = x[20]
+    table = pd.DataFrame({"vec_id": np.arange(500), "embedding": list(x)})
+    found = nearest._nearest(table[:60], table, 10)
+    for query, rows in found.groupby("query_id"):
+        exact = np.sqrt(((x - x[query]) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(500), exact)) if i != query][:10]
+        assert rows["vec_id"].tolist() == order and rows["score"].tolist() == exact[order].tolist()
