@@ -1,12 +1,13 @@
 """License scan as an exact set-similarity join of text blocks with templates, with DataFrame functions.
 
-A notice stands where at most ``BLOCK`` words in a row, whatever the line ends, hold at
-least ``threshold`` of a template's distinct words. Documents are cut into blocks of twice
+A notice stands where at most ``span`` words in a row, whatever the line ends, hold at
+least ``threshold`` of a template's distinct words; the span is twice the template's length, rounded
+up to a power of 2, and ``BLOCK`` at least. For each span, documents are cut into blocks of twice
 as many words which overlap by half, so every such place lies in one block.
-Words are put in order of their number of blocks, rarest first, over the
-whole corpus. A block that may meet a template must hold one of the template's
-first words in that order (prefix), must have enough words (length) and, from the
-place of the first shared word on, enough words left on both sides (position);
+A block that may meet a template of its span must have enough words (length). Words are put in order
+of the number of such blocks, rarest first, over the whole corpus. The block must hold one of
+the template's first words in that order (prefix) and, from the
+place of the first shared word on, have enough words left on both sides (position);
 what is left is compared exactly, word by word. Labels of the templates join the base labels,
 which come from places where a phrase stands word by word.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tagloom.runtime import pin, ship
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Longest run of words that a notice may take.
+#: Longest run of words that a short notice may take.
 BLOCK = 64
 # Phrases of the base scan and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -46,7 +47,11 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-)
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+)
 
 
 def split_words(text: Column) -> Column:
@@ -69,23 +74,47 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.when((last >= 0) & F.array_contains(words, parts[-1]), places).otherwise(F.array().cast("array<int>"))
 
 
-def blocks(words: Column, vocabulary: list[str]) -> Column:
-    """Words of the vocabulary and their places, for every block of an array of words."""
+class Template(NamedTuple):
+    """A notice: its distinct words, how many of them must stand in a run of ``span`` words."""
+
+    label: str
+    words: frozenset[str]
+    need: int
+    span: int
+
+
+def parse_templates(templates: tuple[tuple[str, str], ...], threshold: float) -> list[Template]:
+    out = []
+    for label, text in templates:
+        words = text.split(" ")
+        distinct = frozenset(words)
+        span = max(BLOCK, 1 << (2 * len(words) - 1).bit_length())
+        out.append(Template(label, distinct, ceil(threshold * len(distinct) - 1e-9), span))
+    return out
+
+
+def blocks(words: Column, vocabulary: list[str], least: dict[int, int]) -> Column:
+    """Words of the vocabulary and their places, for every block of an array of words that may meet a template.
+
+    ``least``: for each span the fewest distinct words that a template needs.
+    """
     known = F.transform(words, lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.alias("at"))))
 
-    def cut(known: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(known) - BLOCK - 1, F.lit(0)), F.lit(BLOCK))
-        return F.transform(starts, lambda s: F.array_compact(F.slice(known, s + 1, F.lit(2 * BLOCK))))
+    def cut(known: Column, span: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(known) - span - 1, F.lit(0)), F.lit(span))
+        held = F.transform(starts, lambda s: F.array_compact(F.slice(known, s + 1, F.lit(2 * span))))
+        enough = F.filter(held, lambda b: F.size(distinct_words(b)) >= least[span])
+        return F.transform(enough, lambda b: F.struct(F.lit(span).alias("span"), b.alias("words")))
 
     # Within the lambda the words are looked up once a row, not once a block.
-    return F.flatten(F.transform(F.array(known), cut))
+    return F.flatten(F.transform(F.array(known), lambda k: F.concat(*[cut(k, span) for span in sorted(least)])))
 
 
 def distinct_words(block: Column) -> Column:
     return F.array_distinct(F.transform(block, lambda k: k["word"]))
 
 
-def scan_texts(docs: DataFrame, key: str, text: str, vocabulary: list[str]) -> DataFrame:
+def scan_texts(docs: DataFrame, key: str, text: str, vocabulary: list[str], least: dict[int, int]) -> DataFrame:
     """key, text_hash, the base scan, and the blocks as their words of the vocabulary."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_hash"), split_words(body).alias("words"))
@@ -96,13 +125,13 @@ def scan_texts(docs: DataFrame, key: str, text: str, vocabulary: list[str]) -> D
     return rows.select(
         "key", "text_hash", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"), blocks(F.col("words"), vocabulary).alias("blocks"),
+        F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"), blocks(F.col("words"), vocabulary, least).alias("blocks"),
     )
 
 
 def word_order(scanned: DataFrame, vocabulary: list[str]) -> list[str]:
     """The vocabulary, rarest first by the number of blocks in the corpus; one row per word of it."""
-    counted = scanned.select(F.explode("blocks").alias("b")).select(F.explode(distinct_words(F.col("b"))).alias("word")).groupBy("word").count()
+    counted = scanned.select(F.explode("blocks.words").alias("b")).select(F.explode(distinct_words(F.col("b"))).alias("word")).groupBy("word").count()
     found = {r["word"]: r["count"] for r in counted.collect()}
     return sorted(vocabulary, key=lambda w: (found.get(w, 0), w))
 
@@ -116,19 +145,19 @@ class Place(NamedTuple):
     cover: float
 
 
-def places_of(known: list[tuple[int, str]], template: frozenset[str], need: int) -> list[Place]:
-    """The shortest runs of at most ``BLOCK`` words with ``need`` words of the template, in order of both ends."""
+def places_of(known: list[tuple[int, str]], template: Template) -> list[Place]:
+    """The shortest runs of at most ``span`` words with enough words of the template, in order of both ends."""
     latest: dict[str, int] = {}
     out: list[Place] = []
     for at, word in known:
-        if word not in template:
+        if word not in template.words:
             continue
         latest[word] = at
-        held = {w: p for w, p in latest.items() if p > at - BLOCK}
+        held = {w: p for w, p in latest.items() if p > at - template.span}
         first = min(held.values())
         # A run with the same start is longer than the one before it and has to hold more.
-        if len(held) >= need and not (out and out[-1].first == first and len(out[-1].words) >= len(held)):
-            out.append(Place(first, at, frozenset(held), len(held) / len(template)))
+        if len(held) >= template.need and not (out and out[-1].first == first and len(out[-1].words) >= len(held)):
+            out.append(Place(first, at, frozenset(held), len(held) / len(template.words)))
     return out
 
 
@@ -145,14 +174,14 @@ def outdone(place: Place, rivals: list[Place]) -> bool:
     return False
 
 
-def named_templates(known: list[tuple[int, str]], templates: list[tuple[str, frozenset[str], int]]) -> tuple[list[str], float]:
+def named_templates(known: list[tuple[int, str]], templates: list[Template]) -> tuple[list[str], float]:
     """Labels of the templates met, and the best cover (0 without any)."""
-    places = [places_of(known, words, need) for _, words, need in templates]
+    places = [places_of(known, template) for template in templates]
     labels = set()
-    for (label, _, _), own in zip(templates, places, strict=True):
+    for template, own in zip(templates, places, strict=True):
         others = [rivals for rivals in places if rivals is not own]
         if any(not any(outdone(place, rivals) for rivals in others) for place in own):
-            labels.add(label)
+            labels.add(template.label)
     return sorted(labels), max((p.cover for own in places for p in own), default=0.0)
 
 
@@ -163,32 +192,28 @@ def scan_licenses(
     """The base scan of every row, with ``labels`` and ``score`` by the templates met."""
     spark = docs.sparkSession
     ship(spark)
-    sets = [(label, sorted(set(words.split(" ")))) for label, words in templates]
-    vocabulary = sorted({w for _, words in sets for w in words})
-    least = min(ceil(threshold * len(words) - 1e-9) for _, words in sets)
-    order = word_order(scan_texts(docs, key, text, vocabulary), vocabulary)
+    wanted = parse_templates(templates, threshold)
+    vocabulary = sorted({w for t in wanted for w in t.words})
+    least = {span: min(t.need for t in wanted if t.span == span) for span in {t.span for t in wanted}}
+    scanned = pin(scan_texts(docs, key, text, vocabulary, least))
+    order = word_order(scanned, vocabulary)
     rank = {w: i for i, w in enumerate(order)}
-
-    enough = F.filter("blocks", lambda b: F.size(distinct_words(b)) >= least)
-    scanned = pin(scan_texts(docs, key, text, order).withColumn("blocks", enough))
     index = []
-    for at, (_, words) in enumerate(sets):
-        ranked = sorted(rank[w] for w in words)
-        need = ceil(threshold * len(words) - 1e-9)
-        index += [(r, p, at, ranked, need) for p, r in enumerate(ranked[: len(ranked) - need + 1])]
+    for at, template in enumerate(wanted):
+        ranked = sorted(rank[w] for w in template.words)
+        index += [(template.span, r, p, at, ranked, template.need) for p, r in enumerate(ranked[: len(ranked) - template.need + 1])]
     # Rows of the prefix index: bounded by the words of the templates.
-    prefixes = F.broadcast(spark.createDataFrame(index, "rank int, place int, template int, ranked array<int>, need int"))
+    prefixes = F.broadcast(spark.createDataFrame(index, "span int, rank int, place int, template int, ranked array<int>, need int"))
     ranks = F.map_from_arrays(F.array(*[F.lit(w) for w in order]), F.array(*[F.lit(i) for i in range(len(order))]))
-    held = scanned.select("key", "text_hash", F.posexplode("blocks").alias("block", "words"))
+    held = scanned.select("key", "text_hash", F.inline("blocks"))
     held = held.withColumn("has", F.array_sort(F.transform(distinct_words(F.col("words")), lambda w: F.element_at(ranks, w))))
-    pairs = held.select("*", F.posexplode("has").alias("place_b", "rank")).join(prefixes, "rank")
+    pairs = held.select("*", F.posexplode("has").alias("place_b", "rank")).join(prefixes, ["span", "rank"])
     left = F.least(F.size("ranked") - F.col("place"), F.size("has") - F.col("place_b"))
     pairs = pairs.filter((F.size("has") >= F.col("need")) & (F.col("place") + left >= F.col("need")))
     met = pairs.filter(F.size(F.array_intersect("has", "ranked")) >= F.col("need"))
     by_row = met.groupBy("key", "text_hash").agg(F.collect_set("template").alias("templates"), F.collect_set("words").alias("words"))
     known = F.array_sort(F.array_distinct(F.flatten("words")), lambda a, b: a["at"] - b["at"])
     by_row = by_row.withColumn("known", known)
-    wanted = [(label, frozenset(words), ceil(threshold * len(words) - 1e-9)) for label, words in sets]
 
     def name(at: pd.Series, words: pd.Series, numbers: pd.Series) -> pd.DataFrame:
         rows = zip(at, words, numbers, strict=True)

@@ -70,6 +70,57 @@ def test_licenses(documents, odd):
     assert licenses.scan_licenses(odd).count() == 7 and licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def brute_licenses(rows, templates, threshold=0.8):
+    """Every run of every text against every template, without the join's filters."""
+    out = {}
+    for i, text, _ in rows:
+        words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        places = []
+        for label, template in templates:
+            distinct = set(template.split(" "))
+            span = 64
+            while span < 2 * len(template.split(" ")):
+                span *= 2
+            runs = []
+            for last in range(len(words)):
+                latest = {w: at for at, w in enumerate(words[max(0, last + 1 - span) : last + 1], max(0, last + 1 - span)) if w in distinct}
+                if words[last] in distinct and len(latest) >= threshold * len(distinct) - 1e-9:
+                    runs.append((min(latest.values()), last, frozenset(latest), len(latest) / len(distinct)))
+            places.append((label, runs))
+        found = {
+            label for at, (label, runs) in enumerate(places)
+            if any(not any(r[3] > p[3] and p[2] <= r[2] and r[0] <= p[1] and r[1] >= p[0] for k, (_, other) in enumerate(places) if k != at for r in other) for p in runs)
+        }
+        base = {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {' '.join(words)} "}
+        out[i] = ",".join(sorted(found | base))
+    return out
+
+
+def test_long_templates_equal_brute_force(documents):
+    """Templates of 90 and 200 words, whole, with words changed, torn apart and too thin."""
+    rng = random.Random(6)
+    lexicon = [f"{a}{b}" for a in WORDS for b in ("x", "y", "z", "w", "v", "u")]
+    long = [("ninety", " ".join(rng.sample(lexicon, 90))), ("twohundred", " ".join(rng.sample(lexicon, 200)))]
+    templates = (*licenses.TEMPLATES, *long)
+    rows = []
+    for i in range(120):
+        label, text = rng.choice(templates[-6:])
+        words = text.split(" ")
+        for at in rng.sample(range(len(words)), int(len(words) * rng.choice([0, 0.1, 0.15, 0.25]))):
+            words[at] = "other"
+        step = rng.choice([1, 1, 1, 2, 3])
+        if step > 1:
+            words = [w for word in words for w in [word, *["fill"] * (step - 1)]]
+        before, after = prose(rng, rng.randrange(300)), prose(rng, rng.randrange(300))
+        rows.append((i, f"{before} {rng.choice([' ', chr(10)]).join(words)} {after}", "s"))
+    rows.append((500, "\n".join(t for _, t in templates), "s"))
+    found = {r.doc_id: r.labels for r in licenses.scan_licenses(documents(rows), templates).collect()}
+    assert found == brute_licenses(rows, templates)
+    assert sum("ninety" in x for x in found.values()) > 3 and sum("twohundred" in x for x in found.values()) > 3
+    alone = {r.doc_id: r.labels for r in licenses.scan_licenses(documents(rows), tuple(long)).collect()}
+    assert alone == brute_licenses(rows, long)
+
+
 def test_wrapped_licenses(documents):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
     mpl = "subject to the terms of the Mozilla Public\n * License, v. 2.0"
