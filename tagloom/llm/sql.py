@@ -61,4 +61,34 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY body ORDER BY doc_id) = 1 AS kept, sha256(body) AS text_sha256
 FROM texts WINDOW w AS (PARTITION BY body)"""
 
-SQL: dict[str, str] = {"op11_exact_dedup": _EXACT_DEDUP, "op13_filter_audit": _FILTER_AUDIT}
+_NGRAM_JOIN = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '{_SPACES}'), lambda w: w <> '') AS words
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS shingles
+  FROM texts
+),
+sizes AS MATERIALIZED (SELECT doc_id, len(shingles) AS n FROM sets),
+held AS MATERIALIZED (SELECT doc_id, n, hash(shingle) AS shingle FROM (SELECT doc_id, unnest(shingles) AS shingle FROM sets) JOIN sizes USING (doc_id)),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS size_a, b.n AS size_b, count(*) AS shared
+  FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+),
+links AS MATERIALIZED (
+  SELECT a, b FROM common WHERE 100 * shared >= 90 * (size_a + size_b - shared)
+  UNION ALL SELECT b, a FROM common WHERE 100 * shared >= 90 * (size_a + size_b - shared)
+),
+reached(doc_id, least) USING KEY (doc_id) AS (
+  SELECT doc_id, doc_id FROM sizes
+  UNION
+  (SELECT l.b, min(r.least) FROM reached r JOIN links l ON l.a = r.doc_id JOIN recurring.reached o ON o.doc_id = l.b
+   WHERE r.least < o.least GROUP BY l.b)
+)
+SELECT doc_id, n AS n_shingles, least AS component_id FROM sizes JOIN reached USING (doc_id)"""
+
+SQL: dict[str, str] = {"op7_ngram_jaccard_join": _NGRAM_JOIN, "op11_exact_dedup": _EXACT_DEDUP, "op13_filter_audit": _FILTER_AUDIT}
