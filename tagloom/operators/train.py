@@ -17,7 +17,7 @@ from tagloom.functions import features as fx
 from tagloom.operators.decode import WordScores, shard_contexts, shard_weights, transition_rows, word_context_columns
 from tagloom.operators.sentences import MAX_TAGS, checked_tags
 from tagloom.operators.viterbi import HISTORY, Transitions, best_path
-from tagloom.runtime import broadcast_if_small, pin, ship, store_bucketed, task_partitions
+from tagloom.runtime import broadcast_if_small, pin, ship, stored_bucketed, task_partitions
 
 # Tokens of a shard when the number of shards is left open.
 SHARD_TOKENS = 50_000
@@ -250,16 +250,16 @@ def train(
         return mix_round(placed.groupBy("shard").applyInArrow(first, DELTA_SCHEMA), None, count)
 
     # Bucketed by shard: no round shuffles sentences.
-    stored = store_bucketed(sharded, "shard", partitions)
-    asked = pin(shard_contexts(stored, families))
-    weights = pin(mix_round(stored.groupBy("shard").applyInArrow(first, DELTA_SCHEMA), None, count))
-    for _ in range(rounds - 1):
-        trigrams = sentences.sparkSession.sparkContext.broadcast(transition_rows(weights))
-
-        def again(shard: pa.Table, start: pa.Table) -> pa.Table:
-            return _train_shard(shard, start, tags, trigrams.value, families, epochs)
-
-        needed = shard_weights(asked, weights, tags)
-        pairs = stored.groupBy("shard").cogroup(needed.groupBy("owner"))
-        weights = pin(mix_round(pairs.applyInArrow(again, DELTA_SCHEMA), weights, count))
+    with stored_bucketed(sharded, "shard", partitions) as stored:
+        asked = pin(shard_contexts(stored, families))
+        weights = pin(mix_round(stored.groupBy("shard").applyInArrow(first, DELTA_SCHEMA), None, count))
+        for _ in range(rounds - 1):
+            trigrams = sentences.sparkSession.sparkContext.broadcast(transition_rows(weights))
+
+            def again(shard: pa.Table, start: pa.Table) -> pa.Table:
+                return _train_shard(shard, start, tags, trigrams.value, families, epochs)
+
+            needed = shard_weights(asked, weights, tags)
+            pairs = stored.groupBy("shard").cogroup(needed.groupBy("owner"))
+            weights = pin(mix_round(pairs.applyInArrow(again, DELTA_SCHEMA), weights, count))
     return weights

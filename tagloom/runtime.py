@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,18 +75,28 @@ def task_partitions(spark: SparkSession, groups: int) -> int:
     return min(4 * groups, max(cores, groups), MAX_PARTITIONS)
 
 
-def store_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+def store_bucketed(df: DataFrame, key: str, buckets: int, name: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder, bucketed by ``key``.
 
     Reading it back needs no shuffle to group or co-group by the key, however
     often that is done. Buckets are written by one task each.
     """
-    spark, name = df.sparkSession, f"tagloom_{uuid.uuid4().hex}"
+    spark, name = df.sparkSession, name or f"tagloom_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
     writer.option("path", scratch_path(spark, "bucketed")).saveAsTable(name)
     return spark.table(name)
 
 
+@contextmanager
+def stored_bucketed(df: DataFrame, key: str, buckets: int) -> Iterator[DataFrame]:
+    """``store_bucketed`` while the block runs; then the catalog forgets the table, so pin what is to outlive it."""
+    name = f"tagloom_{uuid.uuid4().hex}"
+    try:
+        yield store_bucketed(df, key, buckets, name)
+    finally:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input, such as a single-split file, a partition per core."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tagloom.operators.features import feature_rows, histories, known_features, score_features
 from tagloom.plans import corpora
 from tagloom import runtime
+from tagloom.operators.train import train
 from tagloom.runtime import lookup_join, pin, shared_dir, store_bucketed
 
 
@@ -70,6 +71,12 @@ def test_bucketed_table_groups_without_a_shuffle(spark):
     assert "Exchange" not in plan(counts) and counts.count() == 7
 
 
+def test_training_leaves_no_table(spark, sentences):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = train(sentences((["a", "b"], ["O", "B-X"]), (["b"], ["O"])), n_shards=2, epochs=1, rounds=2)
+    assert found.count() > 0 and {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_shared_folder_is_the_session_setting(spark):
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert shared_dir(spark) and (configured is None or shared_dir(spark) == configured)
