@@ -14,10 +14,10 @@ cost more than its lists, by the histogram of set sizes.
 
 Groups need no more than one chain of links, so sets of a list are first compared
 with the list's first set. Sets of one list which are still in different groups
-are compared pair by pair if the list is short; in a longer one, such as the many
+are compared pair by pair if the list is short; in longer ones, such as the many
 copies of a text with edits of their own, by inverted lists of their differences
-from the first set, of which linked sets must share more than half. No link
-between different groups is lost.
+from the first set, whose overlaps give the exact similarity. These lists are scanned inside tasks, a pair of
+pieces of the group in each, and leave only links that join something. No link between different groups is lost.
 
 Defined results: texts are lower-cased in A-Z and cut at ASCII white space; fewer
 words than n make one shingle of all of them; null, empty and blank texts have no
@@ -34,6 +34,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ CACHE_WORDS = 1_000_000
 CLASS_RATIO = 1.5
 #: Runs with fewer shingles are poor.
 POOR = 3
-#: Lists of so many sets are compared pair by pair.
-SMALL_LIST = 8
+#: Lists of so many sets are compared pair by pair; sets of a piece of a group of longer lists.
+SMALL_LIST, PIECE = 8, 512
 #: Size of the bitmap of wanted documents, as a power of 2 in bits (half a megabyte).
 BLOOM_BITS = 22
 _SCANNED = "key {kind}, text_hash long, set_lo long, set_hi long, n long"
@@ -343,49 +344,87 @@ def _rest_of_small(placed: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def _differences(shingles: np.ndarray, first: np.ndarray, percent: int) -> tuple[list[int], int, int]:
-    """Where a set differs from the first of its list; how many of these, rarest first, may be those by
-    which partners find it; and, if it is not linked with the first, those by which it finds partners.
+def _near_pairs(left: pa.Table, right: pa.Table | None, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of two pieces (or of one) of a group, as many as join different roots.
 
-    Two sets at distances e and f from the first, of which one is not linked with it, are linked only
-    if they share (e + f - d) / 2 of these differences, d being what linked sets may differ in. That is more than
-    half of either's own; so in any common order one of the first elements is shared.
+    Sets are given by their differences from the group's first set. Two sets differ in what only one of these
+    holds, so overlaps of differences give exact similarities. The inverted lists of the right piece are
+    bitsets, which a set of the left piece adds up.
+    """
+    other = left if right is None else right
+    sizes, roots = other.column("n").to_numpy(), other.column("root").to_pylist()
+    ids, lists = other.column("nid").to_pylist(), [np.frombuffer(d, np.uint64) for d in other.column("diff").to_pylist()]
+    lengths = np.array([len(d) for d in lists], dtype=np.int64)
+    held, element = np.unique(np.concatenate(lists), return_inverse=True)
+    owner = np.repeat(np.arange(len(lists)), lengths)
+    flags = np.zeros((len(held) + 1, -(-len(lists) // 8)), dtype=np.uint8)
+    np.bitwise_or.at(flags, (element, owner >> 3), (1 << (owner & 7)).astype(np.uint8))
+    parent: dict[int, int] = {}
+
+    def find(root: int) -> int:
+        while parent.get(root, root) != root:
+            root = parent[root]
+        return root
+
+    found = []
+    rows = zip(left.column("nid").to_pylist(), left.column("root").to_pylist(), left.column("n").to_pylist(), left.column("diff").to_pylist(), strict=True)
+    for at, (nid, root, n, diff) in enumerate(rows):
+        mine = np.frombuffer(diff, np.uint64)
+        places = np.searchsorted(held, mine)
+        places = places[(places < len(held)) & (held[np.minimum(places, len(held) - 1)] == mine)] if len(held) else places[:0]
+        common = np.zeros(len(lists), dtype=np.int64)
+        for low in range(0, len(places), 4096):
+            bits = np.unpackbits(flags[places[low : low + 4096]], axis=1, bitorder="little", count=len(lists))
+            common += bits.sum(axis=0, dtype=np.int64)
+        apart = len(mine) + lengths - 2 * common
+        good = (100 + percent) * apart <= (n + sizes) * (100 - percent)
+        if right is None:
+            good[: at + 1] = False
+        for j in np.flatnonzero(good).tolist():
+            low, high = find(root), find(roots[j])
+            if low != high:
+                parent[high] = low
+                found.append((nid, ids[j]))
+    return found
+
+
+def _links_of_large(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups of sets that share a longer list.
+
+    Sets of lists with one first set are a group; the differences from that set are short where sets are alike. A group
+    is cut into pieces of ``PIECE`` sets, and every pair of pieces is a cell of its own: no task holds a large group, and
+    no pairs of sets are made but the links that a cell needs to join what is linked in it.
     """
-    differ = np.setxor1d(shingles, first, True)
-    e, n, m = len(differ), len(shingles), len(first)
-    low, high = 100 - percent, 100 + percent
-    short = e - max(1, -(-(e * high - abs(m - n) * low) // (2 * high))) + 1
-    if e * high <= (n + m) * low:
-        return signed(differ).tolist(), short, 0
-    most = (n + 100 * n // percent) * low // high
-    return signed(differ).tolist(), short, e - max(1, -(-(e + 1 - most) // 2)) + 1
-
-
-def _rest_of_large(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups from longer lists, by shared differences from the first set of the list."""
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("found").to_pylist(), batch.column("found_first").to_pylist(), strict=True)
-            found = [_differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in rows]
-            keys, short, long = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("nid", "first", "root", "n")], pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.int64()), pa.array(long, pa.int64())],
-                names=["nid", "first", "root", "n", "keys", "short", "long"],
-            )
-
-    large = placed.filter((F.col("sets") > SMALL_LIST) & (F.col("nid") != F.col("first"))).select("nid", "first", "root", "n").distinct()
+            diffs = [np.setxor1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), True).tobytes() for a, b in rows]
+            columns = [*[batch.column(c) for c in ("nid", "first", "root", "n")], pa.array(diffs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["nid", "first", "root", "n", "diff"])
+
+    def meet(cell: pa.Table) -> pa.Table:
+        pairs = _near_pairs(*_sides(cell), percent)
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    large = pin(placed.filter(F.col("sets") > SMALL_LIST).select("nid", "first", "root", "n").distinct())
+    sizes = large.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
     both = large.join(sets, "nid").join(sets.select(F.col("nid").alias("first"), F.col("found").alias("found_first")), "first")
-    diffs = both.select("nid", "first", "root", "n", "found", "found_first")
-    diffs = diffs.mapInArrow(differ, "nid long, first long, root long, n long, keys array<long>, short long, long long")
-    each = diffs.select("nid", "first", "root", "n", "short", "long", F.explode("keys").alias("key"))
-    each = each.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("first", "key")))
-    nth = F.row_number().over(Window.partitionBy("first", "nid").orderBy("holders", "key"))
-    each = pin(each.withColumn("nth", nth).filter((F.col("nth") <= F.greatest("short", "long")) & (F.col("holders") > 1)))
-    finders = each.filter("nth <= long").select("first", "key", F.col("nid").alias("a"), "root", "n")
-    others = each.filter("nth <= short").select("first", "key", F.col("nid").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-    pairs = finders.join(others, ["first", "key"]).filter(_fits(percent) & (F.col("a") != F.col("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    diffs = both.select("nid", "first", "root", "n", "found", "found_first").mapInArrow(differ, "nid long, first long, root long, n long, diff binary")
+    cut = diffs.join(sizes, "first").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("pieces").cast("long")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("pieces") - 1)
+    # Cell (i, j), i <= j, holds piece i on the left and piece j on the right; where they are one, it is there once.
+    cells = F.transform(every, lambda k: F.struct(
+        F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") <= k).alias("left")))
+    dealt = cut.withColumn("cell", F.explode(cells)).select("first", "cell.i", "cell.j", "cell.left", "nid", "root", "n", "diff")
+    return dealt.groupBy("first", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _sides(cell: pa.Table) -> tuple[pa.Table, pa.Table | None]:
+    """The left and the right piece of a cell; None on the right if they are one."""
+    left = cell.filter(cell.column("left"))
+    return left, (None if left.num_rows == cell.num_rows else cell.filter(pc.invert(cell.column("left"))))
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -415,11 +454,9 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "d
 
     groups = components(edges)
     placed = pin(_placed(lists, groups, edges).join(nodes.select("nid", "n"), "nid"))
-    firsts = placed.filter((F.col("sets") > SMALL_LIST) & (F.col("nid") != F.col("first"))).select(F.least("nid", "first").alias("a"), F.greatest("nid", "first").alias("b"))
-    rest = _rest_of_small(placed, percent).unionByName(_rest_of_large(placed, sets, percent)).unionByName(firsts).distinct()
-    rest = pin(_untried(rest, stars))
-    more = None if rest.isEmpty() else pin(_verified(rest, sets, percent))
-    if more is not None and not more.isEmpty():
+    rest = pin(_untried(_rest_of_small(placed, percent), stars))
+    more = pin(_verified(rest, sets, percent).unionByName(_links_of_large(placed, sets, percent)))
+    if not more.isEmpty():
         groups = components(edges.unionByName(more))
 
     found = nodes.select(*same_set, "nid", "owner").join(groups.withColumnRenamed("node", "nid"), "nid", "left")
