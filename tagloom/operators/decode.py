@@ -123,7 +123,8 @@ def shard_weights(asked: DataFrame, weights: DataFrame, tags: list[str]) -> Data
     return hits.select(F.col("shard").alias("owner"), "context", "by_tag")
 
 
-def _output_schema(sentences: DataFrame) -> StructType:
+def output_schema(sentences: DataFrame) -> StructType:
+    """Columns of decoded sentences."""
     return StructType(
         [
             sentences.schema["sent_id"],
@@ -171,7 +172,7 @@ def decode(
     found = {tag for c in HISTORY for tag in trigrams.column(c).unique().to_pylist()} - {fx.START, fx.STOP}
     names = checked_tags(tags or found)[::-1]
     moves = Transitions(names, trigrams if fx.TRIGRAM in families else trigrams.slice(0, 0), fx.START, fx.STOP)
-    schema = _output_schema(asked)
+    schema = output_schema(asked)
     if weights.count() <= max_broadcast:
         contexts = by_context(weights, names).toArrow()
         if contexts.num_rows * len(names) <= MAX_BROADCAST_CELLS:

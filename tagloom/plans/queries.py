@@ -586,7 +586,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_decode(spark: SparkSession, sf: str) -> DataFrame:
-    found = streaming.run_to_files(streaming.stream_decode(_stream(spark, sf), pin(_model(spark, sf))))
+    found = streaming.run_decoded(_stream(spark, sf), pin(_model(spark, sf)))
     return keyed(st.unpack(found.drop("score")))
 
 

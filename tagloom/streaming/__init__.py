@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tagloom.functions import features as fx
-from tagloom.operators.decode import MAX_BROADCAST_WEIGHTS, decode
+from tagloom.operators.decode import MAX_BROADCAST_WEIGHTS, decode, output_schema
 from tagloom.operators.evaluate import BOUNDARY, chunk_counts
 from tagloom.runtime import scratch_path
 
@@ -25,7 +25,10 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 
 def stream_decode(sentences: DataFrame, weights: DataFrame, families: tuple[str, ...] = fx.DECODER_FAMILIES) -> DataFrame:
-    """Decode each sentence of a stream as it arrives; the model is static, there is no state."""
+    """Decode each sentence of a stream as it arrives; the model is static, there is no state.
+
+    Only for models small enough to broadcast; ``decode_to`` takes any.
+    """
     return decode(sentences, weights, families)
 
 
@@ -58,6 +61,13 @@ def decode_to(
     return writer.trigger(availableNow=True).start()
 
 
+def run_decoded(sentences: DataFrame, weights: DataFrame, families: tuple[str, ...] = fx.DECODER_FAMILIES) -> DataFrame:
+    """Decode a stream over the data at hand, with a model of any size, and return the decoded sentences."""
+    path = scratch_path(sentences.sparkSession, "decoded")
+    decode_to(sentences, weights, path, families=families).awaitTermination()
+    return sentences.sparkSession.read.schema(output_schema(sentences)).parquet(path)
+
+
 def stream_counts(sentences: DataFrame, boundary: str = BOUNDARY) -> DataFrame:
     """Running chunk counts per type of a stream of labelled sentences.
 
