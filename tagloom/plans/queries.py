@@ -611,7 +611,7 @@ def stream_lines_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences are made from lines as they arrive, then decoded."""
     sentences = lines_of.stream_sentences(_lines(spark, sf))
     words = F.transform("lines", lambda line: F.substring_index(line, " ", 1))
-    found = streaming.run_to_files(streaming.stream_decode(sentences.select("sent_id", words.alias("words")), pin(_model(spark, sf))))
+    found = streaming.run_decoded(sentences.select("sent_id", words.alias("words")), pin(_model(spark, sf)))
     tokens = st.unpack(found.drop("score"))
     return tokens.select("sent_id.key.*", "sent_id.sentence", "pos", "word", "tag")
 

@@ -41,7 +41,7 @@ def test_model_too_large_for_a_stream(spark, files, weights):
         decode(stream(spark, files), model, max_broadcast=0)
 
 
-@pytest.mark.parametrize("name", ["stream_decode"])
+@pytest.mark.parametrize("name", ["stream_decode", "stream_lines_decode"])
 def test_stream_queries_take_models_of_any_size(spark, tmp_path, monkeypatch, name):
     """The corpus model grows with the table, so the streams must not depend on its broadcast."""
     rows = [(c, t, "user", f"the Cat {c} saw Rome\n\nand Dog{t}") for c in range(3) for t in range(2)]
