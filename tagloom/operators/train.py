@@ -7,6 +7,8 @@ several epochs is one-shot mixing; several rounds of one epoch are iterative mix
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import features as fx
 from tagloom.operators.decode import WordScores, shard_contexts, shard_weights, transition_rows, word_context_columns
 from tagloom.operators.sentences import MAX_TAGS, checked_tags
-from tagloom.operators.viterbi import HISTORY, Transitions, best_path
+from tagloom.operators.viterbi import CELLS, HISTORY, Transitions, best_path, best_paths_apart
 from tagloom.runtime import broadcast_if_small, pin, ship, stored_bucketed, task_partitions
 
 # Tokens of a shard when the number of shards is left open.
@@ -25,7 +27,12 @@ SHARD_TOKENS = 50_000
 MAX_BROADCAST_PARTITIONS = 1_000_000
 
 NO_TRIGRAMS = pa.table({**{c: pa.array([], pa.string()) for c in HISTORY}, "weight": pa.array([], pa.float64())})
-DELTA_SCHEMA = "shard bigint, feature string, delta double"
+DELTA_SCHEMA = "feature string, delta double, made bigint"
+# Shards that learn in step, and cells of their weights; token-by-tag cells of a bundle of shards, which a task holds.
+TEAM, TEAM_CELLS = 128, 40_000_000
+BUNDLE_CELLS = 50_000_000
+# Fewer sentences than this are decoded faster one by one.
+FEW = 4
 
 
 def _sorted_parts(sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,102 +104,197 @@ def _profile(corpus: DataFrame) -> tuple[list[str], int]:
     return checked_tags(found), tokens
 
 
-class ShardTrainer:
-    """Online updates over the sentences of one shard.
+class TeamTrainer:
+    """Online updates over the sentences of several shards, a team, each with weights of its own.
 
-    Words and their contexts are numbered; ``lexical`` and ``trigrams`` count the
-    updates per (context, tag) and per tag history. Counts that cancel stay, as 0.
+    Shards do not depend on each other, so they learn in step: the next sentence of each is decoded in the
+    same array operations. Contexts are numbered per shard, as rows of one matrix; ``counts`` and ``touched``
+    hold the updates per (row, tag), so counts that cancel stay, as 0.
     """
 
-    def __init__(
-        self, tags: list[str], families: tuple[str, ...], words: list[str], start: pa.Table | None, known: pa.Table
-    ):
-        self.tags, self.families, self.size = tags, families, len(tags)
-        self.moves = Transitions(tags, known, fx.START, fx.STOP)
-        columns = list(word_context_columns(words, families))
-        self.contexts = list(dict.fromkeys(c for column in columns for c in column if c))
-        number = {c: i for i, c in enumerate(self.contexts)}
-        # Short words lack some contexts and point at a last, unused row.
-        self.unused = len(number)
-        rows = np.array([[number.get(c, self.unused) for c in column] for column in columns], dtype=np.int64)
-        self.rows = rows.reshape(len(columns), len(words)).T
-        self.scores = np.zeros((len(number) + 1, len(tags)))
-        if start is not None and number:
-            model = WordScores(tags, start, families)
-            self.scores[:-1] = model.matrix[[model.row.get(c, -1) for c in self.contexts]]
-        self.lexical: dict[int, int] = {}
-        self.trigrams: dict[int, int] = {}
-
-    def learn(self, tokens: np.ndarray, gold: np.ndarray) -> None:
-        rows = self.rows[tokens]
-        gain = self.scores[rows].sum(axis=1)
-        guess = best_path(gain, self.moves)
-        if not np.array_equal(guess, gold):
-            self._shift(rows, gold, 1)
-            self._shift(rows, guess, -1)
-
-    def _shift(self, rows: np.ndarray, path: np.ndarray, sign: int) -> None:
-        side = self.size + 1
+    def __init__(self, tags: list[str], families: tuple[str, ...], moves: Transitions, scores: np.ndarray, members: int):
+        self.families, self.size, self.scores = families, len(tags), scores
+        self.moves = moves.copies(members)
+        self.side = None if moves.whole is None else self.moves[0].whole.base
+        # Short words lack some contexts and point at the last, unused row.
+        self.unused = len(scores) - 1
+        self.counts, self.touched = np.zeros(scores.shape, np.int32), np.zeros(scores.shape, bool)
+        self.trigrams = [np.zeros((2, 0), dtype=np.int64)]
+        self.pending = 0
+        self.wrong = np.zeros(members, bool)
+
+    def _guess(self, lengths: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """Paths of a sentence of each of the first members."""
+        ends = np.cumsum(lengths)
+        cells = lengths * self.size**2
+        if self.side is None or len(lengths) < FEW or cells.max() > CELLS:
+            parts = zip(ends - lengths, ends, self.moves)
+            return np.concatenate([best_path(gain[low:high], moves) for low, high, moves in parts])
+        found, low = [], 0
+        while low < len(lengths):
+            high = low + max(1, int(np.searchsorted(np.cumsum(cells[low:]), CELLS, side="right")))
+            words = slice(ends[low] - lengths[low], ends[high - 1])
+            found.append(best_paths_apart(lengths[low:high], gain[words], self.side[low:high]))
+            low = high
+        return np.concatenate(found)
+
+    def learn(self, lengths: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> None:
+        """The next sentence of each of the first members, one after the other in ``rows`` and ``gold``."""
+        guess = self._guess(lengths, self.scores[rows].sum(axis=1))
+        wrong = np.logical_or.reduceat(guess != gold, np.cumsum(lengths) - lengths)
+        members = np.flatnonzero(wrong)
+        if len(members):
+            self.wrong[members] = True
+            inside = np.repeat(wrong, lengths)
+            for path, sign in ((gold, 1), (guess, -1)):
+                self._shift(members, lengths[members], rows[inside], path[inside], sign)
+
+    def _shift(self, members: np.ndarray, lengths: np.ndarray, rows: np.ndarray, path: np.ndarray, sign: int) -> None:
         if fx.TRIGRAM in self.families:
-            steps = np.concatenate([[side - 1, side - 1], path, [side - 1]])
-            history = np.stack([steps[:-2], steps[1:-1], steps[2:]], axis=1)
-            self.moves.add(history, sign)
-            _count(self.trigrams, history @ [side * side, side, 1], sign)
+            nth = np.arange(len(members))
+            padded = np.full(len(path) + 3 * len(members), self.size)
+            padded[np.arange(len(path)) + np.repeat(3 * nth + 2, lengths)] = path
+            at = np.arange(len(path) + len(members)) + np.repeat(2 * nth, lengths + 1)
+            history, owner = np.stack([padded[at], padded[at + 1], padded[at + 2]], axis=1), np.repeat(members, lengths + 1)
+            side = self.size + 1
+            codes = owner * side**3 + history @ [side * side, side, 1]
+            if self.side is None:
+                for member in members.tolist():
+                    self.moves[member].add(history[owner == member], sign)
+            else:
+                np.add.at(self.side.reshape(-1), codes, float(sign))
+            self.trigrams.append(np.stack([codes, np.full(len(codes), sign)]))
+            self.pending += len(codes)
+            if self.pending > CELLS:
+                self._compact()
         real = rows != self.unused
         cells = (rows * self.size + path[:, None])[real]
-        np.add.at(self.scores.reshape(-1), cells, sign)
-        _count(self.lexical, cells, sign)
-
-    def deltas(self) -> dict[str, int]:
-        """Updates by feature; empty if no sentence was wrong."""
-        side, found = self.size + 1, {}
-        for code, n in self.trigrams.items():
-            t2, rest = divmod(code, side * side)
-            names = [[*self.tags, end][i] for i, end in zip((t2, *divmod(rest, side)), (fx.START, fx.START, fx.STOP))]
-            found[":".join([fx.TRIGRAM, *names])] = n
-        for code, n in self.lexical.items():
-            context, tag = divmod(code, self.size)
-            found[f"{self.contexts[context]}:{self.tags[tag]}"] = n
-        if found:
-            # Updates see STOP as a word as well: these features always cancel.
-            for column in word_context_columns([fx.STOP], self.families):
-                found.setdefault(f"{column[0]}:{fx.STOP}", 0)
-        return found
-
-
-def _count(counts: dict[int, int], codes: np.ndarray, sign: int) -> None:
-    for code in codes.tolist():
-        counts[code] = counts.get(code, 0) + sign
+        # Amounts of the arrays' own types, which numpy adds without a cast for each.
+        np.add.at(self.scores.reshape(-1), cells, float(sign))
+        np.add.at(self.counts.reshape(-1), cells, np.int32(sign))
+        self.touched.reshape(-1)[cells] = True
+
+    def _compact(self) -> None:
+        codes, signs = np.concatenate(self.trigrams, axis=1)
+        held, at = np.unique(codes, return_inverse=True)
+        self.trigrams, self.pending = [np.stack([held, _sums(at, signs)])], 0
+
+    def trigram_deltas(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of tag histories, the sums of their updates, and the number of shards that made any."""
+        self._compact()
+        codes, amounts = self.trigrams[0]
+        return _by_code(codes % (self.size + 1) ** 3, amounts)
+
+    def lexical_deltas(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for (context, tag), given the context of every row."""
+        cells = np.flatnonzero(self.touched)
+        codes = contexts[cells // self.size] * self.size + cells % self.size
+        return _by_code(codes, self.counts.reshape(-1)[cells])
+
+
+def _sums(at: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+    return np.rint(np.bincount(at, weights=amounts)).astype(np.int64)
+
+
+def _by_code(codes: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    held, at = np.unique(codes, return_inverse=True)
+    return held, _sums(at, amounts), np.bincount(at, minlength=len(held))
 
 
 def _order(key: object) -> object:
     return tuple(key.values()) if isinstance(key, dict) else key
 
 
-def _train_shard(
-    shard: pa.Table, start: pa.Table | None, tags: list[str], trigrams: pa.Table, families: tuple[str, ...], epochs: int
+def _teams(pairs: np.ndarray, cells: int, side: int) -> Iterator[tuple[int, int]]:
+    """Runs of shards that learn together. ``pairs`` counts the distinct words of each; a word has ``cells`` cells."""
+    low, used = 0, 0
+    for high, need in enumerate((pairs * cells + side).tolist()):
+        if high > low and (used + need > TEAM_CELLS or high - low == TEAM):
+            yield low, high
+            low, used = high, 0
+        used += need
+    yield low, len(pairs)
+
+
+def _train_bundle(
+    bundle: pa.Table, start: pa.Table | None, tags: list[str], trigrams: pa.Table, families: tuple[str, ...], epochs: int
 ) -> pa.Table:
-    keys = [_order(key) for key in shard.column("sent_id").to_pylist()]
-    words = shard.column("words").combine_chunks()
-    gold = shard.column("tags").combine_chunks()
+    """The updates of all shards of a bundle, summed; ``made`` is the number of shards that made a feature."""
+    keys = [_order(key) for key in bundle.column("sent_id").to_pylist()]
+    shards = bundle.column("shard").to_numpy()
+    words = bundle.column("words").combine_chunks()
     coded = words.flatten().dictionary_encode()
-    trainer = ShardTrainer(tags, families, coded.dictionary.to_pylist(), start, trigrams)
-    tokens = coded.indices.to_numpy(zero_copy_only=False)
-    paths = pc.index_in(gold.flatten(), pa.array(tags, pa.string())).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))
-    begins = np.concatenate([[0], ends[:-1]])
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    for _ in range(epochs):
-        for i in order:
-            part = slice(begins[i], ends[i])
-            trainer.learn(tokens[part], paths[part])
-    number = shard.column("shard")[0].as_py()
-    found = trainer.deltas()
+    tokens = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    gold = bundle.column("tags").combine_chunks().flatten()
+    paths = pc.index_in(gold, pa.array(tags, pa.string())).to_numpy(zero_copy_only=False)
+    lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    begins = np.cumsum(lengths) - lengths
+
+    columns = list(word_context_columns(coded.dictionary.to_pylist(), families))
+    contexts = list(dict.fromkeys(c for column in columns for c in column if c))
+    number = {c: i for i, c in enumerate(contexts)}
+    numbered = [[number.get(c, -1) for c in column] for column in columns]
+    by_word = np.array(numbered, dtype=np.int64).reshape(len(columns), len(coded.dictionary)).T
+    model = WordScores(tags, start, families) if start is not None else None
+    known = np.array([model.row.get(c, -1) for c in contexts], dtype=np.int64) if model else None
+    moves = Transitions(tags, trigrams, fx.START, fx.STOP)
+
+    # Sentences of a shard in corpus order; shards of many sentences first, so those still learning are a prefix.
+    order: dict[int, list[int]] = {}
+    for i in sorted(range(len(keys)), key=lambda i: (shards[i], keys[i])):
+        order.setdefault(int(shards[i]), []).append(i)
+    members = sorted(order.values(), key=len, reverse=True)
+    distinct = np.array([len(np.unique(np.concatenate([tokens[begins[i] : begins[i] + lengths[i]] for i in m]))) for m in members])
+    found: list[pa.Table] = []
+    single = moves.whole is None
+    for low, high in _teams(distinct, len(columns) * len(tags), TEAM_CELLS if single else moves.whole.size):
+        team = members[low:high]
+        steps = [[m[j] for m in team if len(m) > j] for j in range(len(team[0]))]
+        flat = np.array([i for step in steps for i in step], dtype=np.int64)
+        owner = np.array([n for step in steps for n in range(len(step))], dtype=np.int64)
+        size = lengths[flat]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(begins[flat] - edges[:-1], size) + np.arange(edges[-1])
+        pairs, pair_of = np.unique(np.repeat(owner, size) * len(by_word) + tokens[at], return_inverse=True)
+        asked = by_word[pairs % len(by_word)]
+        codes, row = np.unique((pairs // len(by_word))[:, None] * len(contexts) + asked, return_inverse=True)
+        row, held = row.reshape(asked.shape), asked >= 0
+        # Codes of missing contexts are dropped, and their places point at the last row.
+        used = np.zeros(len(codes), bool)
+        used[row[held]] = True
+        place = np.cumsum(used) - 1
+        rows = np.where(held, place[row], used.sum())
+        context = codes[used] % max(len(contexts), 1)
+        scores = np.zeros((len(context) + 1, len(tags)))
+        if model is not None:
+            scores[:-1] = model.matrix[known[context]]
+        trainer = TeamTrainer(tags, families, moves, scores, len(team))
+        gold_path = paths[at]
+        counted = np.concatenate([[0], np.cumsum([len(step) for step in steps])])
+        for _ in range(epochs):
+            for a, b in zip(counted[:-1], counted[1:]):
+                part = slice(edges[a], edges[b])
+                trainer.learn(size[a:b], rows[pair_of[part]], gold_path[part])
+        found.append(_team_deltas(trainer, tags, contexts, context))
+    return pa.concat_tables(found)
+
+
+def _team_deltas(trainer: TeamTrainer, tags: list[str], contexts: list[str], context: np.ndarray) -> pa.Table:
+    """feature, delta and made of a team; empty if no sentence was wrong."""
+    side, size = len(tags) + 1, len(tags)
+    ends = [[*tags, end] for end in (fx.START, fx.START, fx.STOP)]
+    codes, amounts, made = trainer.trigram_deltas()
+    names = [":".join([fx.TRIGRAM, ends[0][c // side**2], ends[1][c // side % side], ends[2][c % side]]) for c in codes.tolist()]
+    cells, more, makers = trainer.lexical_deltas(context)
+    names += [f"{contexts[c // size]}:{tags[c % size]}" for c in cells.tolist()]
+    # Updates see STOP as a word as well: these features always cancel.
+    wrong = int(trainer.wrong.sum())
+    stops = [f"{column[0]}:{fx.STOP}" for column in word_context_columns([fx.STOP], trainer.families)] if wrong else []
     return pa.table(
         {
-            "shard": pa.array([number] * len(found), pa.int64()),
-            "feature": pa.array(list(found), pa.string()),
-            "delta": pa.array([float(n) for n in found.values()], pa.float64()),
+            "feature": pa.array(names + stops, pa.string()),
+            "delta": pa.array(np.concatenate([amounts, more, np.zeros(len(stops))]), pa.float64()),
+            "made": pa.array(np.concatenate([made, makers, np.full(len(stops), wrong)]).astype(np.int64), pa.int64()),
         }
     )
 
@@ -200,13 +302,13 @@ def _train_shard(
 def mix_round(deltas: DataFrame, weights: DataFrame | None, n_shards: int) -> DataFrame:
     """Mean over the shards' weight vectors.
 
-    A shard returns its start weights with its updates applied. So a known feature
-    is averaged over all shards, changed or not, and a new one over those that made it.
+    ``deltas`` has sums of the updates and, as ``made``, the number of shards behind each. A shard returns
+    its start weights with its updates applied. So a known feature is averaged over all shards, changed or not, and a new one over those that made it.
     """
-    rows = deltas.select("feature", F.lit(0.0).alias("weight"), "delta", F.lit(1).alias("made"), F.lit(False).alias("known"))
+    rows = deltas.select("feature", F.lit(0.0).alias("weight"), "delta", "made", F.lit(False).alias("known"))
     if weights is not None:
         kept = weights.select(
-            "feature", "weight", F.lit(0.0).alias("delta"), F.lit(0).alias("made"), F.lit(True).alias("known")
+            "feature", "weight", F.lit(0.0).alias("delta"), F.lit(0).cast("bigint").alias("made"), F.lit(True).alias("known")
         )
         rows = rows.unionByName(kept)
     sums = rows.groupBy("feature").agg(
@@ -228,10 +330,10 @@ def train(
 ) -> DataFrame:
     """Weights of a structured perceptron trained from zero.
 
-    A shard is held by one task. Unless ``n_shards`` is given, there is one for every
+    A shard is trained by one task, next to others of its bundle. Unless ``n_shards`` is given, there is one for every
     ``shard_tokens`` tokens; mixing makes the weights depend on it. ``rounds > 1``
-    starts every shard from the mixed weights of the round before; each shard is
-    sent only the weights its words can use, and lineage is cut after each round.
+    starts every shard from the mixed weights of the round before; each bundle of shards
+    is sent only the weights its words can use, and lineage is cut after each round.
     """
     ship(sentences.sparkSession)
     families = tuple(families)
@@ -241,25 +343,30 @@ def train(
     count = n_shards or tokens // shard_tokens + 1
     sharded = assign_shards(corpus, count, rule)
 
-    def first(shard: pa.Table) -> pa.Table:
-        return _train_shard(shard, None, tags, NO_TRIGRAMS, families, epochs)
+    # Small shards travel together: a task's overhead is paid per bundle, of a size that does not depend on the corpus.
+    cores = sentences.sparkSession.sparkContext.defaultParallelism
+    bundles = min(count, max(2 * cores, tokens * len(tags) // BUNDLE_CELLS + 1))
+    bundled = sharded.withColumn("bundle", F.pmod("shard", F.lit(bundles)))
+
+    def first(bundle: pa.Table) -> pa.Table:
+        return _train_bundle(bundle, None, tags, NO_TRIGRAMS, families, epochs)
 
-    partitions = task_partitions(sentences.sparkSession, count)
+    partitions = task_partitions(sentences.sparkSession, bundles)
     if rounds == 1:
-        placed = sharded.repartition(partitions, "shard")
-        return mix_round(placed.groupBy("shard").applyInArrow(first, DELTA_SCHEMA), None, count)
+        placed = bundled.repartition(partitions, "bundle")
+        return mix_round(placed.groupBy("bundle").applyInArrow(first, DELTA_SCHEMA), None, count)
 
-    # Bucketed by shard: no round shuffles sentences.
-    with stored_bucketed(sharded, "shard", partitions) as stored:
-        asked = pin(shard_contexts(stored, families))
-        weights = pin(mix_round(stored.groupBy("shard").applyInArrow(first, DELTA_SCHEMA), None, count))
+    # Bucketed by bundle: no round shuffles sentences.
+    with stored_bucketed(bundled, "bundle", partitions) as stored:
+        asked = pin(shard_contexts(stored.select(F.col("bundle").alias("shard"), "words"), families))
+        weights = pin(mix_round(stored.groupBy("bundle").applyInArrow(first, DELTA_SCHEMA), None, count))
         for _ in range(rounds - 1):
             trigrams = sentences.sparkSession.sparkContext.broadcast(transition_rows(weights))
 
-            def again(shard: pa.Table, start: pa.Table) -> pa.Table:
-                return _train_shard(shard, start, tags, trigrams.value, families, epochs)
+            def again(bundle: pa.Table, start: pa.Table) -> pa.Table:
+                return _train_bundle(bundle, start, tags, trigrams.value, families, epochs)
 
             needed = shard_weights(asked, weights, tags)
-            pairs = stored.groupBy("shard").cogroup(needed.groupBy("owner"))
+            pairs = stored.groupBy("bundle").cogroup(needed.groupBy("owner"))
             weights = pin(mix_round(pairs.applyInArrow(again, DELTA_SCHEMA), weights, count))
     return weights

@@ -7,6 +7,8 @@ Index ``K`` stands for the start padding in the history and for STOP as last tag
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +56,15 @@ class Transitions:
             self.at = np.concatenate([self.at, at])
             self.weight = np.concatenate([self.weight, np.full(len(at), amount)])
 
+    def copies(self, count: int) -> list[Transitions]:
+        """Copies to be changed on their own; dense ones lie side by side in the array ``whole.base`` of any."""
+        found = [copy(self) for _ in range(count)]
+        if self.whole is not None:
+            side = np.repeat(self.whole[None], count, axis=0)
+            for i, moves in enumerate(found):
+                moves.whole = side[i]
+        return found
+
     def block(self, low: int, high: int) -> np.ndarray:
         """Weights of (t2, t1, t) for ``low <= t < high``."""
         return self._fill(low, high) if self.whole is None else self.whole[:, :, low:high]
@@ -96,6 +107,56 @@ def best_path(gain: np.ndarray, moves: Transitions) -> np.ndarray:
     return np.array(path[::-1])
 
 
+def best_paths_apart(lengths: np.ndarray, gain: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Decode a sentence for each of several models at once: ``side`` holds their dense weights, one after the other.
+
+    ``best_path`` for trainers whose shards learn in step: the same sums in the same order, so the same paths. The
+    longest sentences come first, as in ``best_paths``.
+    """
+    k = side.shape[1] - 1
+    order = np.argsort(-lengths, kind="stable")
+    first, size, side = (np.cumsum(lengths) - lengths)[order], lengths[order], side[order]
+    running = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+    edges = np.concatenate([[0], np.cumsum(running)])
+    # Tokens by step: the first of every sentence, the second, and so on.
+    token = first[np.arange(edges[-1]) - np.repeat(edges[:-1], running)] + np.repeat(np.arange(len(running)), running)
+    gain, steps = gain[token][:, None, :], list(zip(edges.tolist(), running.tolist()))
+    inner, options = np.ascontiguousarray(side[:, :k, :k, :k]), np.empty((len(size), k, k, k))
+    kept, closing = [], np.empty((len(size), k, k))
+    for at, (low, count) in enumerate(steps):
+        here = gain[low : low + count]
+        if at == 0:
+            pi = side[:, k, k:, :k] + here
+        elif at == 1:
+            pi = pi[:count, 0, :, None] + side[:count, k, :k, :k] + here
+        else:
+            pi = np.add(pi[:count, :, :, None], inner[:count], out=options[:count]).max(axis=1)
+            pi += here
+        kept.append(pi)
+        done = steps[at + 1][1] if at + 1 < len(steps) else 0
+        if done < count:
+            # A sentence of one token has the padding as its tag before: its other rows cannot win.
+            closing[done:count, 1:] = -np.inf
+            closing[done:count, : 1 if at == 0 else k] = pi[done:] + (side[done:count, k:, :k, k] if at == 0 else side[done:count, :k, :k, k])
+    u, s = np.divmod(closing.reshape(len(size), -1).argmax(axis=1), k)
+    tags, oldest = np.empty(len(token), dtype=np.int64), np.arange(k)
+    old_pi = np.arange(len(size))[:, None] * k**2 + oldest * k
+    old_inner = np.arange(len(size))[:, None] * k**3 + oldest * k**2
+    for at in range(len(steps) - 1, -1, -1):
+        low, count = steps[at]
+        tags[low : low + count] = s[:count]
+        if at > 1:
+            before = u[:count].copy()
+            at_pi, at_inner = old_pi[:count] + before[:, None], old_inner[:count] + (before * k + s[:count])[:, None]
+            u[:count] = (kept[at - 1].take(at_pi) + inner.take(at_inner)).argmax(axis=1)
+            s[:count] = before
+        else:
+            s[:count] = u[:count]
+    found = np.empty(len(token), dtype=np.int64)
+    found[token] = tags
+    return found
+
+
 def best_paths(lengths: np.ndarray, emissions: np.ndarray, moves: Transitions) -> tuple[np.ndarray, np.ndarray]:
     """Decode several sentences at once.
 

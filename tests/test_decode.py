@@ -131,3 +131,22 @@ def test_updates_of_sparse_and_dense_transitions(monkeypatch):
     for moves in (dense, sparse):
         moves.add(at, 1.0)
     assert np.array_equal(dense.block(0, 3), sparse.block(0, 3)) and dense.block(1, 2)[0, 1, 0] == 2
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_sentences_of_several_models_at_once(k):
+    """Each sentence has a model of its own, and the path that it has alone."""
+    rng = np.random.default_rng(k)
+    lengths = np.array([3, 1, 7, 2, 1, 4])
+    gain = rng.integers(-2, 3, (lengths.sum(), k)).astype(float)
+    side = rng.integers(-2, 3, (len(lengths), k + 1, k + 1, k + 1)).astype(float)
+    found, ends = viterbi.best_paths_apart(lengths, gain, side), np.cumsum(lengths)
+    for model, low, high in zip(side, ends - lengths, ends):
+        names = [str(i) for i in range(k)]
+        alone = viterbi.Transitions(names, no_trigrams(), "*", "STOP")
+        alone.whole = model
+        assert np.array_equal(found[low:high], viterbi.best_path(gain[low:high], alone))
+
+
+def no_trigrams():
+    return pa.table({**{c: pa.array([], pa.string()) for c in viterbi.HISTORY}, "weight": pa.array([], pa.float64())})

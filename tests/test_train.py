@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from test_decode import exhaustive, features
 
@@ -157,3 +159,45 @@ def test_shards_of_equal_work(sentences, n):
     mean = sum(k for *_, k in rows) / n
     for shard in range(n):
         assert abs(sum(k for _, s, k in rows if s == shard) - mean) <= 30
+
+
+def labelled_shards(seed, shards, tags):
+    """Sentences of 1 to 9 words by shard, as a task of the trainer gets them."""
+    rng = random.Random(seed)
+    words = [[rng.choice(WORDS) for _ in range(rng.randint(1, 9))] for _ in shards]
+    return pa.table({
+        "shard": pa.array(shards, pa.int64()), "sent_id": pa.array(range(len(shards)), pa.int64()),
+        "words": pa.array(words), "tags": pa.array([[rng.choice(tags) for _ in w] for w in words]),
+    })
+
+
+@pytest.mark.parametrize("cells", [1, 2000, 10**7])
+@pytest.mark.parametrize("k", [3, 160])
+def test_shards_of_a_bundle_learn_as_if_alone(monkeypatch, cells, k):
+    """Teams of any size, and tag sets without dense transitions, give the updates of single shards."""
+    tags = sorted((f"T{i}" for i in range(k)), reverse=True)
+    rows = labelled_shards(k, [0, 1, 1, 1, 5, 5, 9, 0, 7], tags)
+    start = pa.table({"context": ["TAG:ab", "SUFF:b:1"], "by_tag": [[{"tag": "T1", "weight": 0.3}], [{"tag": "T0", "weight": -0.7}]]})
+    known = pa.table({"t2": ["*", "T0"], "t1": ["*", "T1"], "tag": ["T0", "STOP"], "weight": [0.1, 0.2]})
+    monkeypatch.setattr(training, "TEAM_CELLS", cells)
+    expected = {}
+    for shard in (0, 1, 5, 7, 9):
+        alone = training._train_bundle(rows.filter(pc.equal(rows["shard"], shard)), start, tags, known, FAMILIES, 2)
+        assert alone["made"].unique().to_pylist() == [1]
+        for row in alone.to_pylist():
+            delta, made = expected.get(row["feature"], (0, 0))
+            expected[row["feature"]] = (delta + row["delta"], made + 1)
+    found = {}
+    for row in training._train_bundle(rows, start, tags, known, FAMILIES, 2).to_pylist():
+        delta, made = found.get(row["feature"], (0, 0))
+        found[row["feature"]] = (delta + row["delta"], made + row["made"])
+    assert found == expected
+
+
+def test_many_tiny_shards_do_not_mean_many_tasks(sentences, monkeypatch):
+    """A shard per sentence: tasks follow the cores and tokens, not the number of shards."""
+    asked = []
+    monkeypatch.setattr(training, "task_partitions", lambda spark, groups: asked.append(groups) or 4)
+    rows = corpus(8, 60)
+    found = collected(train(sentences(*rows), n_shards=60, epochs=1, rule="contiguous"))
+    assert found == pytest.approx(mixed(train_list([row], 1) for row in rows)) and asked == [8]
