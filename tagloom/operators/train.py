@@ -19,7 +19,7 @@ from tagloom.functions import features as fx
 from tagloom.operators.decode import WordScores, shard_contexts, shard_weights, transition_rows, word_context_columns
 from tagloom.operators.sentences import MAX_TAGS, checked_tags
 from tagloom.operators.viterbi import CELLS, HISTORY, Transitions, best_path, best_paths_apart
-from tagloom.runtime import broadcast_if_small, pin, ship, stored_bucketed, task_partitions
+from tagloom.runtime import MAX_PARTITIONS, broadcast_if_small, even_keys, pin, ship, stored_bucketed
 
 # Tokens of a shard when the number of shards is left open.
 SHARD_TOKENS = 50_000
@@ -345,19 +345,20 @@ def train(
 
     # Small shards travel together: a task's overhead is paid per bundle, of a size that does not depend on the corpus.
     cores = sentences.sparkSession.sparkContext.defaultParallelism
-    bundles = min(count, max(2 * cores, tokens * len(tags) // BUNDLE_CELLS + 1))
-    bundled = sharded.withColumn("bundle", F.pmod("shard", F.lit(bundles)))
+    waves = tokens * len(tags) // (BUNDLE_CELLS * cores) + 1
+    bundles = min(count, waves * cores, MAX_PARTITIONS)
+    names = F.array(*[F.lit(key).cast("bigint") for key in even_keys(sentences.sparkSession, bundles)])
+    bundled = sharded.withColumn("bundle", F.get(names, F.pmod("shard", F.lit(bundles))))
 
     def first(bundle: pa.Table) -> pa.Table:
         return _train_bundle(bundle, None, tags, NO_TRIGRAMS, families, epochs)
 
-    partitions = task_partitions(sentences.sparkSession, bundles)
     if rounds == 1:
-        placed = bundled.repartition(partitions, "bundle")
+        placed = bundled.repartition(bundles, "bundle")
         return mix_round(placed.groupBy("bundle").applyInArrow(first, DELTA_SCHEMA), None, count)
 
     # Bucketed by bundle: no round shuffles sentences.
-    with stored_bucketed(bundled, "bundle", partitions) as stored:
+    with stored_bucketed(bundled, "bundle", bundles) as stored:
         asked = pin(shard_contexts(stored.select(F.col("bundle").alias("shard"), "words"), families))
         weights = pin(mix_round(stored.groupBy("bundle").applyInArrow(first, DELTA_SCHEMA), None, count))
         for _ in range(rounds - 1):

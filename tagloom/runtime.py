@@ -75,6 +75,17 @@ def task_partitions(spark: SparkSession, groups: int) -> int:
     return min(4 * groups, max(cores, groups), MAX_PARTITIONS)
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """Keys that ``repartition(n, key)`` puts into ``n`` partitions of their own, for few groups of much work each.
+
+    Only the balance hangs on it: the result would be the same if some met.
+    """
+    tried = spark.range(n * (int(n).bit_length() + 10) * 2).repartition(n, "id")
+    firsts = tried.groupBy(F.spark_partition_id().alias("at")).agg(F.min("id").alias("id")).collect()
+    found = [row.id for row in firsts][:n]
+    return found + [-1 - i for i in range(n - len(found))]
+
+
 def store_bucketed(df: DataFrame, key: str, buckets: int, name: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder, bucketed by ``key``.
 

@@ -5,7 +5,7 @@ from tagloom.operators.features import feature_rows, histories, known_features,
 from tagloom.plans import corpora
 from tagloom import runtime
 from tagloom.operators.train import train
-from tagloom.runtime import lookup_join, pin, shared_dir, store_bucketed
+from tagloom.runtime import even_keys, lookup_join, pin, shared_dir, store_bucketed
 
 
 def plan(df):
@@ -90,3 +90,10 @@ def test_scans_read_only_the_needed_columns(spark):
 def test_features_need_no_shuffle(spark, sentences):
     table = sentences((["a", "b"], ["O", "B-X"]))
     assert "Exchange" not in plan(feature_rows(histories(table)))
+
+
+@pytest.mark.parametrize("n", [1, 4, 37])
+def test_few_groups_of_much_work_do_not_share_a_task(spark, n):
+    keys = even_keys(spark, n)
+    placed = spark.createDataFrame([(k,) for k in keys], "key long").repartition(n, "key").select("key", F.spark_partition_id().alias("at"))
+    assert len(set(keys)) == n and len({r.at for r in placed.collect()}) == n

@@ -197,7 +197,7 @@ def test_shards_of_a_bundle_learn_as_if_alone(monkeypatch, cells, k):
 def test_many_tiny_shards_do_not_mean_many_tasks(sentences, monkeypatch):
     """A shard per sentence: tasks follow the cores and tokens, not the number of shards."""
     asked = []
-    monkeypatch.setattr(training, "task_partitions", lambda spark, groups: asked.append(groups) or 4)
+    monkeypatch.setattr(training, "even_keys", lambda spark, n: asked.append(n) or list(range(n)))
     rows = corpus(8, 60)
     found = collected(train(sentences(*rows), n_shards=60, epochs=1, rule="contiguous"))
-    assert found == pytest.approx(mixed(train_list([row], 1) for row in rows)) and asked == [8]
+    assert found == pytest.approx(mixed(train_list([row], 1) for row in rows)) and asked == [4]
