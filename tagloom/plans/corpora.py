@@ -60,12 +60,12 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label(conversations(spark, sf_dir))
 
 
-def line_stream(sentences: DataFrame, parts: int) -> DataFrame:
+def line_stream(sentences: DataFrame, files: int) -> DataFrame:
     """The raw lines of labelled sentences as streams (``key, line_no, line``), one per conversation turn.
 
-    A line is a token with its tags, a blank line follows each sentence and a null the last. ``parts`` is
-    the part of the lines that arrives together: runs of seven lines, dealt by a hash, so sentences
-    are torn apart and later lines may come first.
+    A line is a token with its tags, a blank line follows each sentence and a null the last. The partitions,
+    ``files`` of equal size, hold runs of seven lines, dealt by a hash, so sentences are torn apart and
+    later lines may come first.
     """
     fields = F.transform(F.arrays_zip("words", "tags", "guesses"), lambda t: F.concat_ws(" ", t["words"], t["tags"], t["guesses"]))
     rows = sentences.select(
@@ -75,8 +75,8 @@ def line_stream(sentences: DataFrame, parts: int) -> DataFrame:
     turns = rows.groupBy("key").agg(F.flatten(F.transform(ordered, lambda s: s["lines"])).alias("lines"))
     ended = F.concat("lines", F.array(F.lit(None).cast("string")))
     lines = turns.select("key", F.posexplode(ended).alias("at", "line"))
-    part = F.pmod(F.xxhash64("key", F.expr("at div 7")), F.lit(parts)).cast("int")
-    return lines.select("key", (F.col("at") + 1).cast("bigint").alias("line_no"), "line", part.alias("part"))
+    dealt = lines.repartition(files, "key", F.expr("at div 7"))
+    return dealt.select("key", (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def model(sentences: DataFrame) -> DataFrame:

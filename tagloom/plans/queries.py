@@ -599,11 +599,11 @@ def stream_decode_joined(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw evaluation lines as a stream of four micro-batches."""
+    """Raw evaluation lines as a stream of four micro-batches, of as many files as keep the cores busy."""
     path = scratch_path(spark, "lines")
-    parts = corpora.line_stream(corpora.labelled(spark, sf), 4)
-    parts.repartition(4, "part").drop("part").write.parquet(path)
-    return streaming.stream_table(spark, path, files_per_batch=1)
+    files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    corpora.line_stream(corpora.labelled(spark, sf), 4 * files).write.parquet(path)
+    return streaming.stream_table(spark, path, files_per_batch=files)
 
 
 @query

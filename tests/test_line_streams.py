@@ -189,3 +189,13 @@ def test_restart_with_a_large_model(spark, tmp_path, monkeypatch):
     found = spark.read.parquet(out).select("sent_id", "tags")
     expected = decode(batch, model).select("sent_id", "tags")
     assert Counter(map(str, found.collect())) == Counter(map(str, expected.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).drop("k").collect()))
+
+
+def test_lines_of_one_stream_are_spread_over_the_files(spark):
+    """No task writes a whole micro-batch, even if all lines are of one turn."""
+    rows = [((1, 2, n), ["Rome"] * 6, ["B-LOC"] * 6, ["O"] * 6) for n in range(1, 301)]
+    schema = "sent_id struct<conv_id: long, turn: int, line_no: int>, words array<string>, tags array<string>, guesses array<string>"
+    lines = corpora.line_stream(spark.createDataFrame(rows, schema), 16).withColumn("at", F.spark_partition_id()).collect()
+    sizes = Counter(r["at"] for r in lines)
+    assert sorted(r.line_no for r in lines) == list(range(1, 300 * 7 + 2))
+    assert len(sizes) == 16 and max(sizes.values()) < len(lines) / 6
