@@ -59,7 +59,9 @@ def _pairs(boundary: str) -> Column:
     outside = F.array(F.lit(tg.OUTSIDE))
 
     def inner(side: str) -> Column:
-        return F.zip_with("words", side, lambda w, t: F.when(w == boundary, F.lit(tg.OUTSIDE)).otherwise(t))
+        masked = F.zip_with("words", side, lambda w, t: F.when(w == boundary, F.lit(tg.OUTSIDE)).otherwise(t))
+        # Boundary tokens are rare, and lambdas are dear.
+        return F.when(F.array_contains("words", boundary), masked).otherwise(F.col(side))
 
     tags, guesses = inner("tags"), inner("guesses")
     return F.arrays_zip(
