@@ -6,23 +6,25 @@ partner could share are enumerated, and two sets that share a subset of a size
 large enough for both are linked, no further check needed. Larger sets are heavy:
 they are met by scanning inverted lists. A list belongs to a run of the hash range
 and holds the sets with the same shingles in it: a partner differs in at most d
-shingles, so of more runs some are the same in both; runs of
-hardly any shingles, which many sets share, are left out where others must agree. Lists of single shingles would
-grow with every passage that many texts share; these do not. Every pair
-from a list is checked exactly. The boundary is where the subsets of a size would
-cost more than its lists, by the histogram of set sizes.
-
-Groups need no more than one chain of links, so sets of a list are first compared
-with the list's first set. Sets of one list which are still in different groups
-are compared pair by pair if the list is short; in longer ones, such as the many
-copies of a text with edits of their own, by inverted lists of their differences
-from the first set, whose overlaps give the exact similarity. These lists are scanned inside tasks, a pair of
-pieces of the group in each, and leave only links that join something. No link between different groups is lost.
+shingles, so of more runs some are the same in both. Empty runs make no lists, as most sets
+would share them. Lists of single shingles would grow with every passage that many texts share;
+these grow less. The pigeonhole also tells how many lists a set shares with any partner: sets that share
+fewer with all others together have none and leave before pairs are made. The boundary is where
+the subsets of a size would cost more than its lists, by the histogram of set sizes.
+
+The sets of the lists with the same first set (the smallest id) are a group. Groups need no more than one chain of
+links, so its sets are first compared with that first set. Sets of one group which are still in different components are
+compared with each other, a pair of pieces of the group in each task, by inverted lists of their differences
+from the first set, whose overlaps give the exact similarity; only links that join something leave the task.
+
+Before sets move, sketches are compared: a bit per residue of the hashes tells whether an odd number of shingles has it.
+Every bit that differs stands for a shingle which one set holds alone, so a pair with too many of them cannot be linked, and
+all others are checked exactly. No link between different components is lost.
 
 Defined results: texts are lower-cased in A-Z and cut at ASCII white space; fewer
 words than n make one shingle of all of them; null, empty and blank texts have no
 shingles and link with nothing. Equal keys with different texts are different rows.
-Extra columns are ignored. Shingles are told apart by 64-bit hashes.
+Extra columns are ignored. Shingles, and sets with lists, are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -42,16 +44,20 @@ from tagloom.llm.graph import components
 from tagloom.runtime import pin, ship
 
 #: Words whose hashes a Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Upper ends of the size classes of heavy sets grow by this factor.
 CLASS_RATIO = 1.5
-#: Runs with fewer shingles are poor.
-POOR = 3
-#: Lists of so many sets are compared pair by pair; sets of a piece of a group of longer lists.
-SMALL_LIST, PIECE = 8, 512
+#: Low bits of a list's key, which hold its size class, and bits of the hash above them.
+CLASS_BITS, KEY_BITS = 6, 48
+#: Sets of a piece of a group.
+PIECE = 512
+#: Sets that a task remembers not to list them again.
+SEEN_SETS = 1_000_000
+#: List keys after which a batch of them is handed on: a batch of texts has thousands of times as many.
+BATCH_KEYS = 100_000
 #: Size of the bitmap of wanted documents, as a power of 2 in bits (half a megabyte).
 BLOOM_BITS = 22
-_SCANNED = "key {kind}, text_hash long, set_lo long, set_hi long, n long"
+_SCANNED = "key {kind}, text_hash long, set_lo long, set_hi long, n long, nid long, sketch binary, shingles array<long>"
 
 
 class _Hashes(dict):
@@ -124,28 +130,51 @@ def runs_of(top: int, percent: int) -> int:
     return least + max(2, least // 8)
 
 
-def list_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the inverted lists that hold a heavy set, for its own class and for
-    the next if a partner may be there."""
+def list_keys(shingles: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """Keys of the inverted lists that hold a heavy set, for its own class and for the next if a partner
+    may be there; each with the number of keys that any partner of that class shares at least."""
     size, out = len(shingles), []
     k, top = size_class(size)
     classes = [(k, top)]
     if size * 100 >= percent * (top + 1):
         classes.append(size_class(top + 1))
     body = _mixed(shingles + np.uint64(0x51ED2701))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(body, dtype=np.uint64)])
     for k, top in classes:
         runs = runs_of(top, percent)
         run = ((shingles >> np.uint64(32)) * np.uint64(runs)) >> np.uint64(32)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(body, dtype=np.uint64)])
         ends = np.searchsorted(run, np.arange(runs + 1, dtype=np.uint64))
         inside = sums[ends[1:]] - sums[ends[:-1]]
-        # Partners agree on so many runs at least; if fewer are poor in shingles, they agree on a rich one.
-        agree = runs - (size + 100 * size // percent) * (100 - percent) // (100 + percent)
-        poor = np.diff(ends) < POOR
-        keep = ~poor if poor.sum() < agree else np.ones(runs, bool)
-        keys = _mixed(inside + np.arange(runs, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))
-        out.append(keys[keep])
-    return np.unique(np.concatenate(out))
+        # Partners agree on so many runs at least; if fewer are empty, they agree on a run with shingles.
+        agree = runs - (size + min(100 * size // percent, top)) * (100 - percent) // (100 + percent)
+        empty = np.diff(ends) == 0
+        keep = ~empty if empty.sum() < agree else np.ones(runs, bool)
+        hashes = _mixed(inside + np.arange(runs, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))[keep]
+        keys = np.unique(((hashes >> np.uint64(64 - KEY_BITS)) << np.uint64(CLASS_BITS)) | np.uint64(k))
+        # A partner may have left out its empty runs even if this set has not; equal keys of two runs count once.
+        out.append((keys, max(1, int(agree - empty.sum()) - (len(hashes) - len(keys)))))
+    return out
+
+
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """For each residue of the mixed hashes a bit: whether an odd number of shingles has it. About a bit a shingle."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    at = _mixed(shingles + np.uint64(0x7F4A7C15)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """The sketches of the same sets for fewer residues."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def least_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At least so many shingles are in only one of the sets, for sketches in the last dimension."""
+    words = min(a.shape[-1], b.shape[-1])
+    return np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(axis=-1, dtype=np.int64)
 
 
 def subset_keys(shingles: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -170,26 +199,69 @@ def _as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _scan(n: int, percent: int, keys: bool):
+def _set_id(low: int, high: int, size: int) -> int:
+    parts = np.array([low, high], dtype=np.int64).view(np.uint64)
+    return int(signed(_mixed(parts[:1] * np.uint64(0x100000001B3) + _mixed(parts[1:] + np.uint64(size))))[0])
+
+
+def _identity(found: np.ndarray) -> tuple[int, int]:
+    if not len(found):
+        return 0, 0
+    return int(signed(found.sum(dtype=np.uint64, keepdims=True))[0]), int(signed(_mixed(found).sum(dtype=np.uint64, keepdims=True))[0])
+
+
+def _scan(n: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, high, sizes, lists, light = [], [], [], [], []
+            low, high, sizes, ids, sketches, small = [], [], [], [], [], []
             for text in _as_bytes(batch.column("text")):
                 found = shingle_set(text, n) if text else np.zeros(0, np.uint64)
-                low.append(int(signed(found.sum(dtype=np.uint64, keepdims=True))[0]) if len(found) else 0)
-                high.append(int(signed(_mixed(found).sum(dtype=np.uint64, keepdims=True))[0]) if len(found) else 0)
+                identity = _identity(found)
+                low.append(identity[0])
+                high.append(identity[1])
                 sizes.append(len(found))
-                if not keys:
+                ids.append(_set_id(*identity, len(found)))
+                sketches.append(sketch_of(found).tobytes() if len(found) else None)
+                small.append(signed(found) if 0 < len(found) <= LIGHT_MOST else None)
+            columns = [batch.column("key"), batch.column("text_hash"), *[pa.array(c, pa.int64()) for c in (low, high, sizes, ids)]]
+            columns += [pa.array(sketches, pa.binary()), pa.array(small, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "text_hash", "set_lo", "set_hi", "n", "nid", "sketch", "shingles"])
+
+    return scan
+
+
+def _scan_lists(n: int, percent: int, least: int):
+    """List keys of the sets of ``least`` shingles or more; a task gives those of equal sets once."""
+
+    def handed(keys: list[np.ndarray], ids: list[int], needs: list[int]) -> pa.RecordBatch:
+        counts = [len(k) for k in keys]
+        columns = [signed(np.concatenate(keys)), np.repeat(np.array(ids, np.int64), counts), np.repeat(np.array(needs, np.int32), counts)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "nid", "need"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys, ids, needs, held = [], [], [], 0
+            for text in _as_bytes(batch.column("text")):
+                found = shingle_set(text, n) if text else np.zeros(0, np.uint64)
+                if len(found) < least:
+                    continue
+                nid = _set_id(*_identity(found), len(found))
+                if nid in seen:
                     continue
-                small = len(found) <= LIGHT_MOST
-                lists.append(signed(list_keys(found, percent)) if 100 * len(found) >= percent * (LIGHT_LEAST + 1) else None)
-                light.append(signed(found) if len(found) and small else None)
-            columns = [batch.column("key"), batch.column("text_hash"), *[pa.array(c, pa.int64()) for c in (low, high, sizes)]]
-            names = ["key", "text_hash", "set_lo", "set_hi", "n"]
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(nid)
+                for own, need in list_keys(found, percent):
+                    keys.append(own)
+                    ids.append(nid)
+                    needs.append(need)
+                    held += len(own)
+                if held >= BATCH_KEYS:
+                    yield handed(keys, ids, needs)
+                    keys, ids, needs, held = [], [], [], 0
             if keys:
-                columns += [pa.array(c, pa.list_(pa.int64())) for c in (lists, light)]
-                names += ["lists", "shingles"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield handed(keys, ids, needs)
 
     return scan
 
@@ -198,13 +270,13 @@ def _scan(n: int, percent: int, keys: bool):
 LIGHT_LEAST, LIGHT_MOST = 8, 39
 
 
-def scan_sets(docs: DataFrame, key: str, text: str, n: int, percent: int, keys: bool) -> DataFrame:
-    """key, text_hash, identity of the set and its size; with ``keys`` the keys of its lists and the shingles of small sets."""
+def scan_sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """key, text_hash, identity of the set, its size, id and sketch; the shingles of small sets."""
     ship(docs.sparkSession)
     body = F.col(text).cast("string")
     slim = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
     schema = _SCANNED.format(kind=slim.schema["key"].dataType.simpleString())
-    return slim.mapInArrow(_scan(n, percent, keys), schema + ", lists array<long>, shingles array<long>" * keys)
+    return slim.mapInArrow(_scan(n), schema)
 
 
 def light_boundary(sets: DataFrame, percent: int) -> int:
@@ -318,30 +390,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(_overlap("found_a", "found_b", percent)).select("a", "b")
 
 
-def _placed(lists: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lists whose sets are in more than one group so far: key, nid, root, the number of sets, and as
-    ``first`` the set of the list with the most links found, which lies in the midst of its like."""
-    placed = lists.select("key", "nid").join(groups.withColumnRenamed("node", "nid"), "nid", "left")
-    links = edges.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
-    placed = placed.join(links, "nid", "left").withColumns({"root": F.coalesce("root", "nid"), "links": F.coalesce("links", F.lit(0))})
-    by_key = Window.partitionBy("key")
-    ends = placed.withColumns({
-        "low": F.min("root").over(by_key), "high": F.max("root").over(by_key), "sets": F.count(F.lit(1)).over(by_key),
-        "first": F.max(F.struct("links", "nid")).over(by_key)["nid"],
-    })
-    return ends.filter("low < high").drop("low", "high", "links")
+def _members(docs: DataFrame, text: str, n: int, percent: int, least: int) -> DataFrame:
+    """nid, first: the sets that share a list with others and the first set of that list, which belongs to itself too.
+
+    Sets that share fewer lists of a size class than any partner would have with them are left out of these lists.
+    """
+    by_key, by_set = Window.partitionBy("key"), Window.partitionBy("nid", "kind")
+    lists = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_scan_lists(n, percent, least), "key long, nid long, need int")
+    ends = {"first": F.min("nid").over(by_key), "last": F.max("nid").over(by_key)}
+    # Copies of a set in several tasks are no company.
+    shared = lists.withColumns(ends).filter("first < last").select("key", "nid", "need").dropDuplicates(["key", "nid"])
+    kind = F.col("key").bitwiseAND(F.lit((1 << CLASS_BITS) - 1))
+    enough = shared.withColumn("kind", kind).withColumn("held", F.count(F.lit(1)).over(by_set)).filter("held >= need").select("key", "nid")
+    return enough.withColumns(ends).filter("first < last").select("nid", "first").distinct()
+
+
+def _may_link(sketch_a: str, sketch_b: str, n_a: str, n_b: str, percent: int) -> Column:
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        apart = [int(least_apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))) for x, y in zip(a, b, strict=True)]
+        return (100 + percent) * pd.Series(apart, index=a.index, dtype="int64") <= (na + nb) * (100 - percent)
+
+    fit = F.least(n_a, n_b) * 100 >= percent * F.greatest(n_a, n_b)
+    return fit & near(sketch_a, sketch_b, n_a, n_b)
+
+
+def _stars(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a set and the first of its group whose sketches allow a link."""
+    left = facts.select(F.col("nid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    right = facts.select(F.col("nid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    pairs = members.filter("nid <> first").select(F.col("nid").alias("a"), F.col("first").alias("b"))
+    return pairs.join(left, "a").join(right, "b").filter(_may_link("sketch_a", "sketch_b", "n_a", "n_b", percent)).select("a", "b")
+
+
+def _cells(members: DataFrame, *columns: str) -> DataFrame:
+    """Members of groups (nid, first) dealt to cells (first, i, j): a group is cut into pieces of about ``PIECE`` sets, and
+    every pair of pieces is a cell of its own, so no task holds a large group."""
+    sizes = members.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    cut = members.join(sizes, "first").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("pieces").cast("long")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("pieces") - 1)
+    # Cell (i, j), i <= j, holds piece i on the left and piece j on the right; where they are one, it is there once.
+    cells = F.transform(every, lambda k: F.struct(
+        F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") <= k).alias("left")))
+    return cut.withColumn("cell", F.explode(cells)).select("first", "cell.i", "cell.j", "cell.left", "nid", *columns)
+
+
+def _with_company(left: pa.Table, right: pa.Table | None, percent: int) -> set[int]:
+    """Sets of two pieces (or of one) of a group whose sketches allow a link with a set of another root."""
+    other = left if right is None else right
+    ids, sizes, roots = (other.column(c).to_numpy() for c in ("nid", "n", "root"))
+    sketches = [np.frombuffer(s, np.uint64) for s in other.column("sketch").to_pylist()]
+    words = np.array([len(s) for s in sketches], dtype=np.int64)
+    blocks = [(at, np.stack([sketches[i] for i in at])) for at in (np.flatnonzero(words == w) for w in np.unique(words))]
+    found: set[int] = set()
+    rows = zip(*[left.column(c).to_pylist() for c in ("nid", "n", "root", "sketch")], strict=True)
+    for nid, n, root, sketch in rows:
+        mine = np.frombuffer(sketch, np.uint64)
+        for at, block in blocks:
+            fit = (np.minimum(sizes[at], n) * 100 >= percent * np.maximum(sizes[at], n)) & (roots[at] != root)
+            if not fit.any():
+                continue
+            near = at[fit][(100 + percent) * least_apart(mine, block[fit]) <= (n + sizes[at][fit]) * (100 - percent)]
+            if len(near):
+                found.add(nid)
+                found.update(ids[near].tolist())
+    return found
 
 
-def _fits(percent: int) -> Column:
-    return (F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2")) & (F.col("root") != F.col("root2"))
+def _undecided(members: DataFrame, facts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """nid, first, root, n of the members that may be linked with a member of their group in another component."""
 
+    def meet(cell: pa.Table) -> pa.Table:
+        found = sorted(_with_company(*_sides(cell), percent))
+        return pa.table({"first": pa.array([cell.column("first")[0].as_py()] * len(found), pa.int64()), "nid": pa.array(found, pa.int64())})
 
-def _rest_of_small(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different groups from lists of at most ``SMALL_LIST`` sets."""
-    small = placed.filter(F.col("sets") <= SMALL_LIST)
-    other = small.select("key", F.col("n").alias("n2"), F.col("nid").alias("b"), F.col("root").alias("root2"))
-    pairs = small.withColumnRenamed("nid", "a").join(other, "key").filter(_fits(percent) & (F.col("a") < F.col("b")))
-    return pairs.select("a", "b").distinct()
+    by_group = Window.partitionBy("first")
+    placed = members.join(groups.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    ends = placed.withColumns({"low": F.min("root").over(by_group), "high": F.max("root").over(by_group)})
+    open_ = pin(ends.filter("low < high").select("nid", "first", "root"))
+    dealt = _cells(open_.join(facts, "nid"), "root", "n", "sketch")
+    near = dealt.groupBy("first", "i", "j").applyInArrow(meet, "first long, nid long").distinct()
+    return open_.join(near, ["first", "nid"]).join(facts.select("nid", "n"), "nid").select("nid", "first", "root", "n")
 
 
 def _near_pairs(left: pa.Table, right: pa.Table | None, percent: int) -> list[tuple[int, int]]:
@@ -388,12 +517,11 @@ def _near_pairs(left: pa.Table, right: pa.Table | None, percent: int) -> list[tu
     return found
 
 
-def _links_of_large(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different groups of sets that share a longer list.
+def _links_of_undecided(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between undecided members of a group.
 
-    Sets of lists with one first set are a group; the differences from that set are short where sets are alike. A group
-    is cut into pieces of ``PIECE`` sets, and every pair of pieces is a cell of its own: no task holds a large group, and
-    no pairs of sets are made but the links that a cell needs to join what is linked in it.
+    The differences from the group's first set are short where sets are alike. No pairs of sets are made
+    but the links that a cell needs to join what is linked in it.
     """
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,16 +536,9 @@ def _links_of_large(placed: DataFrame, sets: DataFrame, percent: int) -> DataFra
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    large = pin(placed.filter(F.col("sets") > SMALL_LIST).select("nid", "first", "root", "n").distinct())
-    sizes = large.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    both = large.join(sets, "nid").join(sets.select(F.col("nid").alias("first"), F.col("found").alias("found_first")), "first")
+    both = open_.join(sets, "nid").join(sets.select(F.col("nid").alias("first"), F.col("found").alias("found_first")), "first")
     diffs = both.select("nid", "first", "root", "n", "found", "found_first").mapInArrow(differ, "nid long, first long, root long, n long, diff binary")
-    cut = diffs.join(sizes, "first").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("pieces").cast("long")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("pieces") - 1)
-    # Cell (i, j), i <= j, holds piece i on the left and piece j on the right; where they are one, it is there once.
-    cells = F.transform(every, lambda k: F.struct(
-        F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") <= k).alias("left")))
-    dealt = cut.withColumn("cell", F.explode(cells)).select("first", "cell.i", "cell.j", "cell.left", "nid", "root", "n", "diff")
+    dealt = _cells(diffs, "root", "n", "diff")
     return dealt.groupBy("first", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -427,43 +548,37 @@ def _sides(cell: pa.Table) -> tuple[pa.Table, pa.Table | None]:
     return left, (None if left.num_rows == cell.num_rows else cell.filter(pc.invert(cell.column("left"))))
 
 
-def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    done = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(done, ["a", "b"], "left_anti")
-
-
 def link_documents(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text_hash, n_shingles, set_id, root and component_id (smallest key reachable) of every row."""
     same_set = ["set_lo", "set_hi", "n"]
     owner = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("owner")
-    firsts = [F.first(c).alias(c) for c in ("lists", "shingles")]
-    nodes = scan_sets(docs, key, text, n, percent, keys=True).filter("n > 0").groupBy(*same_set).agg(owner, *firsts)
-    nodes = pin(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    firsts = [F.first(c).alias(c) for c in ("nid", "sketch", "shingles")]
+    rows = pin(scan_sets(docs, key, text, n))
+    nodes = pin(rows.filter("n > 0").groupBy(*same_set).agg(owner, *firsts))
     boundary = light_boundary(nodes, percent)
     edges = pin(_light_edges(nodes, boundary, percent))
 
     # A partner of a heavy set may be light itself, but not smaller than this.
-    heavy = nodes.filter(F.col("n") * 100 >= percent * (boundary + 1))
-    by_key = Window.partitionBy("key")
-    lists = heavy.select(F.explode("lists").alias("key"), "nid")
-    lists = lists.withColumn("first", F.min("nid").over(by_key)).withColumn("last", F.max("nid").over(by_key))
-    lists = pin(lists.filter("first < last").drop("last"))
-    stars = pin(lists.filter("nid <> first").select(F.col("nid").alias("a"), F.col("first").alias("b")).distinct())
-    sets = pin(_sets_of(docs, nodes, lists.select("nid").distinct(), key, text, n))
+    least = -(-percent * (boundary + 1) // 100)
+    facts = nodes.select("nid", "n", "sketch")
+    members = pin(_members(docs, text, n, percent, least))
+    stars = pin(_stars(members, facts, percent))
+    sets = pin(_sets_of(docs, nodes, stars.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), key, text, n))
     edges = pin(edges.unionByName(_verified(stars, sets, percent)))
 
     groups = components(edges)
-    placed = pin(_placed(lists, groups, edges).join(nodes.select("nid", "n"), "nid"))
-    rest = pin(_untried(_rest_of_small(placed, percent), stars))
-    more = pin(_verified(rest, sets, percent).unionByName(_links_of_large(placed, sets, percent)))
-    if not more.isEmpty():
-        groups = components(edges.unionByName(more))
+    open_ = pin(_undecided(members, facts, groups, percent))
+    if not open_.isEmpty():
+        sets = pin(_sets_of(docs, nodes, open_.select(F.explode(F.array("nid", "first")).alias("nid")).distinct(), key, text, n))
+        more = pin(_links_of_undecided(open_, sets, percent))
+        if not more.isEmpty():
+            groups = components(edges.unionByName(more))
 
     found = nodes.select(*same_set, "nid", "owner").join(groups.withColumnRenamed("node", "nid"), "nid", "left")
     found = found.withColumn("root", F.coalesce("root", "nid"))
     least = found.groupBy("root").agg(F.min("owner").alias("least"))
     named = found.join(least, "root").select(*[F.col(c).alias(f"s_{c}") for c in same_set], F.col("nid").alias("set_id"), "root", "least")
-    rows = scan_sets(docs, key, text, n, percent, keys=False)
+    rows = rows.select("key", "text_hash", *same_set)
     same = [F.col(c) == F.col(f"s_{c}") for c in same_set]
     joined = rows.join(named, same, "left")
     component = F.when(F.col("n") > 0, F.col("least.key")).otherwise(F.col("key"))

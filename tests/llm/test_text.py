@@ -178,6 +178,63 @@ def test_near_duplicates(documents, odd, seed):
         assert ngram_join.link_documents(odd.limit(0)).count() == 0
 
 
+def edited(rng, base, edits):
+    copy = list(base)
+    for _ in range(edits):
+        copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+    return " ".join(copy)
+
+
+def test_sets_without_partners_make_no_pairs(documents):
+    """Unrelated texts of like sizes share no list, whatever runs are empty; copies do."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 120))), "s") for i in range(300)]
+    base = rows[5][1].split()
+    rows.append((300, edited(rng, base, 1), "s"))
+    docs = documents(rows).repartition(3)
+    members = ngram_join._members(docs, "text", 5, 80, 8).collect()
+    assert len({r.nid for r in members}) == 2 and len(members) == 2
+    assert {r.doc_id: r.component_id for r in ngram_join.link_documents(docs, 5, 80).collect()} == {i: 5 if i == 300 else i for i in range(301)}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_shared_lists_and_sketches_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    for size in (9, 16, 17, 40, 130, 410, 1300):
+        for _ in range(40):
+            a = rng.integers(0, 2**63, size, dtype=np.uint64)
+            # Partners of any allowed size, at the threshold as far as that goes.
+            larger = int(rng.integers(0, size * (100 - percent) // percent + 1))
+            swapped = max(0, (100 * size - percent * (size + larger)) // (100 + percent))
+            b = np.unique(np.concatenate([a[swapped:], rng.integers(0, 2**63, larger + swapped, dtype=np.uint64)]))
+            a = np.unique(a)
+            shared = len(np.intersect1d(a, b))
+            assert 100 * shared >= percent * (len(a) + len(b) - shared)
+            apart = len(a) + len(b) - 2 * shared
+            assert ngram_join.least_apart(ngram_join.sketch_of(a), ngram_join.sketch_of(b)) <= apart
+            mine, other = (dict((int(k[0]) & 63, (set(k.tolist()), need)) for k, need in ngram_join.list_keys(x, percent)) for x in (a, b))
+            both = [c for c in mine if c in other]
+            assert both
+            # The class of the larger set is in both.
+            top = ngram_join.size_class(max(len(a), len(b)))[0]
+            assert len(mine[top][0] & other[top][0]) >= max(mine[top][1], other[top][1])
+
+
+def test_groups_of_edited_copies_in_cells(documents, monkeypatch):
+    """Copies with edits of their own, most below the threshold with the first, met in many cells."""
+    monkeypatch.setattr(ngram_join, "PIECE", 8)
+    rng = random.Random(11)
+    rows = []
+    for size in (120, 250):
+        base = prose(rng, size).split()
+        passage = prose(rng, 40)
+        rows += [(len(rows) + i, edited(rng, base, rng.randrange(0, size // 12)), "s") for i in range(60)]
+        rows += [(len(rows) + i, f"{passage} {prose(rng, size)}", "s") for i in range(20)]
+    found = {r.doc_id: r.component_id for r in ngram_join.link_documents(documents(rows), 3, 80).collect()}
+    assert found == {i: root for i, (_, root) in brute_groups(rows, 80).items()}
+    assert 10 < len(set(found.values())) < 150
+
+
 def test_benchmark_passages(spark, documents, odd):
     rng = random.Random(3)
     items = [(i, prose(rng, rng.randrange(8, 60))) for i in range(40)] + [(None, prose(rng, 20)), (99, "two words"), (98, None)]
