@@ -65,6 +65,13 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as Parquet files in the shared folder, for rows that cost much to make and are used more than once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def task_partitions(spark: SparkSession, groups: int) -> int:
     """Partitions for groups that mean much work on little data.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import text
+from tagloom.runtime import stored
 from tagloom.sources.records import paragraphs
 
 
@@ -47,13 +48,14 @@ def parse_eval_lines(lines: DataFrame, delimiter: str = " ", boundary: str = "-X
     chunks on both sides; scoring does not count it as a token.
     """
 
-    def parse(line: Column) -> Column:
-        found = F.split(line, delimiter)
+    def measure(items: Column) -> Column:
         # Empty items at the end of a line do not count.
-        last = F.array_max(F.transform(found, lambda item, i: F.when(item != "", i + 1).otherwise(0)))
-        items = F.slice(found, F.lit(1), last)
-        first = F.get(items, F.lit(0))
-        width = F.size(items)
+        last = F.array_max(F.transform(items, lambda item, i: F.when(item != "", i + 1).otherwise(0)))
+        return F.struct(items.alias("items"), F.when(F.element_at(items, -1) != "", F.size(items)).otherwise(last).alias("width"))
+
+    def parse(line: Column) -> Column:
+        items, width = line["items"], line["width"]
+        first = F.when(width > 0, F.get(items, F.lit(0)))
         edge = first == boundary
         outside = F.lit("O")
         return F.struct(
@@ -63,7 +65,9 @@ def parse_eval_lines(lines: DataFrame, delimiter: str = " ", boundary: str = "-X
             width.alias("width"),
         )
 
-    parsed = lines.select("sent_id", F.transform("lines", parse).alias("rows"))
+    # Steps of their own, as a lambda evaluates an expression anew wherever it stands: each line is split once.
+    split = F.transform("lines", lambda line: F.split(line, delimiter))
+    parsed = lines.select("sent_id", F.transform(F.transform(split, measure), parse).alias("rows"))
     return parsed.select(
         "sent_id",
         F.col("rows.word").alias("words"),
@@ -80,10 +84,11 @@ def read_eval(
     """Evaluation files as sentences; all lines must have the same number of items.
 
     ``cut_at_boundary`` makes every boundary line a sentence of its own, for files whose
-    sentences are parted by such lines only; the scores are the same.
+    sentences are parted by such lines only; the scores are the same. The sentences are stored while the
+    lines are checked, so the files are parsed once.
     """
     records = paragraphs(spark, path, boundary=boundary if cut_at_boundary else None)
-    parsed = parse_eval_lines(records, delimiter, boundary)
+    parsed = stored(parse_eval_lines(records, delimiter, boundary), "eval")
     width = parsed.agg(F.min("narrowest").alias("low"), F.max("widest").alias("high")).first()
     if width.low is not None and width.low < 2:
         raise ValueError("evaluation lines need a gold and a guessed tag")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.runtime import stored
+
 
 def _lines(sentences: DataFrame, *arrays: str) -> DataFrame:
     """One string per sentence: a line per token, and a line break after the last."""
@@ -24,5 +26,8 @@ def eval_lines(sentences: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Write sentence strings in corpus order with a blank line after each."""
-    lines.orderBy("sent_id").select(F.col("lines").alias("value")).write.text(path)
+    """Write sentence strings in corpus order with a blank line after each.
+
+    Sorting samples its input before it moves it; the lines are stored first, so that they are made once.
+    """
+    stored(lines, "unsorted").orderBy("sent_id").select(F.col("lines").alias("value")).write.text(path)

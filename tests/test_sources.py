@@ -204,6 +204,24 @@ def test_tagged_and_eval_files(spark, tmp_path, sentences):
     ]
 
 
+def test_eval_lines_are_split_once(spark, tmp_path):
+    """The plan splits a line in one place, and the checked sentences are read from storage, not parsed again."""
+    lines = spark.createDataFrame([(1, ["a|O|B-P|", "", "||", "b", "-X-|O|O", None])], "sent_id int, lines array<string>")
+    parsed = parse_eval_lines(lines, r"\|")
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert parsed.first()[1:] == (
+        ["a", None, None, "b", "-X-", None],
+        ["O", None, None, None, "O", None],
+        ["B-P", None, None, "b", "O", None],
+        0,
+        3,
+    )
+    found = read_eval(spark, put(tmp_path / "a", "a O O\nb B-X O\n\n"))
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert listed(found, "words", "tags", "guesses") == [(["a", "b"], ["O", "B-X"], ["O", "O"])]
+
+
 def test_eval_file_with_boundary_lines_and_delimiter(spark, tmp_path):
     path = put(tmp_path / "a", "-X-|O|O\na|B-X|B-X\n-X-|-X-|-X-\nb|I-X|O\n\nc|O|O\n")
     found = read_eval(spark, path, delimiter=r"\|")
