@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tagloom.runtime import pin
@@ -13,19 +13,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star links the larger neighbours of a node with its smallest neighbour,
     small-star does so for the smaller ones; repeated in turn they leave a star per
-    component after about the logarithm of its size. Every round is pinned.
+    component after about the logarithm of its size. Every round is pinned and counts its edges on the way:
+    a read and three shuffles.
     """
     now = pin(edges.select("a", "b").filter("a <> b").distinct())
     last = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(F.explode(ways).alias("e")).select("e.*")
         low = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-        large = both.withColumn("m", low).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # A row for each edge; equal ones meet in the distinct below.
+        large = both.withColumn("m", low).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = F.min("b").over(Window.partitionBy("a"))
         small = large.withColumn("m", least)
         links = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = pin(links.select("e.*").filter("a <> b").distinct())
-        check = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        seen = Observation()
+        sums = [F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("x")]
+        now = pin(links.select("e.*").filter("a <> b").distinct().observe(seen, *sums))
+        check = seen.get
         if check == last:
             break
         last = check

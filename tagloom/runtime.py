@@ -56,13 +56,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's option to drop the shuffle files of an action when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` at a reliable checkpoint.
 
-    The rows survive the loss of executors and do not change if a task is rerun.
+    The rows survive the loss of executors and do not change if a task is rerun. Shuffle files go as soon as the rows
+    are written, not when the driver next collects its garbage: no other action runs the plan that made them.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # A plan takes the option as it is when the plan is made.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -312,6 +312,22 @@ def test_near_duplicate_stage(spark, documents):
     assert sorted(r.doc_id for r in kept) == sorted(set(sets) - copies)
 
 
+def test_kept_texts_move_once(spark, documents):
+    rows = [(i // 2, f"{WORDS[i % 3]} one two three four five {i // 4}", f"s{i % 5}") for i in range(40)] + [(None, "a b", "s")] * 2
+    kept = ngram_join.keep_one(documents(rows), 5, 80)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        drawn = kept.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    # Above the join with the texts there is no further exchange.
+    assert "Exchange" not in drawn[: drawn.index("SortMergeJoin")]
+    assert kept.count() == len({r.text for r in kept.collect()})
+
+
 def plain_distance(item: list[int], stretch: list[int]) -> int:
     row = list(range(len(stretch) + 1))
     for i, word in enumerate(item, 1):

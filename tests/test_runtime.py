@@ -1,11 +1,14 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.llm.graph import components
 from tagloom.operators.features import feature_rows, histories, known_features, score_features
 from tagloom.plans import corpora
 from tagloom import runtime
 from tagloom.operators.train import train
-from tagloom.runtime import even_keys, lookup_join, pin, shared_dir, store_bucketed
+from tagloom.runtime import _CLEANUP, even_keys, lookup_join, pin, shared_dir, store_bucketed
 
 
 def plan(df):
@@ -65,6 +68,35 @@ def test_pinned_rows_have_no_lineage(spark):
     assert df.collect() == df.collect() and "Range" not in plan(df)
 
 
+def test_pinning_leaves_no_shuffle_files(spark):
+    """Those of steps that are done would add up until the driver collects its garbage."""
+
+    def files():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+    option = spark.conf.get(_CLEANUP, None)
+    before = files()
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("g")).count()
+    pinned = pin(df.join(df.withColumnRenamed("count", "n"), "g"))
+    assert files() <= before and spark.conf.get(_CLEANUP, None) == option
+    assert pinned.count() == df.count() == 10 and files() - before
+
+
+def test_components_of_repeated_and_hub_edges(spark):
+    rng = random.Random(3)
+    pairs = [(0, i) for i in range(1, 60)] + [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(35)]
+    pairs = [p if rng.random() < 0.5 else p[::-1] for p in pairs] * 2
+    root = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = {x: low if r == high else r for x, r in root.items()}
+    alone = {a for a, b in pairs if a == b} - {x for a, b in pairs if a != b for x in (a, b)}
+    found = [(r.node, r.root) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+    assert sorted(found) == sorted((x, r) for x, r in root.items() if x not in alone)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_bucketed_table_groups_without_a_shuffle(spark):
     stored = store_bucketed(spark.range(100).withColumn("shard", F.col("id") % 7), "shard", 4)
     counts = stored.groupBy("shard").count()
