@@ -32,6 +32,8 @@ from tagloom.runtime import counted, lookup_join, pin, ship
 FILTERS = "ABCDE"
 #: Fewest words, least percent of distinct words, most percent of capitals, marks.
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, MARKS = 50, 65, 5, b"#$%&*|"
+#: Rows of a look-up table that passes through the driver: a few dozen MB there, whatever the corpus. Rows are small, so larger tables are shuffled.
+LOOKUP_ROWS = 100_000
 #: Bytes of a text that are cut into words at a time.
 PIECE = 4 << 20
 SPACES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
@@ -97,7 +99,7 @@ def failure_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     rows = pin(slim.mapInArrow(_scan, f"id {kind}, part string, fails int, digest binary"))
     copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     repeated = pin(copies.filter("n > 1").select("digest", "first"))
-    found = lookup_join(rows, repeated, "digest", ["id"], "left", **counted(repeated, "digest"))
+    found = lookup_join(rows, repeated, "digest", ["id"], "left", **counted(repeated, "digest"), most=LOOKUP_ROWS)
     # ``first`` is null where the text is single or all its ids are null.
     later = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
     last = 1 << FILTERS.index("E")
@@ -110,7 +112,7 @@ def failure_counts(rows: DataFrame, labels: DataFrame) -> DataFrame:
     known = pin(labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(*marks))
     size = known.count()
     # Ids are numbers or short strings; 16 bytes a key keep the bound of the look-up.
-    marked = lookup_join(rows, known, "id", ["part", "fails"], "left", size, 16 * size)
+    marked = lookup_join(rows, known, "id", ["part", "fails"], "left", size, 16 * size, most=LOOKUP_ROWS)
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)).cast("long"))
     sums = [F.count(F.lit(1)).alias("n"), total("quality").alias("good"), total("toxic").alias("toxic")]
     return marked.groupBy("part", "fails").agg(*sums)

@@ -149,17 +149,27 @@ def counted(table: DataFrame, key: str) -> dict[str, int]:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str, bound: int, bound_bytes: int = 0, salts: int = SALTS
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread: list[str],
+    how: str,
+    bound: int,
+    bound_bytes: int = 0,
+    salts: int = SALTS,
+    most: int | None = None,
 ) -> DataFrame:
     """Join ``left``, where one key may hold a large share of the rows, with
     ``right``, where ``key`` is unique and which has at most ``bound`` rows with keys of ``bound_bytes``.
 
-    A small right side is broadcast. Otherwise the rows of every key go to
-    ``salts`` tasks, chosen by a hash of the ``spread`` columns, and each right
-    row is copied to all of them.
+    A small right side (``MAX_LOOKUP_ROWS``, or ``most`` if that is less) is broadcast.
+    Otherwise the rows of every key go to ``salts`` tasks, chosen by a hash of the
+    ``spread`` columns, and each right row is copied to all of them.
     """
-    if bound <= MAX_LOOKUP_ROWS and bound_bytes <= MAX_LOOKUP_BYTES:
+    limit = MAX_LOOKUP_ROWS if most is None else min(most, MAX_LOOKUP_ROWS)
+    if bound <= limit and bound_bytes <= MAX_LOOKUP_BYTES:
         return left.join(F.broadcast(right), key, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    # Spark guesses sizes from compressed files and without the copies: it would broadcast what was counted as too large.
+    return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")

@@ -230,6 +230,21 @@ def test_audit(spark, monkeypatch):
     assert filter_audit.audit_filters(table(spark, rows), marked.limit(0)).count() == len(wanted)
 
 
+@pytest.mark.parametrize("limit", [1, 100])
+def test_audit_of_many_keys_passes_none_through_the_driver(spark, monkeypatch, limit):
+    """Texts that occur again, labels: tables beyond the bound are shuffled, with the same result."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(200)]), f"text {i % 60} " * 30, rng.choice(["a", "b"])) for i in range(150)]
+    labels = [(i, i % 2, rng.choice([0, 1, None])) for i in range(90)]
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(filter_audit, "LOOKUP_ROWS", limit)
+    sets = filter_audit.failure_sets(table(spark, rows))
+    counts = filter_audit.failure_counts(sets, marked)
+    for df in (sets, counts):
+        assert ("Broadcast" in df._jdf.queryExecution().executedPlan().toString()) == (limit > 90)
+    assert Counter(map(tuple, filter_audit.audit_filters(table(spark, rows), marked).collect())) == audit(rows, labels)
+
+
 def test_words_of_long_texts(monkeypatch):
     monkeypatch.setattr(filter_audit, "PIECE", 5)
     for text in (b"", b"a b c", b"abcdefghijk lm lm  n\nabcdefghijk", b"           ", b"x" * 40):

@@ -46,6 +46,25 @@ def test_salted_join_of_a_hot_key(spark, no_broadcast, how):
         assert hot.count() > 1
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_salted_join_is_not_broadcast(spark, how):
+    """Spark's guess of a size is that of compressed files; what was counted as too large stays off the driver."""
+    left = spark.range(300).select("id", (F.col("id") % 50).alias("key"))
+    right = pin(spark.range(40).select(F.col("id").alias("key"), (F.col("id") + 1).alias("v")))
+    assert "BroadcastHashJoin" in plan(left.join(right, "key", how))
+    found = lookup_join(left, right, "key", ["id"], how, bound=10**9)
+    assert sorted(map(str, found.collect())) == sorted(map(str, left.join(right, "key", how).select(*found.columns).collect()))
+    assert "Broadcast" not in plan(found) and "SortMergeJoin" in plan(found)
+
+
+def test_callers_may_lower_the_bound_of_a_broadcast(spark, monkeypatch):
+    left, right = spark.range(30).withColumnRenamed("id", "key"), spark.range(20).withColumnRenamed("id", "key")
+    kept = lambda most: "BroadcastHashJoin" in plan(lookup_join(left, right, "key", ["key"], "inner", bound=20, most=most))
+    assert kept(None) and kept(20) and not kept(19)
+    monkeypatch.setattr(runtime, "MAX_LOOKUP_ROWS", 19)
+    assert not kept(None) and not kept(20)
+
+
 @pytest.mark.parametrize("limit", [0, 100])
 def test_hot_word_keeps_all_rows(spark, no_broadcast, weights, monkeypatch, limit):
     monkeypatch.setattr(runtime, "MAX_LOOKUP_ROWS", limit)
